@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, radix_dedup
+from . import chat_format, radix_dedup, repetition, secret_ledger
 
 QUERIES = {
+    "op1_repetition": repetition.op1_repetition,
+    "op2_secret_ledger": secret_ledger.op2_secret_ledger,
     "op3_exact_dedup": radix_dedup.op3_exact_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
 }
 
 ORACLES = {
+    "op1_repetition": repetition.OP1_SQL,
+    "op2_secret_ledger": secret_ledger.OP2_SQL,
     "op3_exact_dedup": radix_dedup.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
 }
