@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, radix_dedup, repetition, secret_ledger
+from . import chat_format, packing, radix_dedup, repetition, secret_ledger, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_secret_ledger": secret_ledger.op2_secret_ledger,
     "op3_exact_dedup": radix_dedup.op3_exact_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_packing": packing.op8_packing,
 }
 

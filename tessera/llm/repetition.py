@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .rolling import SPACE, Rolling, again, chunks, mix, runs, texts_of
 
 #: Most permitted percentage of word characters inside duplicated windows of n words.
 NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -32,67 +33,22 @@ CHUNK_BYTES = 2 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "dup_line_chars", *(f"dup{n}_chars" for n in NGRAM_LIMITS)]
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    space = np.zeros(256, bool)
-    space[[32, *range(9, 14)]] = True
-    symbol = np.zeros(256, bool)
-    symbol[list(b"#*$%&|<>")] = True
-    return space, symbol, np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-        have += take
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: does it occur twice or more; does it occur earlier."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
-    twice, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    later[order[1:]] = same
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    return twice, later
-
-
 class Kernel:
     """Counts for a run of texts that lie one after another in a byte array."""
 
     def __init__(self) -> None:
-        self.space, self.symbol, self.value = _tables()
-        self.up = self.down = np.ones(1, np.uint64)
+        self.rolling = Rolling()
+        self.symbol = np.zeros(256, bool)
+        self.symbol[list(b"#*$%&|<>")] = True
 
     def __call__(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         """b: the bytes; starts, ends: of each text, in order and without gaps."""
         docs, size = len(starts), len(b)
-        if len(self.up) <= size:
-            self.up, self.down = _powers(_BASE, size + 1), _powers(_INVERSE, size + 1)
-        prefix = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.value[b] * self.up[:size], out=prefix[1:])
-        span = lambda s, e: _mix((prefix[e] - prefix[s]) * self.down[s] + (e - s).astype(np.uint64))
-        inner = ~self.space[b]
-        edge = np.zeros(size + 1, bool)
-        edge[starts] = edge[ends] = True
-        opens = np.flatnonzero(inner & (edge[:-1] | ~np.concatenate([[False], inner[:-1]])))
-        closes = np.flatnonzero(inner & (edge[1:] | ~np.concatenate([inner[1:], [False]]))) + 1
+        span = self.rolling.over(b)
+        opens, closes = runs(~SPACE[b], starts, ends)
         letters = np.zeros(size + 1, np.int64)
         np.cumsum((b & 0xC0) != 0x80, out=letters[1:])
         doc = np.searchsorted(ends, opens, side="right")  # empty texts end where they start and are passed over
@@ -118,12 +74,12 @@ class Kernel:
             line_from, line_to, line_doc = line_from[keep], line_to[keep], line_doc[keep]
         worded = np.searchsorted(opens, line_to) > np.searchsorted(opens, line_from)
         line_from, line_to, line_doc = line_from[worded], line_to[worded], line_doc[worded]
-        _, later = _again(span(line_from, line_to) ^ _mix(line_doc.astype(np.uint64) * _WORD))
+        _, later = again(span(line_from, line_to) ^ mix(line_doc.astype(np.uint64) * _WORD))
         out["n_lines"], out["n_dup_lines"] = add(line_doc), add(line_doc[later])
         out["dup_line_chars"] = add(line_doc[later], (letters[line_to] - letters[line_from])[later])
 
         # Windows of n words: the key holds the document, so that equal keys lie in one text.
-        words, salt = span(opens, closes), _mix(doc.astype(np.uint64) * _WORD)
+        words, salt = span(opens, closes), mix(doc.astype(np.uint64) * _WORD)
         rolled, twice = words.copy(), np.ones(len(words), bool)
         for n in range(2, max(NGRAM_LIMITS) + 1):
             m = max(len(words) - n + 1, 0)
@@ -133,7 +89,7 @@ class Kernel:
                 continue
             at = np.flatnonzero(twice[:m] & twice[1 : m + 1] & (doc[:m] == doc[n - 1 :]))
             twice = np.zeros(m, bool)
-            twice[at] = _again(_mix(rolled[at]) ^ salt[at])[0]
+            twice[at] = again(mix(rolled[at]) ^ salt[at])[0]
             if n == 3 or n in NGRAM_LIMITS:
                 steps = np.zeros(len(words) + 1, np.int32)
                 hit = np.flatnonzero(twice)
@@ -152,15 +108,6 @@ class Kernel:
         return out
 
 
-def chunks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `most` bytes in all; a longer text is a run of its own."""
-    at = 0
-    while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield at, to
-        at = to
-
-
 def repetition(docs: DataFrame, text: str = "text", id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id and SCHEMA for each row of docs."""
     kind = docs.schema[id].dataType.simpleString()
@@ -168,12 +115,7 @@ def repetition(docs: DataFrame, text: str = "text", id: str = "doc_id", chunk_by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel()
         for batch in batches:
-            texts = batch.column(1)
-            if texts.null_count:
-                texts = texts.fill_null("")
-            wide = pa.types.is_large_string(texts.type)
-            offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            offsets, data = texts_of(batch.column(1))
             for a, z in chunks(offsets, chunk_bytes):
                 own = offsets[a : z + 1]
                 got = kernel(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0])
