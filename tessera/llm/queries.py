@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, radix_dedup, repetition, secret_ledger, toxicity
+from . import chat_format, packing, radix_dedup, repetition, secret_ledger, toxicity, warc_index
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_toxicity": toxicity.op5_toxicity,
     "op8_packing": packing.op8_packing,
+    "op10_warc_index": warc_index.op10_warc_index,
 }
 
 ORACLES = {
@@ -18,4 +19,5 @@ ORACLES = {
     "op2_secret_ledger": secret_ledger.OP2_SQL,
     "op3_exact_dedup": radix_dedup.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
+    "op10_warc_index": warc_index.OP10_SQL,
 }
