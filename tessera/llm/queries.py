@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, radix_dedup, repetition, secret_ledger, toxicity, warc_index
+from . import chat_format, cotraining, mixing, packing, radix_dedup, repetition, secret_ledger, toxicity, warc_index
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_exact_dedup": radix_dedup.op3_exact_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_cotraining": cotraining.op7_cotraining,
     "op8_packing": packing.op8_packing,
+    "op9_mixing": mixing.op9_mixing,
     "op10_warc_index": warc_index.op10_warc_index,
 }
 
