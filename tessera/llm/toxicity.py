@@ -139,8 +139,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     if not 0 < toxic.sum() < len(toxic):
         return Model(b"", b"", 0, [], [], float(toxic.mean()) if len(toxic) else 0.5)
     offsets, data = texts_of(pa.array(texts, pa.large_string()))
-    codes, ends = Coder()(data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
-    each = np.split(codes, ends[:-1])
+    coder, each = Coder(), []
+    for a, z in chunks(offsets, 1 << 20):
+        own = offsets[a : z + 1]
+        codes, ends = coder(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0])
+        each += np.split(codes, ends[:-1])
     # Every other text of each class calibrates, so that both halves hold both classes (where there are two of each).
     nth = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic))
     learn = nth % 2 == 1
