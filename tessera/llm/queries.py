@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, mixing, packing, radix_dedup, repetition, secret_ledger, toxicity, warc_index
+from . import chat_format, cotraining, mixing, packing, radix_dedup, repetition, secret_ledger, token_groups, toxicity, warc_index
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": radix_dedup.op3_exact_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_ngram_jaccard": token_groups.op6_ngram_jaccard,
     "op7_cotraining": cotraining.op7_cotraining,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
@@ -21,5 +22,6 @@ ORACLES = {
     "op2_secret_ledger": secret_ledger.OP2_SQL,
     "op3_exact_dedup": radix_dedup.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
+    "op6_ngram_jaccard": token_groups.OP6_SQL,
     "op10_warc_index": warc_index.OP10_SQL,
 }

@@ -25,8 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 from .rolling import Rolling, chunks, mix, runs, texts_of
@@ -190,14 +192,16 @@ def hash_id(x) -> int:
     return zlib.crc32(f"order {x}".encode())
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id and score (0 to 1) for each row of docs."""
-    kind = docs.schema[id].dataType.simpleString()
+def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id", carry: bool = False) -> DataFrame:
+    """id (with carry: row, a struct of all columns) and score (0 to 1) for each row of docs."""
+    source = docs.select(F.struct(*docs.columns).alias("row")) if carry else docs.select(F.col(id), F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([source.schema[0], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, windows = Coder(), Windows(model)
         for batch in batches:
-            offsets, data = texts_of(batch.column(1))
+            texts = pc.struct_field(batch.column(0), text).cast(pa.string()) if carry else batch.column(1)
+            offsets, data = texts_of(texts)
             for a, z in chunks(offsets, 2 << 20):
                 if model.constant is not None:
                     p = np.full(z - a, model.constant)
@@ -206,9 +210,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id")
                     codes, ends = coder(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0])
                     x = figures(*windows(codes, ends), z - a, model.threshold) / model.scale
                     p = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(p)], names=[id, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(p)], names=schema.names)
 
-    return docs.select(F.col(id), F.col(text).cast("string")).mapInArrow(run, f"{id} {kind}, score double")
+    return source.mapInArrow(run, schema)
 
 
 def held_out(id: str = "doc_id"):
