@@ -1,4 +1,6 @@
 """All queries of the entity-graph operators and their DuckDB statements."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.queries import ORACLES, QUERIES
+from tessera.queries import gnn, graph, raster, system  # noqa: F401  (they register themselves)
+
+__all__ = ["ORACLES", "QUERIES"]

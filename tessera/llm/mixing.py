@@ -14,29 +14,44 @@ repeated rows are drawn alike; values that targets do not name keep their own sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Cuts, read, whole
+from .common import Cuts, read, whole
+from .rolling import SPACE, chunks, runs, texts_of
 
 AXES = ("source", "lang", "topic")
 KEEP, TEMPERATURE, TRIM, SWEEPS, CLOSE = 0.75, 0.8, 4.0, 10, 1e-3
 
 
-def topic_of(text: str | Column) -> Column:
-    """A text's form, from shares of its characters: the topic where documents carry none."""
-    t = whole(text)
-    size = F.length(t)
-    share = lambda marks: (size - F.length(F.translate(t, marks, ""))) / F.greatest(size, F.lit(1))
-    return (
-        F.when(F.trim(t) == "", "empty")
-        .when(share("|") > 0.02, "table")
-        .when(share("#*$%&<>") > 0.05, "marked up")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.3, "capitals")
-        .when(share("0123456789") > 0.05, "figures")
-        .when(share("\n") > 0.012, "short lines")
-        .otherwise("prose")
-    )
+#: A text's form, from shares of its characters, is its topic where documents carry none: the first that holds.
+FORMS = (("table", b"|", 0.02), ("marked up", b"#*$%&<>", 0.05), ("capitals", bytes(range(65, 91)), 0.3), ("figures", b"0123456789", 0.05), ("short lines", b"\n", 0.012))
+
+
+def counted(texts: pa.Array) -> pa.Array:
+    """Struct of tokens (words between ASCII white space) and topic of each text."""
+    kind = np.zeros(256, np.int64)
+    for k, (_, marks, _) in enumerate(FORMS):
+        kind[list(marks)] = k + 1
+    names = np.array([f[0] for f in FORMS] + ["prose", "empty"], object)
+    offsets, data = texts_of(texts)
+    tokens, topics = [], []
+    for a, z in chunks(offsets, 1 << 20):
+        own = offsets[a : z + 1] - offsets[a]
+        b, docs = data[offsets[a] : offsets[z]], z - a
+        doc = np.repeat(np.arange(docs), np.diff(own))
+        opens, _ = runs(~SPACE[b], own[:-1], own[1:])
+        words = np.bincount(np.searchsorted(own[1:], opens, side="right"), minlength=docs)
+        chars = np.bincount(doc, (b & 0xC0) != 0x80, minlength=docs)
+        marks = np.bincount(doc * (len(FORMS) + 1) + kind[b], minlength=docs * (len(FORMS) + 1)).reshape(docs, -1)[:, 1:]
+        share = marks / np.maximum(chars, 1)[:, None] > [f[2] for f in FORMS]
+        form = np.where(words == 0, len(FORMS) + 1, np.where(share.any(1), share.argmax(1), len(FORMS)))
+        tokens.append(words)
+        topics.append(names[form])
+    none = np.zeros(0, np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([none, *tokens])), pa.array(np.concatenate([none.astype(object), *topics]), pa.string())], ["tokens", "topic"])
 
 
 def tempered(cells: DataFrame, axis: str, temperature: float) -> DataFrame:
@@ -73,13 +88,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, tr
     return state.select(*axes, "tokens", "weight")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, text: str = "text", id: str = "doc_id", keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str | None = None, text: str = "text", id: str = "doc_id", keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
     """docs(source, lang, text) -> row (struct of all columns), tokens, source, lang, topic, probability, kept."""
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"),
-        (topic_of(text) if topic is None else topic).alias("topic"),
-        F.regexp_count(whole(text), F.lit(f"[^{ASCII_SPACE}]+")).cast("long").alias("tokens"),
-    )
+        F.arrow_udf(counted, "tokens long, topic string")(whole(text)).alias("own"),
+    ).select("row", "source", "lang", (F.col("own.topic") if topic is None else F.col("row").getField(topic)).alias("topic"), "own.tokens")
     cuts = Cuts(docs.sparkSession)
     cells = cuts.table(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), "cells")
     goals = {a: (targets or {}).get(a) for a in AXES}

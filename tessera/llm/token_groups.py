@@ -129,31 +129,43 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").filter(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, n_shingles and component_id for each row of docs."""
-    cuts = Cuts(docs.sparkSession)
-    rows = cuts.table(shingle_sets(docs, text, id, whole=False), "shingles")
-
-    # 1. Classes that share enough of their prefix with other classes.
+def _near(rows: DataFrame, id: str) -> DataFrame:
+    """Signatures of classes that hold enough of their prefix in common with other classes, with one id k of each."""
     shared = rows.select("mark", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("token")
     counts = rows.select(F.col(id).alias("k"), F.explode("tokens").alias("token")).join(shared, "token").groupBy("k").agg(F.count("*").alias("hits"))
     few = F.greatest(F.floor(_least("n") / SPREAD), F.lit(1))
-    near = cuts.table(rows.join(counts, F.col(id).eqNullSafe(F.col("k"))).filter(F.col("hits") >= few).groupBy("sig").agg(F.min(id).alias("k")), "near")
-    cuts.free_shuffles()
+    return rows.join(counts, F.col(id).eqNullSafe(F.col("k"))).filter(F.col("hits") >= few).groupBy("sig").agg(F.min(id).alias("k"))
+
+
+def _sets(docs: DataFrame, near: DataFrame, text: str, id: str) -> DataFrame:
+    """The whole sets of those classes: cid, n, tokens."""
     whole = docs.select(F.col(id), F.col(text)).join(near.withColumnRenamed("sig", "want").hint("shuffle_hash"), F.col(id).eqNullSafe(F.col("k"))).select(id, text, "want")
-    sets = cuts.table(shingle_sets(whole, text, id, whole=True, extra=("want",)).filter("sig = want").dropDuplicates(["sig"]).select(F.col("sig").alias("cid"), "n", "tokens"), "sets")
-    cuts.free_shuffles()
+    return shingle_sets(whole, text, id, whole=True, extra=("want",)).filter("sig = want").dropDuplicates(["sig"]).select(F.col("sig").alias("cid"), "n", "tokens")
+
+
+def _ranked(sets: DataFrame) -> DataFrame:
+    """Classes that can have a partner, with the shingles that others hold too, rarest first, and the prefix of these."""
     each = sets.select("cid", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     common = each.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    ranked = cuts.table(
-        common.filter(F.size("ranked") >= _least("n")).select(
-            "cid", "n", F.col("ranked.token").alias("common"), (F.size("ranked") / F.col("n")).alias("central"),
-            F.slice(F.col("ranked.token"), 1, (F.size("ranked") - _least("n") + 1).cast("int")).alias("prefix"),
-        ),
-        "ranked",
+    return common.filter(F.size("ranked") >= _least("n")).select(
+        "cid", "n", F.col("ranked.token").alias("common"), (F.size("ranked") / F.col("n")).alias("central"),
+        F.slice(F.col("ranked.token"), 1, (F.size("ranked") - _least("n") + 1).cast("int")).alias("prefix"),
     )
-    cuts.drop(sets)
+
+
+def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """id, n_shingles and component_id for each row of docs."""
+    cuts = Cuts(docs.sparkSession)
+    rows = cuts.table(shingle_sets(docs, text, id, whole=False), "shingles")
+
+    # 1. Every step ends in a table, and its shuffle files go before the next one.
+    near = cuts.table(_near(rows, id), "near")
+    cuts.free_shuffles()
+    sets = cuts.table(_sets(docs, near, text, id), "sets")
+    cuts.free_shuffles()
+    ranked = cuts.table(_ranked(sets), "ranked")
+    cuts.drop(near, sets)
     cuts.free_shuffles()
 
     # 2. Groups around hubs.
