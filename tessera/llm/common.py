@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,21 @@ def _forget(spark: SparkSession, root: str) -> None:
         pass
 
 
+#: Spark's own setting to remove a query's shuffle files when it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Writes in this context remove their shuffle files at their end; the session's own setting comes back afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Cuts:
     """Tables written to the shared folder to cut lineage; `drop` removes those no longer needed."""
 
@@ -54,7 +71,8 @@ class Cuts:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, name)
-        df.write.parquet(path)
+        with shuffles_end(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -64,13 +82,6 @@ class Cuts:
             if path := self.paths.pop(id(t), None):
                 delete(self.spark, path)
 
-    def free_shuffles(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished jobs now."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def whole(text: str | Column) -> Column:
     """A text with null as the empty text."""

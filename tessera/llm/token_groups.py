@@ -159,14 +159,11 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     cuts = Cuts(docs.sparkSession)
     rows = cuts.table(shingle_sets(docs, text, id, whole=False), "shingles")
 
-    # 1. Every step ends in a table, and its shuffle files go before the next one.
+    # 1. Every step ends in a table, and its shuffle files go with it.
     near = cuts.table(_near(rows, id), "near")
-    cuts.free_shuffles()
     sets = cuts.table(_sets(docs, near, text, id), "sets")
-    cuts.free_shuffles()
     ranked = cuts.table(_ranked(sets), "ranked")
     cuts.drop(near, sets)
-    cuts.free_shuffles()
 
     # 2. Groups around hubs.
     prefix = ranked.select("cid", "n", "central", F.explode("prefix").alias("token"))
