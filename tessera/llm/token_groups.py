@@ -8,9 +8,10 @@ first n - o + l of each (l up to the partner's own): that prefix is all that is
    and only classes with l of them in their prefix go on. Their whole sets are read; their shingles are counted and ordered rarest first.
 2. Groups: each shingle of a rare-first prefix names as hub the class most of whose shingles are shared. Classes that are
    verified to link to a hub form a group with it, by connected components. A cluster of k near copies costs about k checks, not k * k.
-3. Matrix: the (shingle, group) pairs of each group's union. A class is a query to groups that hold one of its prefix shingles and
-   sizes that can link. Groups of many classes are cut into blocks with their own unions, and the overlap of the query with a block's union
-   bounds that with every member: blocks under o are not opened. Members of opened blocks are verified; a link joins the two groups.
+3. Matrix: groups of many classes are cut into blocks. Sets of n and m <= n shingles that link share 4/9 (n + m), at least 8/9 m, so of the
+   smaller one a shorter prefix is enough: the matrix holds the (shingle, block) pairs of these. A class is a query to the blocks of other groups that
+   hold a shingle of its prefix and a size up to its own. The overlap of the query with a block's union bounds that with every member: blocks
+   under the least overlap with their smallest member are not opened. Members of opened blocks are verified; a link joins the two groups.
 
 Only links inside a group are left unchecked, as they change no component, so the components are those of all links. The rarest-first order keeps passages that many documents share
 out of the prefixes; every count and minimum is pre-aggregated, hot join keys are those adaptive execution splits, and no array grows with a group.
@@ -52,6 +53,11 @@ def _least(n: str | Column) -> Column:
     return F.floor((n * PERCENT + 99) / 100)
 
 
+def _needed(n: Column, m: Column) -> Column:
+    """The least overlap of sets of n and m shingles that link."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT))
+
+
 class Shingles:
     """The sorted distinct shingles of each of a run of texts."""
 
@@ -144,13 +150,14 @@ def _sets(docs: DataFrame, near: DataFrame, text: str, id: str) -> DataFrame:
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """Classes that can have a partner, with the shingles that others hold too, rarest first, and the prefix of these."""
+    """Classes that can have a partner, with the shingles that others hold too, rarest first, the prefix of these, and how much of it partners of their size or more need."""
     each = sets.select("cid", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     common = each.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     return common.filter(F.size("ranked") >= _least("n")).select(
         "cid", "n", F.col("ranked.token").alias("common"), (F.size("ranked") / F.col("n")).alias("central"),
         F.slice(F.col("ranked.token"), 1, (F.size("ranked") - _least("n") + 1).cast("int")).alias("prefix"),
+        (F.size("ranked") - _needed(F.col("n"), F.col("n")) + 1).alias("short"),
     )
 
 
@@ -166,7 +173,7 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     cuts.drop(near, sets)
 
     # 2. Groups around hubs.
-    prefix = ranked.select("cid", "n", "central", F.explode("prefix").alias("token"))
+    prefix = ranked.select("cid", "n", "central", "short", F.posexplode("prefix").alias("pos", "token"))
     hubs = prefix.groupBy("token").agg(F.max(F.struct("central", "cid", "n")).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"))
     pairs = prefix.join(hubs, "token").filter((F.col("cid") != F.col("b")) & _fits("n", "m")).select(F.col("cid").alias("a"), "b").distinct()
     links = cuts.table(_linked(pairs, ranked), "links")
@@ -177,14 +184,17 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     member = cuts.table(member.join(sizes, "group").select("cid", "n", "group", block), "members")
 
     # 3. The matrix, its bounds, and the groups they leave open.
-    held = prefix.select("cid", "n", "token").join(member.select("cid", "group"), "cid")
-    matrix = held.select(F.col("group").alias("g"), "token").distinct()
-    asked = held.join(matrix, "token").filter("group > g").select("cid", "n", "g").distinct()
+    held = prefix.select("cid", "n", "token", (F.col("pos") < F.col("short")).alias("first")).join(member.select("cid", "group", "block"), "cid")
+    matrix = held.filter("first").select(F.col("group").alias("g"), F.col("block"), "token").distinct()
+    asked = held.select("cid", "n", "token", "group").join(matrix, "token").filter("group <> g").select("cid", "n", "g", "block").distinct()
     blocks = member.groupBy(F.col("group").alias("g"), "block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    asked = cuts.table(asked.join(blocks, "g").filter((_least("n") <= F.col("large")) & (_least("small") <= F.col("n"))).select("cid", "n", "g", "block"), "asked")
+    fits = (_least("n") <= F.col("large")) & (F.col("small") <= F.col("n"))
+    asked = cuts.table(asked.join(blocks, ["g", "block"]).filter(fits).select("cid", "n", "g", "block", "small"), "asked")
     union = member.join(asked.select(F.col("g").alias("group"), "block").distinct(), ["group", "block"]).join(ranked.select("cid", "common"), "cid").select(F.col("group").alias("g"), "block", F.explode("common").alias("token")).distinct()
-    overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "block", "token"]).groupBy("cid", "n", "g", "block").agg(F.count("*").alias("overlap"))
-    opened = overlap.filter(F.col("overlap") >= _least("n")).join(member.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("group").alias("g"), "block"), ["g", "block"])
+    overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "block", "token"]).groupBy("cid", "n", "small", "g", "block").agg(F.count("*").alias("overlap"))
+    enough = _needed(F.col("n"), F.greatest(F.col("small"), _least("n")))
+    members = member.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("group").alias("g"), "block")
+    opened = overlap.filter(F.col("overlap") >= enough).join(members, ["g", "block"]).filter("m <= n")
     across = cuts.table(_linked(opened.filter(_fits("n", "m")).select(F.col("cid").alias("a"), "b"), ranked), "across")
     of = member.select(F.col("cid"), "group")
     joined = across.join(of.select(F.col("cid").alias("a"), F.col("group").alias("ga")), "a").join(of.select(F.col("cid").alias("b"), F.col("group").alias("gb")), "b")
