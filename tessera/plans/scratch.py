@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 #: Only where the session names no shared folder, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints"
 
+#: Spark's setting to remove a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
@@ -17,6 +20,11 @@ def shared_path(spark, name: str) -> str:
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again: a lost executor costs a re-read, not the whole loop."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

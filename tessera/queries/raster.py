@@ -206,12 +206,12 @@ def tissue_fraction(spark, sf):
     return P.tissue_fraction(P.grid_patches(X.pixels(spark, sf), 8, 8, H, Wd), F.col("r") >= 200).select("image_id", "row", "col", *R6("fraction"), "is_valid")
 
 
-@query(f"WITH {PX}, {LAB}, {IRR}, {_INST}, e AS (SELECT image_id, label, px, py, avg(r) AS m, avg(g) AS k FROM ip JOIN px USING (image_id) WHERE px.x >= ip.px - 4 AND px.x < ip.px + 4 AND px.y >= ip.py - 4 AND px.y < ip.py + 4 GROUP BY 1, 2, 3, 4) SELECT image_id, label, round(avg(m), 6) AS f0, round(avg(k), 6) AS f1 FROM e GROUP BY 1, 2")
+@query(f"WITH {PX}, {LAB}, {IRR}, {_INST}, e AS (SELECT image_id, label, px, py, avg(r) AS m, avg(g) AS k FROM ip JOIN px USING (image_id) WHERE px.x >= ip.px - 4 AND px.x < ip.px + 4 AND px.y >= ip.py - 4 AND px.y < ip.py + 4 GROUP BY 1, 2, 3, 4) SELECT image_id, label, round(avg(m), 9) AS f0, round(avg(k), 9) AS f1 FROM e GROUP BY 1, 2")
 def patch_mean_embedding(spark, sf):
     # A patch's embedding is the mean of two channels here; any vector function of a patch takes its place.
     at = _inst(spark, sf).select("image_id", "label", "px", "py", F.explode(F.sequence(F.col("px") - 4, F.col("px") + 3)).alias("x")).withColumn("y", F.explode(F.sequence(F.col("py") - 4, F.col("py") + 3)))
     e = at.join(X.pixels(spark, sf), P.AT).groupBy("image_id", "label", "px", "py").agg(F.avg("r").alias("m"), F.avg("g").alias("k"))
-    return e.groupBy("image_id", "label").agg(F.round(F.avg("m"), 6).alias("f0"), F.round(F.avg("k"), 6).alias("f1"))
+    return e.groupBy("image_id", "label").agg(F.round(F.avg("m"), 9).alias("f0"), F.round(F.avg("k"), 9).alias("f1"))
 
 
 @query(f"WITH t AS (SELECT vec_id AS image_id, p // 8 AS y, p % 8 AS x, embedding[p + 1] AS v FROM (SELECT *, unnest(range(64)) AS p FROM embeddings)), m AS (SELECT image_id, v, unnest([{', '.join(f'[{k}, {a}, {b}]' for k, (a, b) in enumerate([('y', 'x'), ('y', '7 - x'), ('7 - x', 'y'), ('7 - x', '7 - y'), ('7 - y', '7 - x'), ('7 - y', 'x'), ('x', '7 - y'), ('x', 'y')]))}]) AS t FROM t) SELECT image_id, CAST(t[1] AS INT) AS aug, CAST(t[2] AS INT) AS y, CAST(t[3] AS INT) AS x, v FROM m")
