@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     picks = marked.filter("_y = 1").orderBy(order, "_id").limit(sample).unionByName(marked.filter("_y <> 1").orderBy(order, "_id").limit(sample))
     picks = picks.unionByName(free.orderBy(order, "_id").limit(pool).withColumn("_y", F.lit(-1)))
     # At most 2 * sample + pool short rows: bounded by parameters, whatever the tables hold.
-    own = docs.filter(F.octet_length(F.coalesce(text, F.lit(""))) <= most_bytes).join(F.broadcast(picks), F.col(id) == F.col("_id"))
+    own = docs.select(id, text, "lang", "source").filter(F.octet_length(F.coalesce(text, F.lit(""))) <= most_bytes).join(F.broadcast(picks), F.col(id) == F.col("_id"))
     rows = _figures(own, text, id, kind, ["_y"], "_y int, content binary, metadata binary", lambda v: {"content": pa.array([r.astype("<f4").tobytes() for r in v[0]], pa.binary()), "metadata": pa.array([r.astype("<f4").tobytes() for r in v[1]], pa.binary())}).collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(f"order {r[0]}".encode()), r[0], bytes(r[2])))
     if not rows:
