@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")
@@ -20,18 +20,25 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def _plain(v):
-    if isinstance(v, float):
-        return None if v != v else round(v, 6) + 0.0
-    if isinstance(v, (list, tuple)):
-        return tuple(map(_plain, v))
-    return v
+def _split(row):
+    """What sorts a row: all but its floating-point numbers; and these, with NaN as null."""
+    exact = repr([x for x in row if not isinstance(x, float)])
+    return exact, [None if isinstance(x, float) and x != x else x for x in row]
 
 
 def rows(df):
     """Sorted rows with columns by name."""
     names = sorted(df.columns)
-    return names, sorted((tuple(_plain(r[c]) for c in names) for r in df.collect()), key=repr)
+    return names, sorted((_split([r[c] for c in names]) for r in df.collect()), key=repr)
+
+
+def same(got, wanted):
+    """Equal names and rows, floating-point numbers up to rounding."""
+    assert got[0] == wanted[0]
+    assert len(got[1]) == len(wanted[1])
+    for (exact, a), (other, b) in zip(got[1], wanted[1]):
+        assert exact == other
+        assert [x for x in a if isinstance(x, float)] == pytest.approx([x for x in b if isinstance(x, float)], rel=1e-6, abs=2e-6)
 
 
 @pytest.fixture(scope="session")
@@ -47,6 +54,6 @@ def oracle():
         got = con.execute(sql)
         names = [d[0] for d in got.description]
         order = [names.index(c) for c in sorted(names)]
-        return sorted(names), sorted((tuple(_plain(r[i]) for i in order) for r in got.fetchall()), key=repr)
+        return sorted(names), sorted((_split([r[i] for i in order]) for r in got.fetchall()), key=repr)
 
     return run

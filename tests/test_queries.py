@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tests.conftest import SMALL, rows
+from tests.conftest import SMALL, rows, same
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, oracle, name):
-    assert rows(catalog.QUERIES[name](spark, SMALL)) == oracle(catalog.ORACLES[name])
+    same(rows(catalog.QUERIES[name](spark, SMALL)), oracle(catalog.ORACLES[name]))
 
 
 def test_entry(spark):
