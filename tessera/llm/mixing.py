@@ -5,7 +5,7 @@ tokens is to stay. Raking scales the cells' weights per token in turn until the
 their target share of that budget. A weight is the probability with which each document of the cell is kept, so after every sweep it is held to at most 1 (a value that is asked for
 more than it has gives all of it) and at least keep / `trim`. The draw is a hash of the document: the same in every run and on every retry.
 
-The cells are a DataFrame throughout: each sweep is three partial aggregates and joins over cells, cut by a table in the shared folder.
+The cells are a DataFrame throughout: a sweep is a partial aggregate and a join over cells for each axis, cut by a table in the shared folder.
 Documents meet their cell by an equi-join; a cell with a third of all documents is only a probability for them.
 
 Cases: null source or language is a value of its own; null text has no tokens and the topic `empty`; documents of cells without tokens are kept;
@@ -69,19 +69,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, tr
     some = cells.filter("tokens > 0")
     # `budget` is one row.
     budget = F.broadcast(some.agg((F.sum("tokens") * keep).alias("budget")))
+    share = {a: cuts.table(targets[a].select(F.col("value").alias("w"), "share"), "target") for a in axes}
     state, before, last = some.crossJoin(budget).select(*axes, "tokens", "budget", F.lit(keep).alias("weight")), None, float("inf")
+    held = F.greatest(F.least("weight", F.lit(1.0)), F.lit(keep / trim))
     for _ in range(sweeps):
+        gap = 0.0
         for axis in axes:
+            # Each axis ends in a table: the next one reads its rows twice, not its plan.
             have = state.groupBy(F.col(axis).alias("v")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"), F.first("budget").alias("all"))
-            to = targets[axis].select(F.col("value").alias("w"), "share")
-            factor = have.join(to, F.col("v").eqNullSafe(F.col("w")), "left").select("v", F.coalesce(F.col("share") * F.col("all") / F.col("have"), F.lit(1.0)).alias("factor"), F.abs(F.coalesce(F.col("share") - F.col("have") / F.col("all"), F.lit(0.0))).alias(f"gap_{axis}"))
-            state = state.join(factor, F.col(axis).eqNullSafe(F.col("v"))).select(*[c for c in state.columns if c != "weight"], (F.col("weight") * F.col("factor")).alias("weight"), f"gap_{axis}")
-        held = F.greatest(F.least("weight", F.lit(1.0)), F.lit(keep / trim))
-        swept = cuts.table(state.withColumn("weight", held), "rake")
-        gap = max(x or 0.0 for x in swept.agg(*[F.max(f"gap_{a}").alias(a) for a in axes]).first())
-        if before is not None:
-            cuts.drop(before)
-        before, state = swept, swept.select(*axes, "tokens", "budget", "weight")
+            factor = have.join(share[axis], F.col("v").eqNullSafe(F.col("w")), "left").select("v", F.coalesce(F.col("share") * F.col("all") / F.col("have"), F.lit(1.0)).alias("factor"), F.abs(F.coalesce(F.col("share") - F.col("have") / F.col("all"), F.lit(0.0))).alias("gap"))
+            moved = state.join(factor, F.col(axis).eqNullSafe(F.col("v"))).select(*axes, "tokens", "budget", (F.col("weight") * F.col("factor")).alias("weight"), "gap")
+            after = cuts.table(moved.withColumn("weight", held) if axis == axes[-1] else moved, "rake")
+            gap = max(gap, after.agg(F.max("gap")).first()[0] or 0.0)
+            if before is not None:
+                cuts.drop(before)
+            before, state = after, after.select(*axes, "tokens", "budget", "weight")
         if gap < close or gap > 0.9 * last:
             break
         last = gap
