@@ -290,7 +290,7 @@ def remove_small_objects(spark, sf):
 
 @query()
 def tissue_mask(spark, sf):
-    return T.gaussian_tissue_mask(X.pixels(spark, sf), H, Wd, sigma=1.0, min_size=10, kernel=5, background=100.0)
+    return T.gaussian_tissue_mask(X.pixels(spark, sf), H, Wd, sigma=1.0, min_size=10, kernel=5)
 
 
 @query()
