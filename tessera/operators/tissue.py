@@ -46,24 +46,25 @@ def tissue_step(px: DataFrame, height: int, width: int, sigma: float, min_size:
     return named.join(best.select("image_id", "component"), ["image_id", "component"]).select(*AT)
 
 
-def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float = 20.0, min_size: int = 10, kernel: int = 20, background: float = 228.0, most: int = 10) -> DataFrame:
-    """Tissue found in rounds, each taking a component and whitening it, until what is left is as light as the background.
+def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float = 20.0, min_size: int = 10, kernel: int = 20, background: float = 228.0) -> DataFrame:
+    """Tissue found in rounds, each taking a component and whitening it, until what is found is as light as the background or adds no pixel.
 
+    How light a component is, is the mean of its own gray before any whitening, black pixels aside.
     Images that are done leave the loop; every round is a few jobs over the images still open.
     """
-    open_ = cut(px.select(*AT, "r", "g", "b"), "open")
-    found = None
-    for _ in range(most):
-        grown = cut(dilate(tissue_step(open_, height, width, sigma, min_size), kernel, height, width).select("image_id", F.col("y").cast("int"), F.col("x").cast("int")), "grown")
-        light = open_.withColumn("v", gray()).join(grown, AT).groupBy("image_id").agg(F.avg("v").alias("light")).filter(F.col("light") < background)
-        grown = grown.join(light.select("image_id"), "image_id", "left_semi")
-        if grown.isEmpty():
-            break
-        found = grown if found is None else found.unionByName(grown)
-        seen = grown.withColumn("hit", F.lit(True))
-        white = lambda c: F.when(F.col("hit"), 255).otherwise(F.col(c)).alias(c)
-        open_ = cut(open_.join(light.select("image_id"), "image_id", "left_semi").join(seen, AT, "left").select(*AT, white("r"), white("g"), white("b")), "open")
-    return px.select(*AT).filter("false") if found is None else found.distinct()
+    open_ = cut(px.select(*AT, "r", "g", "b", gray().alias("own"), F.lit(False).alias("hit")), "open")
+    found = px.select(*AT).filter("false")
+    while True:
+        grown = dilate(tissue_step(open_, height, width, sigma, min_size), kernel, height, width).select("image_id", F.col("y").cast("int"), F.col("x").cast("int"))
+        under = cut(open_.join(grown, AT).select(*AT, "own", "hit"), "under")
+        dark = under.groupBy("image_id").agg(F.avg(F.when(F.col("own") > 0, F.col("own"))).alias("light")).filter(F.col("light") < background)
+        new = cut(under.filter(~F.col("hit")).join(dark.select("image_id"), "image_id", "left_semi").select(*AT), "new")
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+        still = open_.join(new.select("image_id").distinct(), "image_id", "left_semi").join(new.withColumn("now", F.lit(True)), AT, "left")
+        white = lambda c: F.when(F.col("now"), 255).otherwise(F.col(c)).alias(c)
+        open_ = cut(still.select(*AT, white("r"), white("g"), white("b"), "own", (F.col("hit") | F.col("now").isNotNull()).alias("hit")), "open")
 
 
 def watershed(px: DataFrame, markers: DataFrame, height: int, width: int) -> DataFrame:

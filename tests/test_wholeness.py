@@ -4,6 +4,7 @@ import numpy as np
 
 from tessera import catalog, fixtures
 from tessera.operators import raster as P
+from tessera.operators import tissue as T
 
 
 def _pieces(mask):
@@ -50,6 +51,21 @@ def _tissue(image, sigma, min_size, kernel, background):
         rounds += 1
 
 
+def test_tissue_mask_takes_all_pieces(spark):
+    rng = np.random.default_rng(3)
+    h, w = 26, 62
+    image = np.full((h, w, 3), 255)
+    for k in range(14):
+        y, x = 1 + k // 7 * 9, 1 + k % 7 * 9
+        image[y : y + 4 + k % 2, x : x + 5] = rng.integers(60, 90, (4 + k % 2, 5, 3)) if k < 12 else rng.integers(70, 100, (4 + k % 2, 5, 3))
+    image[19:25, 3:30] = rng.integers(238, 246, (6, 27, 3))
+    wanted, rounds = _tissue(image, 0.6, 6, 3, 228.0)
+    assert rounds > 10 and not wanted[22, 10]
+    px = spark.createDataFrame([(0, y, x, *map(int, image[y, x])) for y in range(h) for x in range(w)], "image_id long, y int, x int, r int, g int, b int")
+    got = T.gaussian_tissue_mask(px, h, w, sigma=0.6, min_size=6, kernel=3).collect()
+    assert sorted((r.y, r.x) for r in got) == sorted(map(tuple, np.argwhere(wanted).tolist()))
+
+
 def test_registered_tissue_mask_finds_mosaic_gray(spark, monkeypatch):
     image = np.full((fixtures.HEIGHT, fixtures.WIDTH, 3), 255)
     image[5:15, 10:40] = np.random.default_rng(1).integers(124, 131, (10, 30, 3))
