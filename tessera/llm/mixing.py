@@ -5,7 +5,8 @@ tokens is to stay. Raking scales the cells' weights per token in turn until the
 their target share of that budget. A weight is the probability with which each document of the cell is kept, so after every sweep it is held to at most 1 (a value that is asked for
 more than it has gives all of it) and at least keep / `trim`. The draw is a hash of the document: the same in every run and on every retry.
 
-The cells are a DataFrame throughout: a sweep is a partial aggregate and a join over cells for each axis, cut by a table in the shared folder.
+Sweeps go on until all targets are met up to `close` or no longer come closer; what is still missed then is logged. More than `few` cells stay a DataFrame:
+a sweep is a partial aggregate and a join over cells for each axis, cut by a table in the shared folder. Fewer cells are raked on the driver.
 Documents meet their cell by an equi-join; a cell with a third of all documents is only a probability for them.
 
 Cases: null source or language is a value of its own; null text has no tokens and the topic `empty`; documents of cells without tokens are kept;
@@ -14,16 +15,25 @@ repeated rows are drawn alike; values that targets do not name keep their own sh
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Cuts, read, whole
 from .rolling import SPACE, chunks, runs, texts_of
 
 AXES = ("source", "lang", "topic")
-KEEP, TEMPERATURE, TRIM, SWEEPS, CLOSE = 0.75, 0.8, 4.0, 10, 1e-3
+KEEP, TEMPERATURE, TRIM, CLOSE = 0.75, 0.8, 4.0, 1e-3
+#: Raking has stalled if its gap fell by less than LEAST_FALL over the last STALL sweeps.
+STALL, LEAST_FALL = 20, 1e-6
+#: Up to so many cells the sweeps run on the driver, with the same figures as the sweeps in Spark.
+FEW = 1 << 16
+
+_log = logging.getLogger(__name__)
 
 
 #: A text's form, from shares of its characters, is its topic where documents carry none: the first that holds.
@@ -62,31 +72,83 @@ def tempered(cells: DataFrame, axis: str, temperature: float) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select("value", (F.pow("tokens", F.lit(temperature)) / F.col("total")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, trim: float = TRIM, sweeps: int = SWEEPS, close: float = CLOSE) -> DataFrame:
-    """cells(*axes, tokens) and targets by axis (value, share) -> cells with the probability `weight`."""
+def _done(gaps: list[float], close: float) -> bool:
+    return gaps[-1] < close or (len(gaps) > STALL and gaps[-1 - STALL] - gaps[-1] < LEAST_FALL)
+
+
+def _rake_few(rows: list, axes: list[str], share: dict[str, dict], keep: float, trim: float, close: float) -> np.ndarray:
+    """The sweeps of `rake` over at most FEW cells: a weight for each."""
+    tokens, weight = np.array([r["tokens"] for r in rows], float), np.full(len(rows), keep)
+    budget, gaps, of, want = tokens.sum() * keep, [], {}, {}
+    for a in axes:
+        at: dict = {}
+        of[a] = np.array([at.setdefault(r[a], len(at)) for r in rows])
+        want[a] = np.array([share[a].get(v, np.nan) for v in at], float)
+    while not gaps or not _done(gaps, close):
+        gap = 0.0
+        for a in axes:
+            have = np.bincount(of[a], tokens * weight)
+            gap = max(gap, np.nan_to_num(np.abs(want[a] - have / budget)).max())
+            factor = np.divide(want[a] * budget, have, out=np.ones(len(have)), where=(have > 0) & ~np.isnan(want[a]))
+            weight = weight * factor[of[a]]
+        weight = np.clip(weight, keep / trim, 1.0)
+        gaps.append(gap)
+    return weight
+
+
+def missed(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP) -> dict[str, float]:
+    """By axis, the largest gap between a value's target share and its share of the budget under `weight`."""
+    some, out = cells.filter("tokens > 0"), {}
+    budget = (some.agg(F.sum("tokens")).first()[0] or 0) * keep
+    for axis, target in targets.items():
+        have = some.groupBy(F.col(axis).alias("v")).agg((F.sum(F.col("tokens") * F.col("weight")) / budget).alias("have"))
+        both = have.join(target.select(F.col("value").alias("w"), "share"), F.col("v").eqNullSafe(F.col("w")))
+        out[axis] = both.agg(F.max(F.abs(F.col("share") - F.col("have")))).first()[0] or 0.0
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, trim: float = TRIM, close: float = CLOSE, few: int = FEW) -> DataFrame:
+    """cells(*axes, tokens) and targets by axis (value, share) -> cells with the probability `weight`.
+
+    Sweeps go on until every target is met up to `close` or the gap has stalled; targets that the returned weights miss are logged by axis.
+    """
     cuts = Cuts(cells.sparkSession)
     axes = list(targets)
-    some = cells.filter("tokens > 0")
+    some = cells.filter("tokens > 0").select(*axes, "tokens")
+    share = {a: cuts.table(targets[a].select(F.col("value").alias("w"), "share"), "target") for a in axes}
+    rows = some.limit(few + 1).collect()
+    if rows and len(rows) <= few:
+        known = {a: {r["w"]: r["share"] for r in share[a].join(F.broadcast(some.select(F.col(a).alias("v")).distinct()), F.col("v").eqNullSafe(F.col("w")), "left_semi").collect()} for a in axes}
+        weight = _rake_few(rows, axes, known, keep, trim, close)
+        schema = T.StructType([*some.schema.fields, T.StructField("weight", T.DoubleType())])
+        out = cells.sparkSession.createDataFrame([(*r, float(w)) for r, w in zip(rows, weight)], schema)
+    else:
+        out = _rake_many(cuts, some, axes, share, keep, trim, close)
+    if rows:
+        for axis, gap in missed(out, targets, keep).items():
+            if gap >= close:
+                _log.warning("raking misses a target of %s by a share of %.6f", axis, gap)
+    return out
+
+
+def _rake_many(cuts: Cuts, some: DataFrame, axes: list[str], share: dict[str, DataFrame], keep: float, trim: float, close: float) -> DataFrame:
     # `budget` is one row.
     budget = F.broadcast(some.agg((F.sum("tokens") * keep).alias("budget")))
-    share = {a: cuts.table(targets[a].select(F.col("value").alias("w"), "share"), "target") for a in axes}
-    state, before, last = some.crossJoin(budget).select(*axes, "tokens", "budget", F.lit(keep).alias("weight")), None, float("inf")
+    state, before, gaps = some.crossJoin(budget).select(*axes, "tokens", "budget", F.lit(keep).alias("weight")), None, []
     held = F.greatest(F.least("weight", F.lit(1.0)), F.lit(keep / trim))
-    for _ in range(sweeps):
+    while not gaps or not _done(gaps, close):
         gap = 0.0
         for axis in axes:
             # Each axis ends in a table: the next one reads its rows twice, not its plan.
             have = state.groupBy(F.col(axis).alias("v")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"), F.first("budget").alias("all"))
-            factor = have.join(share[axis], F.col("v").eqNullSafe(F.col("w")), "left").select("v", F.coalesce(F.col("share") * F.col("all") / F.col("have"), F.lit(1.0)).alias("factor"), F.abs(F.coalesce(F.col("share") - F.col("have") / F.col("all"), F.lit(0.0))).alias("gap"))
+            factor = have.join(share[axis], F.col("v").eqNullSafe(F.col("w")), "left").select("v", F.coalesce(F.try_divide(F.col("share") * F.col("all"), F.col("have")), F.lit(1.0)).alias("factor"), F.abs(F.coalesce(F.col("share") - F.col("have") / F.col("all"), F.lit(0.0))).alias("gap"))
             moved = state.join(factor, F.col(axis).eqNullSafe(F.col("v"))).select(*axes, "tokens", "budget", (F.col("weight") * F.col("factor")).alias("weight"), "gap")
             after = cuts.table(moved.withColumn("weight", held) if axis == axes[-1] else moved, "rake")
             gap = max(gap, after.agg(F.max("gap")).first()[0] or 0.0)
             if before is not None:
                 cuts.drop(before)
             before, state = after, after.select(*axes, "tokens", "budget", "weight")
-        if gap < close or gap > 0.9 * last:
-            break
-        last = gap
+        gaps.append(gap)
     return state.select(*axes, "tokens", "weight")
 
 
