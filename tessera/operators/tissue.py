@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,24 +71,40 @@ def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float =
         open_ = cut(still.select(*AT, white("r"), white("g"), white("b"), "own", (F.col("hit") | F.col("now").isNotNull()).alias("hit")), "open")
 
 
-def watershed(px: DataFrame, markers: DataFrame, height: int, width: int) -> DataFrame:
-    """px(image_id, y, x, v), markers(image_id, y, x, label): labels grown from the markers in order of v, darkest last.
-
-    A level's pixels take the smallest label that touches them, step by step, before the next level is flooded: levels are 16 bands of v.
+def _flood(height: int, width: int):
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v, mark = (table.column(c).to_pylist() for c in ("y", "x", "v", "label"))
+        # A frame of closed pixels spares the tests for the edge.
+        wide = width + 2
+        value, label = [None] * ((height + 2) * wide), [None] * ((height + 2) * wide)
+        at = [(a + 1) * wide + b + 1 for a, b in zip(y, x)]
+        for i, a, m in zip(at, v, mark):
+            value[i], label[i] = a, m
+        heap = [(value[i], 0, i) for i in at if label[i] is not None]
+        heapq.heapify(heap)
+        age = 0
+        while heap:
+            i = heapq.heappop(heap)[2]
+            for n in (i - wide, i - 1, i + 1, i + wide):
+                if value[n] is not None and label[n] is None:
+                    age += 1
+                    label[n] = label[i]
+                    heapq.heappush(heap, (value[n], age, n))
+        out = pa.array([label[i] for i in at], table.schema.field("label").type)
+        return table.drop_columns(["v", "label"]).append_column("label", out).filter(pc.is_valid(out))
+
+    return run
+
+
+def watershed(px: DataFrame, markers: DataFrame, height: int, width: int, mask: DataFrame | None = None) -> DataFrame:
+    """px(image_id, y, x, v), markers(image_id, y, x, label): labels grown from the markers over the pixels (of the mask), lowest v first.
+
+    A priority flood: v may be any number; a pixel takes the label that touches it first, and of equal v the one touched first goes on first.
+    The order runs through the whole image, so an image is one group; a pixel marked twice has its smallest label.
     """
-    band = F.floor(F.col("v") / 16)
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
-    labelled, left = markers.select(*AT, "label"), px.select(*AT, band.alias("band")).join(markers.select(*AT), AT, "left_anti")
-    labelled, left = cut(labelled, "labelled"), cut(left, "left")
-    front = labelled
-    for level in range(15, -1, -1):
-        while True:
-            reach = front.select("image_id", "y", "x", "label", near.alias("o")).groupBy("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.min("label").alias("label"))
-            new = cut(left.filter(F.col("band") >= level).join(reach, AT).select(*AT, "label"), "new")
-            if new.isEmpty():
-                break
-            left = cut(left.join(new.select(*AT), AT, "left_anti"), "left")
-            labelled = labelled.unionByName(new)
-            front = new
-        front = labelled = cut(labelled, "labelled")
-    return labelled
+    if mask is not None:
+        px = px.join(mask.select(*AT).distinct(), AT, "left_semi")
+    marks = markers.groupBy(*AT).agg(F.min("label").alias("label"))
+    rows = px.filter(F.col("v").isNotNull()).select(*AT, "v").join(marks, AT, "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy("image_id").applyInArrow(_flood(height, width), ", ".join(f"{c} {kinds[c]}" for c in (*AT, "label")))

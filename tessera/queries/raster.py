@@ -301,7 +301,7 @@ def hole_fill(spark, sf):
 @query()
 def watershed(spark, sf):
     lab = X.labels(X.pixels(spark, sf), dense=False)
-    return T.watershed(X.pixels(spark, sf).select(*P.AT, F.col("r").alias("v")), lab.filter("r >= 220").select(*P.AT, "label"), H, Wd)
+    return T.watershed(X.pixels(spark, sf).select(*P.AT, (-F.col("r")).alias("v")), lab.filter("r >= 220").select(*P.AT, "label"), H, Wd)
 
 
 # Superpixels.

@@ -91,3 +91,36 @@ def test_raking_meets_targets_of_correlated_axes(spark):
     few, many = (sorted(mixing.rake(cells, easy, keep=0.1, close=7e-3, few=n).collect()) for n in (100, 0))
     assert [r[:3] for r in few] == [r[:3] for r in many]
     assert [r.weight for r in few] == pytest.approx([r.weight for r in many], rel=1e-9)
+
+
+def _flooded(v, marks, mask):
+    """A priority flood by search of the whole front: lowest value first, then the one touched first."""
+    label, front, touched = dict(marks), [(v[at], 0, at) for at in marks], 0
+    while front:
+        front.remove(least := min(front))
+        y, x = least[2]
+        for to in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= to[0] < v.shape[0] and 0 <= to[1] < v.shape[1] and mask[to] and to not in label:
+                touched += 1
+                label[to] = label[y, x]
+                front.append((v[to], touched, to))
+    return label
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_watershed_floods_every_value(spark, kind):
+    rng = np.random.default_rng(5)
+    h, w = 14, 23
+    # Negated distances in [-1, 0], as in the reference's nuclei; and integers of one band of 16.
+    images = [-rng.random((h, w)) if kind == "double" else rng.integers(0, 16, (h, w)) for _ in range(3)]
+    masks = [rng.random((h, w)) < 0.85 for _ in images]
+    marks = [{(1, 2): 7, (12, 4): 3, (6, 20): 5} for _ in images]
+    for m in masks:
+        for at in marks[0]:
+            m[at] = True
+    px = spark.createDataFrame([(k, y, x, images[k][y, x].item()) for k in range(3) for y in range(h) for x in range(w)], f"image_id long, y int, x int, v {kind}")
+    seeds = spark.createDataFrame([(k, *at, n) for k in range(3) for at, n in marks[k].items()], "image_id long, y int, x int, label int")
+    mask = spark.createDataFrame([(k, int(y), int(x)) for k in range(3) for y, x in np.argwhere(masks[k])], "image_id long, y int, x int")
+    for given, of in ((None, [np.ones((h, w), bool)] * 3), (mask, masks)):
+        wanted = sorted((k, *at, n) for k in range(3) for at, n in _flooded(images[k], marks[k], of[k]).items())
+        assert sorted(map(tuple, T.watershed(px, seeds, h, w, given).collect())) == wanted
