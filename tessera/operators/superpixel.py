@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.plans.scratch import cut
 
 from .graph import connectivity, region_adjacency
+from .raster import gaussian_blur
+from .tissue import pixel_components
 
 KEY = ["image_id", "label"]
 BINS = 4
@@ -21,14 +23,44 @@ def count_for(height: Column, width: Column, size: int, most: int | None = None)
     return n if most is None else F.least(n, F.lit(most))
 
 
-def slic(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 5) -> DataFrame:
-    """Labels from 1 by k-means over colour and place; a pixel looks at the 3 x 3 seeds around its own grid cell.
+def connected(lab: DataFrame, width: int, least: int) -> DataFrame:
+    """lab(image_id, y, x, label) with every connected piece as a label of its own, from 1 in the order of their first pixels.
+
+    A piece of under `least` pixels joins the piece left of its first pixel, or above it. That one begins earlier, so joins form no cycle;
+    only the piece of an image's first pixel can stay small.
+    """
+    own = pixel_components(lab.select(F.struct("image_id", "label").alias("image_id"), "y", "x"), width)
+    own = cut(own.select(F.col("image_id.image_id").alias("image_id"), "y", "x", "component"), "pieces")
+    small = own.groupBy("image_id", "component").agg((F.count("*") < least).alias("small"))
+    left = own.select("image_id", "y", (F.col("x") + 1).alias("x"), F.col("component").alias("left"))
+    above = own.select("image_id", (F.col("y") + 1).alias("y"), "x", F.col("component").alias("above"))
+    first = own.filter(F.col("component") == F.col("y").cast("long") * width + F.col("x")).join(small, ["image_id", "component"])
+    first = first.join(left, ["image_id", "y", "x"], "left").join(above, ["image_id", "y", "x"], "left")
+    to = cut(first.select("image_id", "component", F.when(F.col("small"), F.coalesce("left", "above", "component")).otherwise(F.col("component")).alias("to")), "joins")
+    while True:
+        jump = to.select("image_id", F.col("component").alias("to"), F.col("to").alias("next"))
+        after = cut(to.join(jump, ["image_id", "to"]).select("image_id", "component", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "joins")
+        to = after.select("image_id", "component", "to")
+        if after.filter("moved").isEmpty():
+            break
+    named = to.select("image_id", "to").distinct().withColumn("label", F.row_number().over(W.partitionBy("image_id").orderBy("to")))
+    return own.join(to.join(named, ["image_id", "to"]), ["image_id", "component"]).select("image_id", "y", "x", "label")
+
+
+def slic(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0) -> DataFrame:
+    """Labels from 1 by k-means over blurred colour and place, each connected; a pixel looks at the 3 x 3 seeds around its own grid cell.
 
     Pixels keep their grid cell, so a round is one equi-join with the few seeds of a neighbourhood and one partial aggregate.
     """
     rows, cols = -(-height // step), -(-width // step)
     near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
     cell = lambda c: F.floor(F.col(c) / step)
+    if sigma > 0:
+        # A channel is an image to the blur.
+        each = px.select("image_id", "y", "x", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in "rgb"])).alias("o"))
+        soft = gaussian_blur(each.select(F.struct("image_id", "o.c").alias("image_id"), "y", "x", "o.v"), sigma, height, width)
+        px = soft.groupBy(F.col("image_id.image_id").alias("image_id"), "y", "x").agg(*[F.max(F.when(F.col("image_id.c") == c, F.col("v"))).alias(c) for c in "rgb"])
+        px = cut(px, "blur")
     own = px.select("image_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in "rgb"], cell("y").alias("cy"), cell("x").alias("cx"))
     around = own.select("*", near.alias("o")).withColumn("seed", (F.col("cy") + F.col("o.dy")) * cols + F.col("cx") + F.col("o.dx")).filter((F.col("cy") + F.col("o.dy")).between(0, rows - 1) & (F.col("cx") + F.col("o.dx")).between(0, cols - 1)).drop("o", "cy", "cx")
     means = [F.avg(c).alias(f"m{c}") for c in ("y", "x", "r", "g", "b")]
@@ -38,7 +70,7 @@ def slic(px: DataFrame, height: int, width: int, step: int, compactness: float =
         given = around.join(seeds, ["image_id", "seed"]).groupBy("image_id", "y", "x").agg(F.min_by(F.struct("seed", "r", "g", "b"), F.struct(d, "seed")).alias("s")).select("image_id", "y", "x", "s.*")
         if k + 1 < rounds:
             seeds = cut(given.groupBy("image_id", "seed").agg(*means), "seeds")
-    return given.select("image_id", "y", "x", (F.col("seed") + 1).cast("int").alias("label"))
+    return connected(given.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("seed").alias("label")), width, step * step // 2)
 
 
 def color_stats(lab: DataFrame, legacy: bool = True) -> DataFrame:

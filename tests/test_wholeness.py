@@ -1,11 +1,14 @@
 """Operators against brute force, on inputs that go beyond earlier caps."""
 
+import inspect
+
 import numpy as np
 import pytest
 
 from tessera import catalog, fixtures
 from tessera.llm import mixing
 from tessera.operators import raster as P
+from tessera.operators import superpixel as U
 from tessera.operators import tissue as T
 
 
@@ -124,3 +127,30 @@ def test_watershed_floods_every_value(spark, kind):
     for given, of in ((None, [np.ones((h, w), bool)] * 3), (mask, masks)):
         wanted = sorted((k, *at, n) for k in range(3) for at, n in _flooded(images[k], marks[k], of[k]).items())
         assert sorted(map(tuple, T.watershed(px, seeds, h, w, given).collect())) == wanted
+
+
+def test_slic_labels_are_connected_and_not_small(spark):
+    rng = np.random.default_rng(7)
+    h, w, step = 24, 40, 6
+    images = rng.integers(0, 256, (2, h, w, 3))
+    px = spark.createDataFrame([(k, y, x, *map(int, images[k, y, x])) for k in range(2) for y in range(h) for x in range(w)], "image_id long, y int, x int, r int, g int, b int")
+    assert inspect.signature(U.slic).parameters["rounds"].default == 10
+    rows = U.slic(px, h, w, step).collect()
+    assert len(rows) == 2 * h * w
+    for k in range(2):
+        lab = np.zeros((h, w), int)
+        for r in rows:
+            if r.image_id == k:
+                lab[r.y, r.x] = r.label
+        assert set(lab.ravel()) == set(range(1, lab.max() + 1))
+        for n in range(1, lab.max() + 1):
+            assert len(_pieces(lab == n)) == 1
+            assert (lab == n).sum() >= step * step // 2 or n == lab[0, 0]
+
+
+def test_connected_joins_chains_of_small_pieces(spark):
+    # A large piece, then small ones that touch one another; label 1 has a second, detached large piece.
+    picture = ["1111112311", "1111114511", "1111116711"]
+    lab = spark.createDataFrame([(0, y, x, int(c)) for y, line in enumerate(picture) for x, c in enumerate(line)], "image_id long, y int, x int, label int")
+    got = {(r.y, r.x): r.label for r in U.connected(lab, 10, 4).collect()}
+    assert got == {(y, x): 1 if x < 8 else 2 for y in range(3) for x in range(10)}
