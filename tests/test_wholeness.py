@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from tessera import catalog, fixtures
-from tessera.llm import mixing
 from tessera.operators import raster as P
 from tessera.operators import superpixel as U
 from tessera.operators import tissue as T
@@ -83,19 +82,6 @@ def test_registered_tissue_mask_finds_mosaic_gray(spark, monkeypatch):
     assert sorted((r.y, r.x) for r in got) == sorted(map(tuple, np.argwhere(wanted).tolist()))
 
 
-def test_raking_meets_targets_of_correlated_axes(spark):
-    cells = spark.createDataFrame([(f"s{i}", f"l{k}", 900 if i == k else 10) for i in range(3) for k in range(3)], "source string, lang string, tokens long")
-    to = lambda c, *shares: spark.createDataFrame([(f"{c}{k}", s) for k, s in enumerate(shares)], "value string, share double")
-    third = 1 / 3
-    targets = {"source": to("s", third + 0.01, third, third - 0.01), "lang": to("l", third, third, third)}
-    gaps = mixing.missed(mixing.rake(cells, targets, keep=0.1, trim=40.0), targets, keep=0.1)
-    assert max(gaps.values()) < 1.5e-3
-    easy = {"source": to("s", 0.34, 0.33, 0.33), "lang": to("l", 0.33, 0.34, 0.33)}
-    few, many = (sorted(mixing.rake(cells, easy, keep=0.1, close=7e-3, few=n).collect()) for n in (100, 0))
-    assert [r[:3] for r in few] == [r[:3] for r in many]
-    assert [r.weight for r in few] == pytest.approx([r.weight for r in many], rel=1e-9)
-
-
 def _flooded(v, marks, mask):
     """A priority flood by search of the whole front: lowest value first, then the one touched first."""
     label, front, touched = dict(marks), [(v[at], 0, at) for at in marks], 0
