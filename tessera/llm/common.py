@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,16 +11,17 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints"
-
 #: White space of every word, line and shingle rule in this package.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
@@ -74,13 +76,18 @@ class Cuts:
         with shuffles_end(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        # The frame is held with its path, so that its number is not given to another one.
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if path := self.paths.pop(id(t), None):
-                delete(self.spark, path)
+            if own := self.paths.pop(id(t), None):
+                delete(self.spark, own[1])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Removes every table but these."""
+        self.drop(*[t for t, _ in list(self.paths.values()) if not any(t is k for k in kept)])
 
 
 def whole(text: str | Column) -> Column:

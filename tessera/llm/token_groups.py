@@ -10,8 +10,8 @@ first n - o + l of each (l up to the partner's own): that prefix is all that is
    verified to link to a hub form a group with it, by connected components. A cluster of k near copies costs about k checks, not k * k.
 3. Matrix: groups of many classes are cut into blocks. Sets of n and m <= n shingles that link share 4/9 (n + m), at least 8/9 m, so of the
    smaller one a shorter prefix is enough: the matrix holds the (shingle, block) pairs of these. A class is a query to the blocks of other groups that
-   hold a shingle of its prefix and a size up to its own. The overlap of the query with a block's union bounds that with every member: blocks
-   under the least overlap with their smallest member are not opened. Members of opened blocks are verified; a link joins the two groups.
+   hold l shingles of its prefix (l = n / 10 again, of the smaller one) and a size up to its own. The overlap of the query with a block's union bounds that
+   with every member: blocks under the least overlap with their smallest member are not opened. Members of opened blocks are verified; a link joins the two groups.
 
 Only links inside a group are left unchecked, as they change no component, so the components are those of all links. The rarest-first order keeps passages that many documents share
 out of the prefixes; every count and minimum is pre-aggregated, hot join keys are those adaptive execution splits, and no array grows with a group.
@@ -123,6 +123,11 @@ def shingle_sets(docs: DataFrame, text: str, id: str, whole: bool, extra: tuple[
     return docs.select(F.col(text).cast("string").alias("_text"), F.col(id), *extra).mapInArrow(run, f"{kinds}, {SETS}")
 
 
+def _few(n: str | Column) -> Column:
+    """How many shingles a class must share inside the prefixes: l of the text above."""
+    return F.greatest(F.floor(_least(n) / SPREAD), F.lit(1))
+
+
 def _fits(n: str, m: str) -> Column:
     """Can sets of these sizes link."""
     return (_least(F.greatest(n, m))) <= F.least(n, m)
@@ -136,16 +141,17 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _near(rows: DataFrame, id: str) -> DataFrame:
-    """Signatures of classes that hold enough of their prefix in common with other classes, with one id k of each."""
+    """Signatures of classes that hold enough of their prefix in common with other classes, with the id k and the text's hash of one row of each."""
     shared = rows.select("mark", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("token")
-    counts = rows.select(F.col(id).alias("k"), F.explode("tokens").alias("token")).join(shared, "token").groupBy("k").agg(F.count("*").alias("hits"))
-    few = F.greatest(F.floor(_least("n") / SPREAD), F.lit(1))
-    return rows.join(counts, F.col(id).eqNullSafe(F.col("k"))).filter(F.col("hits") >= few).groupBy("sig").agg(F.min(id).alias("k"))
+    counts = rows.select(F.col("_tag").alias("t"), F.explode("tokens").alias("token")).join(shared, "token").groupBy("t").agg(F.count("*").alias("hits"))
+    enough = rows.join(counts, F.col("_tag") == F.col("t")).filter(F.col("hits") >= _few("n"))
+    return enough.groupBy("sig").agg(F.min(F.struct(id, "_key")).alias("at")).select("sig", F.col("at").getField(id).alias("k"), F.col("at._key").alias("h"))
 
 
 def _sets(docs: DataFrame, near: DataFrame, text: str, id: str) -> DataFrame:
-    """The whole sets of those classes: cid, n, tokens."""
-    whole = docs.select(F.col(id), F.col(text)).join(near.withColumnRenamed("sig", "want").hint("shuffle_hash"), F.col(id).eqNullSafe(F.col("k"))).select(id, text, "want")
+    """The whole sets of those classes: cid, n, tokens. Rows are met by id and text, so rows that share an id do not multiply."""
+    same = F.col(id).eqNullSafe(F.col("k")) & (F.col("_key") == F.col("h"))
+    whole = docs.join(near.withColumnRenamed("sig", "want"), same).select(id, text, "want")
     return shingle_sets(whole, text, id, whole=True, extra=("want",)).filter("sig = want").dropDuplicates(["sig"]).select(F.col("sig").alias("cid"), "n", "tokens")
 
 
@@ -156,15 +162,17 @@ def _ranked(sets: DataFrame) -> DataFrame:
     common = each.join(often, "token").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     return common.filter(F.size("ranked") >= _least("n")).select(
         "cid", "n", F.col("ranked.token").alias("common"), (F.size("ranked") / F.col("n")).alias("central"),
-        F.slice(F.col("ranked.token"), 1, (F.size("ranked") - _least("n") + 1).cast("int")).alias("prefix"),
-        (F.size("ranked") - _needed(F.col("n"), F.col("n")) + 1).alias("short"),
+        (F.size("ranked") - _least("n") + 1).alias("one"),
+        F.slice(F.col("ranked.token"), 1, (F.size("ranked") - _least("n") + _few("n")).cast("int")).alias("prefix"),
+        (F.size("ranked") - _needed(F.col("n"), F.col("n")) + _few("n")).alias("short"),
     )
 
 
 def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_shingles and component_id for each row of docs."""
     cuts = Cuts(docs.sparkSession)
-    rows = cuts.table(shingle_sets(docs, text, id, whole=False), "shingles")
+    docs = docs.select(F.col(id), F.col(text).cast("string").alias(text), F.xxhash64(F.col(text).cast("string")).alias("_key"))
+    rows = cuts.table(shingle_sets(docs, text, id, whole=False, extra=("_key",)).withColumn("_tag", F.monotonically_increasing_id()), "shingles")
 
     # 1. Every step ends in a table, and its shuffle files go with it.
     near = cuts.table(_near(rows, id), "near")
@@ -173,9 +181,10 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     cuts.drop(near, sets)
 
     # 2. Groups around hubs.
-    prefix = ranked.select("cid", "n", "central", "short", F.posexplode("prefix").alias("pos", "token"))
-    hubs = prefix.groupBy("token").agg(F.max(F.struct("central", "cid", "n")).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"))
-    pairs = prefix.join(hubs, "token").filter((F.col("cid") != F.col("b")) & _fits("n", "m")).select(F.col("cid").alias("a"), "b").distinct()
+    prefix = ranked.select("cid", "n", "central", "one", "short", F.posexplode("prefix").alias("pos", "token"))
+    rare = prefix.filter("pos < one")
+    hubs = rare.groupBy("token").agg(F.max(F.struct("central", "cid", "n")).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"))
+    pairs = rare.join(hubs, "token").filter((F.col("cid") != F.col("b")) & _fits("n", "m")).select(F.col("cid").alias("a"), "b").distinct()
     links = cuts.table(_linked(pairs, ranked), "links")
     group = connected_components(links, cuts)
     member = ranked.join(group, F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("component", "cid").alias("group"))
@@ -186,10 +195,12 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     # 3. The matrix, its bounds, and the groups they leave open.
     held = prefix.select("cid", "n", "token", (F.col("pos") < F.col("short")).alias("first")).join(member.select("cid", "group", "block"), "cid")
     matrix = held.filter("first").select(F.col("group").alias("g"), F.col("block"), "token").distinct()
-    asked = held.select("cid", "n", "token", "group").join(matrix, "token").filter("group <> g").select("cid", "n", "g", "block").distinct()
+    # A query and a block that share too few shingles of the prefixes hold no link: nothing more is read of them.
+    shared = held.select("cid", "n", "token", "group").join(matrix, "token").filter("group <> g").groupBy("cid", "n", "g", "block").agg(F.count("*").alias("hits"))
     blocks = member.groupBy(F.col("group").alias("g"), "block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
     fits = (_least("n") <= F.col("large")) & (F.col("small") <= F.col("n"))
-    asked = cuts.table(asked.join(blocks, ["g", "block"]).filter(fits).select("cid", "n", "g", "block", "small"), "asked")
+    enough = F.col("hits") >= F.least(_few("n"), _few(F.greatest(F.col("small"), _least("n"))))
+    asked = cuts.table(shared.join(blocks, ["g", "block"]).filter(fits & enough).select("cid", "n", "g", "block", "small"), "asked")
     union = member.join(asked.select(F.col("g").alias("group"), "block").distinct(), ["group", "block"]).join(ranked.select("cid", "common"), "cid").select(F.col("group").alias("g"), "block", F.explode("common").alias("token")).distinct()
     overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "block", "token"]).groupBy("cid", "n", "small", "g", "block").agg(F.count("*").alias("overlap"))
     enough = _needed(F.col("n"), F.greatest(F.col("small"), _least("n")))
@@ -206,6 +217,7 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     linked = final.join(classes, "sig")
     least = linked.groupBy("group").agg(F.min("least").alias("lowest"))
     named = cuts.table(classes.join(linked.join(least, "group").select("sig", "lowest"), "sig", "left").select(F.col("sig").alias("s"), F.coalesce("lowest", "least").alias("component_id")), "named")
+    cuts.drop_others(rows, named)
     # Null ids aside, the smallest id of a component is there for all of it.
     out = rows.select(id, "n", "sig").join(named, (F.col("sig") == F.col("s")) & (F.col("n") > 0), "left")
     return out.select(F.col(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id)).alias("component_id"))
