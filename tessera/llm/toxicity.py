@@ -9,8 +9,8 @@ What is compressed is each word's 16-byte code (a hash of its letters, case fold
 insult costs zstandard about as much as the sequence that would replace it, so a window says nothing; as codes a known word saves 13 bytes and a
 chance match is impossible. Each dictionary is trained on the words of its class that the other class's training texts lack.
 
-Fit: at most `sample` labelled rows of each class of at most `most_bytes` bytes, chosen by a hash of their id from the rows given; half train the
-dictionaries, half set the threshold and the curve. That sample, and the two dictionaries, are all that the driver and the tasks hold.
+Fit: at most `sample` labelled ids of each class, one text of at most `most_bytes` bytes each, chosen by a hash of the id from the rows given; half train the
+dictionaries, half set the threshold and the curve. One task fits them; the driver sees the two dictionaries and the curve, no text.
 Scoring covers whole texts in one pass without a shuffle.
 
 Cases: null and empty texts have no window and get the calibrated score of a text without evidence; rows without a
@@ -20,6 +20,7 @@ of toxic rows (0.5 without any); repeated rows score alike; an empty table gives
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from .rolling import Rolling, chunks, mix, runs, texts_of
 
 WINDOW = 64
 DICTIONARY_BYTES = 8192
-SAMPLE, MOST_BYTES = 3000, 1 << 16
+SAMPLE, MOST_BYTES = 3000, 1 << 15
 CODE = 16
 
 #: Word bytes: ASCII letters and digits, and all of other scripts' letters. Capitals count as small letters.
@@ -179,11 +180,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     marked = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("id")
     picks = marked.filter("y = 1").orderBy(order, "id").limit(sample).unionByName(marked.filter("y <> 1").orderBy(order, "id").limit(sample))
-    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    # At most 2 * sample short rows: bounded by parameters, whatever the tables hold.
-    rows = own.join(F.broadcast(picks), "id").select("id", "y", "text").collect()
-    rows = sorted({(r.id, r.y, r.text) for r in rows}, key=lambda r: (hash_id(r[0]), r[2]))
-    return fit([r[2] for r in rows], np.array([r[1] == 1 for r in rows], bool))
+    own = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).filter(F.octet_length("text") <= most_bytes)
+    # One text an id: at most 2 * sample short rows, whatever the tables hold. They meet in one task.
+    rows = own.join(F.broadcast(picks), "id").groupBy(F.col("id").cast("string").alias("id"), "y").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((hash_id(r["id"]), r["id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
+        model = fit([r[2] for r in held], np.array([r[3] == 1 for r in held], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got.model) if got else fit([], np.zeros(0, bool))
 
 
 def hash_id(x) -> int:
