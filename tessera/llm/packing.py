@@ -5,12 +5,13 @@ sequences of their own. Rests are dealt over tasks by a hash of document and pos
 sequence with the least remaining room that still takes it. The segment tree's leaves are the remaining capacities 0..window; a
 descent finds the smallest capacity in use that is large enough in O(log window), whatever the number of open sequences.
 
-Tasks pack independent blocks of at most `block` rests, so memory is bounded; a block of thousands of rests leaves
-about one partly filled sequence for all of it, so splitting costs next to no padding. Sequence ids hold the task's partition and a counter. Rests are
-sorted before packing, so that a retried task gives the same ids.
+A task's rests come sorted by Spark and stream through one segment tree, so memory is that of the open sequences alone. Every task leaves about
+one partly filled sequence. Sequence ids hold the task's partition and a counter. Rests are dealt to a fixed number of partitions by their hash and sorted by all that tells them apart,
+so every run and every retry gives the same ids.
 
 Token ids are those of the `tokenizers` file. They are computed by tiktoken's merge loop over the vocabulary read from that file, which is some
-three times faster; a probe text must get the same ids from both, or the file's own encoder is used.
+three times faster; a probe text must get the same ids from both, or the file's own encoder is used, as it is for texts with a special token's string in them:
+there the file's encoder gives that token's id.
 
 Cases: null text is empty: its only id is the end id. A document of one window is one full sequence. Repeated rows are packed each;
 an empty table gives an empty result; other columns are ignored.
@@ -18,6 +19,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -33,7 +35,7 @@ from .common import read
 
 #: The pre-tokenizer pattern of byte-level vocabularies of this kind, and a text to compare encoders on.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBE = "It's they'll  we've\n\n 12½ ²x é́ ß中文字 \u00a0\u200b\u2028z\t\x1c!\x85 #*$%&|<> naïveté 😀👍🏽 <|endoftext|> thwhanation   \r\n "
+PROBE = "It's they'll  we've\n\n 12½ ²x é́ ß中文字 \u00a0\u200b\u2028z\t\x1c!\x85 #*$%&|<> naïveté 😀👍🏽 <|thwhanation   \r\n "
 
 
 def _plain_bytes(token: str) -> bytes:
@@ -56,9 +58,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
         self.plain = lambda text: own.encode(text, add_special_tokens=False).ids
         special = {t.content for t in own.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         try:
             ranks = {_plain_bytes(t): i for t, i in own.get_vocab().items() if t not in special}
             fast = Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -67,7 +69,8 @@ class Encoder:
             self.ids = self.plain
 
     def __call__(self, text: str) -> bytes:
-        return array("I", self.ids(text)).tobytes()
+        ids = self.plain if self.special and self.special.search(text) else self.ids
+        return array("I", ids(text)).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -117,18 +120,23 @@ class Capacities:
         return capacity, sequence
 
 
-def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece; lengths must not increase."""
-    room, sequences = Capacities(window), 0
-    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    for k, n in enumerate(lengths.tolist()):
-        if (got := room.take(n)) is None:
-            got, sequences = (window, sequences), sequences + 1
-        capacity, sequence[k] = got
-        offset[k] = window - capacity
-        if capacity > n:
-            room.put(capacity - n, got[1])
-    return sequence, offset
+class BestFit:
+    """Places pieces, which must come largest first, each into the open sequence with the least room that takes it."""
+
+    def __init__(self, window: int):
+        self.window, self.room, self.sequences = window, Capacities(window), 0
+
+    def __call__(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of each of the next pieces."""
+        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+        for k, n in enumerate(lengths.tolist()):
+            if (got := self.room.take(n)) is None:
+                got, self.sequences = (self.window, self.sequences), self.sequences + 1
+            capacity, sequence[k] = got
+            offset[k] = self.window - capacity
+            if capacity > n:
+                self.room.put(capacity - n, got[1])
+        return sequence, offset
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -165,32 +173,19 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_i
     return docs.select(F.col(id), F.col(text).cast("string")).mapInArrow(run, f"{id} {kind}, {PIECE}" + ", ids binary" * with_ids)
 
 
-def pack(cut: DataFrame, id: str = "doc_id", window: int = 1024, block: int = 1 << 17) -> DataFrame:
-    """The pieces with sequence_id and offset."""
-    names = cut.columns
+def pack(cut: DataFrame, id: str = "doc_id", window: int = 1024, tasks: int | None = None) -> DataFrame:
+    """The pieces with sequence_id and offset; tasks: how many partitions pack them (the session's shuffle partitions)."""
+    tasks = tasks or int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = TaskContext.get().partitionId() << 40, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first
-            table = pa.Table.from_batches(held)
-            held.clear()
-            table = table.sort_by([("length", "descending"), (id, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-            sequence, offset = best_fit(table.column("length").to_numpy(), window)
-            table = table.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
-            first += int(sequence.max()) + 1
-            yield from table.to_batches()
-
+        first, place = TaskContext.get().partitionId() << 40, BestFit(window)
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= block:
-                yield from flush()
-        if held and sum(map(len, held)):
-            yield from flush()
+            sequence, offset = place(batch.column("length").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + sequence), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return cut.repartition(F.col(id), F.col("start")).mapInArrow(run, schema).select(*names, "sequence_id", "offset")
+    dealt = cut.repartition(tasks, F.col(id), F.col("start"), F.col("ids_crc32"))
+    return dealt.sortWithinPartitions(F.desc("length"), F.col(id), F.col("start"), F.col("ids_crc32")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", window: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
