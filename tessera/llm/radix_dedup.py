@@ -3,7 +3,7 @@
 Texts are compared after each run of ASCII white space became one space. The sort key of a text is
 its length in bytes followed by its bytes, so a group's texts end together. The first digit is
 the length and the first bytes. Every later round splits the groups that are still open by their next digit, whose
-width grows by a fixed factor: a text of n bytes takes O(log n) rounds. A group
+width grows by a fixed factor up to `MOST_DIGIT`: 32 KB take five rounds, and each further 32 KB of equal long texts one more. A group
 leaves when it holds one row or its texts have ended; then its texts are equal byte by byte, and no digest
 decides anything. Groups are counted with map-side partial aggregation and rows meet their group by an
 equi-join whose hot keys adaptive execution splits, so a group with a third of all rows is never one task's work.
@@ -22,6 +22,8 @@ from .common import ASCII_SPACE, Cuts, read, whole
 
 FIRST_DIGIT = 64
 GROWTH = 8
+#: No digit is wider: what a task sorts by stays small, however long a text is.
+MOST_DIGIT = 1 << 15
 
 
 def normalised(text) -> F.Column:
@@ -67,7 +69,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry:
         )
         done.append(split.filter("ended").select("row", "id", "sha", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("tag") == F.col("first.tag")).alias("kept")))
         active = split.filter("NOT ended").select("row", "id", "sha", "size", "tag", "bytes", F.col("first.tag").alias("group"))
-        at, width = at + width, (at + width) * (GROWTH - 1)
+        at, width = at + width, min((at + width) * (GROWTH - 1), MOST_DIGIT)
         if active.isEmpty():
             break
     out = done[0]
