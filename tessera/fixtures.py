@@ -61,12 +61,28 @@ PTS = f"""pts AS (SELECT p_partkey // {PER_GRAPH} AS graph_id, p_partkey AS node
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Points with the 64 features of embedding node_id % 500."""
-    feat = table(spark, sf, "embeddings").filter("vec_id < 500").select((F.col("vec_id")).alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("feat"))
-    return points(spark, sf).withColumn("v", F.col("node_id") % 500).join(feat, "v").select("graph_id", "node_id", "x", "y", "feat")
+    """Points with the 64 features of embedding node_id modulo the number of embeddings."""
+    feat = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("feat"))
+    n = feat.agg(F.count("*").alias("n"))  # one row
+    keyed = points(spark, sf).crossJoin(F.broadcast(n)).withColumn("v", F.col("node_id") % F.col("n"))
+    return keyed.join(feat, "v").select("graph_id", "node_id", "x", "y", "feat")
 
 
-NODES = f"{PTS}, nodes AS (SELECT graph_id, node_id, x, y, embedding FROM pts JOIN embeddings ON node_id % 500 = vec_id), nf AS (SELECT graph_id, node_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM nodes)"
+NODES = f"{PTS}, nodes AS (SELECT graph_id, node_id, x, y, embedding FROM pts JOIN embeddings ON node_id % (SELECT count(*) FROM embeddings) = vec_id), nf AS (SELECT graph_id, node_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM nodes)"
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """Directed edges between the points of a graph by rule; a tenth of the nodes has no edge into it."""
+    k = F.col("p_partkey")
+    base, at = F.floor(k / PER_GRAPH) * PER_GRAPH, k % PER_GRAPH
+    ends = F.explode(F.array(*[base + (at * m + c) % PER_GRAPH for m, c in ((1, 1), (3, 2), (7, 5))]))
+    out = table(spark, sf, "part").select(F.floor(k / PER_GRAPH).alias("graph_id"), k.alias("src"), ends.alias("dst")).filter("dst % 10 <> 3")
+    return out.join(table(spark, sf, "part").select(F.col("p_partkey").alias("dst")), "dst", "left_semi").select("graph_id", "src", "dst")
+
+
+LINKS = f"""links AS (SELECT p_partkey // {PER_GRAPH} AS graph_id, p_partkey AS src, p_partkey // {PER_GRAPH} * {PER_GRAPH} + (p_partkey % {PER_GRAPH} * m + c) % {PER_GRAPH} AS dst
+  FROM part, (VALUES (1, 1), (3, 2), (7, 5)) t(m, c) WHERE (p_partkey // {PER_GRAPH} * {PER_GRAPH} + (p_partkey % {PER_GRAPH} * m + c) % {PER_GRAPH}) % 10 <> 3
+  AND p_partkey // {PER_GRAPH} * {PER_GRAPH} + (p_partkey % {PER_GRAPH} * m + c) % {PER_GRAPH} IN (SELECT p_partkey FROM part))"""
 
 EDGES = """edges AS (SELECT graph_id, src, dst, dist FROM (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS dist,
   row_number() OVER (PARTITION BY a.graph_id, a.node_id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.node_id) AS k

@@ -90,7 +90,7 @@ def assignment_dense(spark, sf):
     return G.assignment_dense(G.assignment(pts, lab), pts.select("image_id", F.col("node_id").alias("low_id")), lab.select("image_id", F.col("label").alias("high_id")))
 
 
-@query(f"WITH {PTS} SELECT graph_id, node_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, round(x / 997, 6) AS rx, round(y / 991, 6) AS ry FROM pts JOIN embeddings e ON e.vec_id = node_id % 500")
+@query(f"WITH {PTS} SELECT graph_id, node_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, round(x / 997, 6) AS rx, round(y / 991, 6) AS ry FROM pts JOIN embeddings e ON e.vec_id = node_id % (SELECT count(*) FROM embeddings)")
 def loc_features(spark, sf):
     f = G.with_location(X.nodes(spark, sf), 997.0, 991.0)
     return f.select("graph_id", "node_id", F.round(F.col("feat")[0], 6).alias("first"), F.round(F.col("feat")[64], 6).alias("rx"), F.round(F.col("feat")[65], 6).alias("ry"))
