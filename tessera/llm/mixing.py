@@ -288,7 +288,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str
     cuts.drop(table)
     goals = {a: (targets or {}).get(a) for a in AXES}
     goals = {a: tempered(cells, a, temperature) if g is None else g for a, g in goals.items()}
-    rates = rake(cells, goals, keep)[0].select(*[F.col(a).alias(f"_{a}") for a in AXES], F.col("weight").alias("probability"))
+    # A table, so that its size is known to the planner: a few cells are broadcast, many are not.
+    rates = cuts.table(rake(cells, goals, keep)[0].select(*[F.col(a).alias(f"_{a}") for a in AXES], F.col("weight").alias("probability")), "rates")
     same = F.lit(True)
     for a in AXES:
         same &= F.col(a).eqNullSafe(F.col(f"_{a}"))
