@@ -8,10 +8,12 @@ first n - o + l of each (l up to the partner's own): that prefix is all that is
    and only classes with l of them in their prefix go on. Their whole sets are read; their shingles are counted and ordered rarest first.
 2. Groups: each shingle of a rare-first prefix names as hub the class most of whose shingles are shared. Classes that are
    verified to link to a hub form a group with it, by connected components. A cluster of k near copies costs about k checks, not k * k.
-3. Matrix: groups of many classes are cut into blocks. Sets of n and m <= n shingles that link share 4/9 (n + m), at least 8/9 m, so of the
-   smaller one a shorter prefix is enough: the matrix holds the (shingle, block) pairs of these. A class is a query to the blocks of other groups that
-   hold l shingles of its prefix (l = n / 10 again, of the smaller one) and a size up to its own. The overlap of the query with a block's union bounds that
-   with every member: blocks under the least overlap with their smallest member are not opened. Members of opened blocks are verified; a link joins the two groups.
+   Classes without a link are similar to others all the same: they are pooled by the hub that they share most with.
+3. Matrix: groups and pools of many classes are cut into blocks. Sets of n and m <= n shingles that link share 4/9 (n + m), at least 8/9 m, so of the
+   smaller one a shorter prefix is enough: the matrix counts for each (shingle, block) the members with it in there. A class is a query to the blocks, those of its own group aside, that
+   hold l shingles of its prefix (l = n / 10 again, of the smaller one; shingles that only itself holds in its own block do not count) and a size up to its own. The overlap of the query with
+   a block's union bounds that with every member: blocks under the least overlap with their smallest member are not opened. In opened blocks the query meets the members that share a shingle of
+   the prefixes; these pairs are verified, and a link joins the two groups.
 
 Only links inside a group are left unchecked, as they change no component, so the components are those of all links. The rarest-first order keeps passages that many documents share
 out of the prefixes; every count and minimum is pre-aggregated, hot join keys are those adaptive execution splits, and no array grows with a group.
@@ -184,29 +186,38 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     prefix = ranked.select("cid", "n", "central", "one", "short", F.posexplode("prefix").alias("pos", "token"))
     rare = prefix.filter("pos < one")
     hubs = rare.groupBy("token").agg(F.max(F.struct("central", "cid", "n")).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"))
-    pairs = rare.join(hubs, "token").filter((F.col("cid") != F.col("b")) & _fits("n", "m")).select(F.col("cid").alias("a"), "b").distinct()
-    links = cuts.table(_linked(pairs, ranked), "links")
+    met = cuts.table(rare.join(hubs, "token").filter(F.col("cid") != F.col("b")).groupBy(F.col("cid").alias("a"), "n", "b", "m").agg(F.count("*").alias("shared")), "met")
+    links = cuts.table(_linked(met.filter(_fits("n", "m")).select("a", "b"), ranked), "links")
     group = connected_components(links, cuts)
-    member = ranked.join(group, F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("component", "cid").alias("group"))
-    sizes = member.groupBy("group").agg(F.count("*").alias("size"))
+    home = met.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most")).select("a", F.col("most.b").alias("hub"))
+    linked = F.col("component").isNotNull()
+    pool = F.struct(linked.alias("linked"), F.coalesce("component", "hub", "cid").alias("id")).alias("pool")
+    member = ranked.join(group, F.col("cid") == F.col("node"), "left").join(home, F.col("cid") == F.col("a"), "left").select("cid", "n", F.coalesce("component", "cid").alias("group"), pool)
+    sizes = member.groupBy("pool").agg(F.count("*").alias("size"))
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    member = cuts.table(member.join(sizes, "group").select("cid", "n", "group", block), "members")
+    member = cuts.table(member.join(sizes, "pool").select("cid", "n", "group", "pool", block), "members")
 
     # 3. The matrix, its bounds, and the groups they leave open.
-    held = prefix.select("cid", "n", "token", (F.col("pos") < F.col("short")).alias("first")).join(member.select("cid", "group", "block"), "cid")
-    matrix = held.filter("first").select(F.col("group").alias("g"), F.col("block"), "token").distinct()
+    held = cuts.table(prefix.select("cid", "n", "token", (F.col("pos") < F.col("short")).alias("first")).join(member.drop("n"), "cid"), "held")
+    matrix = held.filter("first").groupBy(F.col("pool").alias("g"), F.col("block").alias("k"), "token").agg(F.count("*").alias("holders"))
+    own = (F.col("pool") == F.col("g")) & (F.col("block") == F.col("k"))
+    others = F.col("holders") > F.when(own & F.col("first"), 1).otherwise(0)
     # A query and a block that share too few shingles of the prefixes hold no link: nothing more is read of them.
-    shared = held.select("cid", "n", "token", "group").join(matrix, "token").filter("group <> g").groupBy("cid", "n", "g", "block").agg(F.count("*").alias("hits"))
-    blocks = member.groupBy(F.col("group").alias("g"), "block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    shared = held.join(matrix, "token").filter(~(F.col("pool.linked") & (F.col("pool") == F.col("g"))) & others).groupBy("cid", "n", "g", "k", own.alias("own")).agg(F.count("*").alias("hits"))
+    blocks = member.groupBy(F.col("pool").alias("g"), F.col("block").alias("k")).agg(F.min("n").alias("small"), F.max("n").alias("large"))
     fits = (_least("n") <= F.col("large")) & (F.col("small") <= F.col("n"))
     enough = F.col("hits") >= F.least(_few("n"), _few(F.greatest(F.col("small"), _least("n"))))
-    asked = cuts.table(shared.join(blocks, ["g", "block"]).filter(fits & enough).select("cid", "n", "g", "block", "small"), "asked")
-    union = member.join(asked.select(F.col("g").alias("group"), "block").distinct(), ["group", "block"]).join(ranked.select("cid", "common"), "cid").select(F.col("group").alias("g"), "block", F.explode("common").alias("token")).distinct()
-    overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "block", "token"]).groupBy("cid", "n", "small", "g", "block").agg(F.count("*").alias("overlap"))
+    asked = cuts.table(shared.join(blocks, ["g", "k"]).filter(fits & enough).select("cid", "n", "g", "k", "own", "small"), "asked")
+    wanted = asked.select(F.col("g").alias("pool"), F.col("k").alias("block")).distinct()
+    union = member.join(wanted, ["pool", "block"]).join(ranked.select("cid", "common"), "cid").select(F.col("pool").alias("g"), F.col("block").alias("k"), F.explode("common").alias("token")).groupBy("g", "k", "token").agg(F.count("*").alias("holders"))
+    others = F.col("holders") > F.col("own").cast("int")
+    overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "k", "token"]).filter(others).groupBy("cid", "n", "small", "g", "k").agg(F.count("*").alias("overlap"))
     enough = _needed(F.col("n"), F.greatest(F.col("small"), _least("n")))
-    members = member.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("group").alias("g"), "block")
-    opened = overlap.filter(F.col("overlap") >= enough).join(members, ["g", "block"]).filter("m <= n")
-    across = cuts.table(_linked(opened.filter(_fits("n", "m")).select(F.col("cid").alias("a"), "b"), ranked), "across")
+    opened = overlap.filter(F.col("overlap") >= enough).select("cid", "g", "k")
+    asking = held.select("cid", "n", "token", F.col("group").alias("ga")).join(opened, "cid")
+    members = held.filter("first").select(F.col("cid").alias("b"), F.col("n").alias("m"), "token", F.col("pool").alias("g"), F.col("block").alias("k"), F.col("group").alias("gb"))
+    pairs = asking.join(members, ["g", "k", "token"]).filter((F.col("m") <= F.col("n")) & (F.col("ga") != F.col("gb")) & _fits("n", "m")).select(F.col("cid").alias("a"), "b").distinct()
+    across = cuts.table(_linked(pairs, ranked), "across")
     of = member.select(F.col("cid"), "group")
     joined = across.join(of.select(F.col("cid").alias("a"), F.col("group").alias("ga")), "a").join(of.select(F.col("cid").alias("b"), F.col("group").alias("gb")), "b")
     top = connected_components(joined.select(F.col("ga").alias("a"), F.col("gb").alias("b")), cuts)
