@@ -12,7 +12,7 @@ A conversation's output is one text, so its turns meet in one row by contract; o
 done, and rows of the same conversation are ordered inside the row, not by a global sort.
 
 Cases: null text or role is empty; a null conv_id is a conversation of its own; rows with the same turn number are ordered by role and
-text, null turns first; repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
+text, null turns first; repeated rows stay repeated; long texts and conversations of many turns take time in proportion to their length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,37 +60,51 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     head = lambda b: F.concat(F.lit("### "), escape(b["role"], role=True), F.lit(": "))
     piece = lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END))
-    # Positions: one fold over the blocks, and inside each over its texts.
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-
-    def text_step(keep: Column):
-        def step(acc: Column, t: Column) -> Column:
-            span = F.struct(acc["at"].alias("start"), F.length(t).cast("long").alias("length"))
-            spans = F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct((acc["at"] + F.length(t) + len(NEXT)).cast("long").alias("at"), spans.alias("spans"))
-
-        return step
-
-    def block_step(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(
-            b["texts"],
-            F.struct((acc["at"] + F.length(head(b))).cast("long").alias("at"), acc["spans"].alias("spans")),
-            text_step(b["role"] == F.lit(loss_role)),
-        )
-        return F.struct((inner["at"] - len(NEXT) + len(END)).cast("long").alias("at"), inner["spans"].alias("spans"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
+    # Positions: the first piece of a block carries the head, every piece what follows it, so that offsets are running sums of lengths.
+    of = lambda b: F.transform(
+        b["texts"],
+        lambda t, k: F.struct(
+            F.when(k == 0, F.length(head(b))).otherwise(0).cast("long").alias("lead"),
+            F.length(t).cast("long").alias("length"),
+            F.when(k == F.size(b["texts"]) - 1, len(END)).otherwise(len(NEXT)).cast("long").alias("tail"),
+            (b["role"] == F.lit(loss_role)).alias("loss"),
+        ),
+    )
     return (
         sorted_turns.select("conv_id", "turns", starts.alias("starts"))
         .select("conv_id", blocks.alias("blocks"))
-        .select(
-            "conv_id",
-            F.array_join(F.transform("blocks", piece), "").alias("formatted"),
-            F.aggregate("blocks", start, block_step)["spans"].alias("loss"),
-        )
+        .select("conv_id", F.array_join(F.transform("blocks", piece), "").alias("formatted"), _parts(F.flatten(F.transform("blocks", of))).alias("parts"))
+        .select("conv_id", "formatted", "parts", _running(F.transform("parts", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + x["lead"] + x["length"] + x["tail"]))).alias("base"))
+        .select("conv_id", "formatted", F.flatten(F.zip_with("parts", "base", _spans)).alias("loss"))
     )
 
 
+#: An array that grows by one element a step is copied at every step, so folds that build one go over parts of this many elements.
+PART = 128
+
+
+def _parts(array: Column) -> Column:
+    """An array cut into arrays of at most PART elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / PART).cast("int")), lambda k: F.slice(array, k * PART + 1, F.lit(PART)))
+
+
+def _running(sums: Column) -> Column:
+    """For each element the sum of those before it."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+
+
+def _spans(part: Column, base: Column) -> Column:
+    """The loss spans of a part that begins at base."""
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["lead"]
+        span = F.array(F.struct(start.alias("start"), x["length"].alias("length")))
+        return F.struct((start + x["length"] + x["tail"]).alias("at"), F.when(x["loss"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(part, F.struct(base.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out")), step)["out"]
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """formatted(conv_id, formatted, loss) -> conv_id, turns array<struct<role,text>>, loss_text, formatted."""
     blocks = F.split("formatted", F.lit("</turn>\\n"))
@@ -106,8 +120,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    masked = F.transform("loss", lambda s: F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    return formatted.select("conv_id", turns.alias("turns"), unescape(F.array_join(masked, "")).alias("loss_text"), "formatted")
+    # Code points are counted from a text's start, so spans are cut from the piece that a part of them covers, not each from the whole text.
+    last = lambda p: F.element_at(p, -1)
+    cut = lambda text, start, length: F.substr(text, (start + 1).cast("int"), length.cast("int"))
+    covered = F.transform(
+        F.filter(_parts(F.col("loss")), lambda p: F.size(p) > 0),
+        lambda p: F.struct(p.alias("spans"), p[0]["start"].alias("base"), cut(F.col("formatted"), p[0]["start"], last(p)["start"] + last(p)["length"] - p[0]["start"]).alias("text")),
+    )
+    masked = F.flatten(F.transform("covered", lambda c: F.transform(c["spans"], lambda s: cut(c["text"], s["start"] - c["base"], s["length"]))))
+    told = formatted.select("conv_id", turns.alias("turns"), covered.alias("covered"), "formatted")
+    return told.select("conv_id", "turns", unescape(F.array_join(masked, "")).alias("loss_text"), "formatted")
 
 
 #: A conversation that tries to forge control strings.
