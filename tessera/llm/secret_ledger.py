@@ -10,7 +10,9 @@ A blob's copy is found by its smallest (path, version), an aggregate with map-si
 fetched by an equi-join on blob, path and version, which spreads copies of a hot blob over all partitions. Positions come from
 lengths: `split` gives what lies between matches and `regexp_extract_all` the matches.
 
-Cases: null content is empty; null paths and versions are ordinary values; repeated rows are scanned once and each reported; an
+A run that is repeated after a half-finished one, or that meets another run on the same ledger, can append a blob twice; findings are read as a set, so that changes nothing but the ledger's size.
+
+Cases: null content is empty; null paths and versions are ordinary values; repeated rows are scanned once and each reported; very long contents are scanned whole; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -103,7 +105,7 @@ def scan_history(versions: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         wanted = wanted.select("blob", "at", all_rules.alias("pending"))
     wanted = wanted.filter(F.size("pending") > 0).select(F.col("blob").alias("b"), F.col("at.path").alias("p"), F.col("at.version").alias("v"), "pending")
     same = (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")) & F.col("version").eqNullSafe(F.col("v"))
-    unseen = held.join(wanted.hint("shuffle_hash"), same).select("blob", "content", "pending")
+    unseen = held.join(wanted, same).select("blob", "content", "pending")
     # Repeated rows can bring one blob twice; their findings are the same.
     scan(unseen, rules).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     rank = F.create_map(*[F.lit(x) for k, r in enumerate(keys) for x in (r, k)])
@@ -112,7 +114,8 @@ def scan_history(versions: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         .select("blob", F.explode("findings").alias("f"))
         .filter(F.col("f.rule").isin(keys))
         .groupBy("blob")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("f.start").alias("start"), rank[F.col("f.rule")].alias("rank"), F.col("f.rule").alias("rule"), F.col("f.end").alias("end")))).alias("findings"))
+        # A set: a blob that two runs appended at once has its findings once.
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("f.start").alias("start"), rank[F.col("f.rule")].alias("rank"), F.col("f.rule").alias("rule"), F.col("f.end").alias("end")))).alias("findings"))
     )
     none = F.array().cast("array<struct<start:bigint,rank:int,rule:string,end:bigint>>")
     return held.select("path", "version", "blob").join(found, "blob", "left").select("path", "version", "blob", F.coalesce("findings", none).alias("findings"))
