@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
 Writing. Each task appends its pages to one archive in the shared store, a gzip member a record. Of records with
-equal payloads the one with the largest id is a response and the others revisit it. Archive names are unique to the
+equal payloads the one with the largest id is a response and the others revisit it; of several rows with that id the last in the table's order is. Archive names are unique to the
 task attempt, and the captures (key, id, file, offset, length) are committed as a table before anything reads them, so a
 retried task leaves an unused file and nothing else.
 
@@ -13,8 +13,10 @@ Reading. Requests (key, id) are range-partitioned and sorted the same way. A tas
 directory for the block, and the block for the capture; directory and block are range reads and each is read once a run
 of requests. The captures found are grouped by archive and read by offset, neighbouring ranges in one read.
 
+Stores: archives and index files go through pyarrow's file systems by the folder's URI (local or mounted paths, HDFS, S3, GCS); tables go through Spark.
+
 Cases: null html is an empty payload; null or unparsable urls are keyed by their text; a null id sorts first and is never the largest unless
-alone; repeated rows are records of their own, each found once; an empty table gives an empty result; other columns are ignored.
+alone; repeated rows are records of their own, each found once, of which one is the response; payloads under `least` bytes are all responses; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,10 +94,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = 3
     """pages(page_id, url, html) to archives in the folder; the captures, one a page: CAPTURE. Payloads under `least` bytes are never revisited."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("id"), whole("url").alias("url"), reversed_host_key("url").alias("key"), whole("html").cast("binary").alias("payload"),
+        F.monotonically_increasing_id().alias("tag"),
     ).withColumn("sha", F.unhex(F.sha1("payload")))
     # Equal payloads: partial counts before the shuffle, and only digests that occur twice meet the pages again.
-    shared = rows.filter(F.length("payload") >= least).groupBy("sha").agg(F.max("id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("sha", "original", F.lit(True).alias("shared"))
-    told = rows.join(shared, "sha", "left").select("id", "url", "key", "payload", "original", (F.coalesce("shared", F.lit(False)) & (F.length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("original"))).alias("revisits"))
+    shared = rows.filter(F.length("payload") >= least).groupBy("sha").agg(F.max(F.struct("id", "tag")).alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("last.id").alias("original"), F.col("last.tag").alias("chosen"))
+    told = rows.join(shared, "sha", "left").select("id", "url", "key", "payload", "original", F.coalesce((F.length("payload") >= least) & (F.col("tag") != F.col("chosen")), F.lit(False)).alias("revisits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
@@ -226,8 +229,18 @@ def lookup(requests: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
 RECORD = "id long, url string, bytes long, digest string, kind string, refers_to long"
 
 
+#: A fetching task reads about so many bytes of archives.
+FETCH_BYTES = 32 << 20
+
+
 def fetch(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """The records of captures by range reads: RECORD, and the payload where wanted (null in revisits)."""
+    """The records of captures by range reads: RECORD, and the payload where wanted (null in revisits).
+
+    captures should be a table: it is read twice before. Tasks are as many as the records' bytes need, not as the small rows of captures suggest.
+    """
+    spark = captures.sparkSession
+    total = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // FETCH_BYTES))
     names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * with_payload
     kinds = {"id": pa.int64(), "bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
 
@@ -254,7 +267,7 @@ def fetch(captures: DataFrame, folder: str, with_payload: bool = False) -> DataF
                     out = []
 
     schema = RECORD + ", payload binary" * with_payload
-    return captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    return captures.repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +275,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = cuts.table(write_archives(pages, folder), "captures")
     manifest = cuts.table(build_index(captures, folder), "manifest")
     requests = pages.select(reversed_host_key("url").alias("key"), F.col("page_id").cast("long").alias("id"))
-    out = fetch(lookup(requests, manifest, folder), folder)
+    out = fetch(cuts.table(lookup(requests, manifest, folder), "found"), folder)
     return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
