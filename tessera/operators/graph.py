@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut
+from tessera.plans.scratch import cut, drop
 
 
 def _ranked(pairs: DataFrame, k: int, thresh: float | None) -> DataFrame:
@@ -28,13 +28,15 @@ _D2 = "(x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)"
 
 
 def knn_graph(points: DataFrame, k: int = 5, thresh: float | None = None) -> DataFrame:
-    """Directed edges to the k nearest other points of the same graph, kept up to thresh."""
-    a, b = _sides(points)
-    return _ranked(a.join(b, "graph_id").filter("src <> dst").withColumn("d2", F.expr(_D2)), k, thresh)
+    """Directed edges to the k nearest other points of the same graph, kept up to thresh. Points meet by cells, never all of a graph."""
+    if thresh is not None:
+        return knn_graph_bucketed(points, k, thresh)
+    near = nearest(points, k)
+    return near.filter("dist > 0").select("graph_id", F.col("node_id").alias("src"), F.col("other").alias("dst"), "dist")
 
 
 def knn_graph_bucketed(points: DataFrame, k: int, thresh: float) -> DataFrame:
-    """The same edges for graphs of any size: only points of the 3 x 3 cells around a point are compared."""
+    """The same edges for a threshold: only points of the 3 x 3 cells of its width around a point are compared."""
     a, b = _sides(points)
     cell = lambda c: F.floor(F.col(c) / thresh)
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
@@ -44,6 +46,43 @@ def knn_graph_bucketed(points: DataFrame, k: int, thresh: float) -> DataFrame:
     return _ranked(pairs, k, thresh)
 
 
+def nearest(points: DataFrame, k: int) -> DataFrame:
+    """graph_id, node_id, other, dist, rank: the k nearest other points of each point, or all of a graph's others where it has no k, ties by id.
+
+    Each graph gets square cells that hold about k points on average. A point is compared with the (2r + 1) x (2r + 1) cells around its own; whoever has k others within r cell
+    widths is done, the rest goes on with the doubled r. A graph's last round covers it whole, for those points alone that are still open (lone points far from all others).
+    """
+    own = points.select("graph_id", "node_id", "x", "y")
+    box = own.groupBy("graph_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    # Points that pile up in one cell meet one another there; all others meet about 9k.
+    width = F.greatest(F.col("span") * F.sqrt(F.lit(float(k)) / F.greatest("n", F.lit(1))), F.lit(1e-9))
+    placed = cut(
+        own.join(box.select("graph_id", "n", "x0", "y0", "span", width.alias("w")), "graph_id").select(
+            "graph_id", "node_id", "x", "y", "n", "w", F.floor((F.col("x") - F.col("x0")) / F.col("w")).alias("cx"), F.floor((F.col("y") - F.col("y0")) / F.col("w")).alias("cy"), F.ceil(F.col("span") / F.col("w")).alias("most"),
+        ),
+        "placed",
+    )
+    other = placed.select("graph_id", F.col("node_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
+    open_, r, done = placed.select("graph_id", "node_id", "x", "y", "n", "w", F.col("cx").alias("ix"), F.col("cy").alias("iy"), "most"), 1, None
+    rank = W.partitionBy("graph_id", "node_id").orderBy("d2", "other")
+    while True:
+        at = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))  # noqa: B023, E731
+        around = open_.withColumn("cx", at("ix")).withColumn("cy", at("iy"))
+        d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
+        met = around.join(other, ["graph_id", "cx", "cy"]).filter("node_id <> other").withColumn("d2", d2)
+        best = met.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+        # Certain up to the distance that the cells cover on every side, or where they cover the whole graph.
+        sure = best.withColumn("sure", (F.col("d2") < F.col("w") * F.col("w") * (r * r)) | (F.col("most") <= r))
+        flag = W.partitionBy("graph_id", "node_id")
+        found = cut(sure.withColumn("ok", (F.sum(F.col("sure").cast("int")).over(flag) >= F.least(F.lit(k), F.col("n") - 1)) | (F.col("most") <= r)).filter("ok").select("graph_id", "node_id", "other", F.sqrt("d2").alias("dist"), "rank"), "nearest")
+        done = found if done is None else done.unionByName(found)
+        left = cut(open_.filter((F.col("n") > 1) & (F.col("most") > r)).join(found.select("graph_id", "node_id").distinct(), ["graph_id", "node_id"], "left_anti"), "open")
+        drop(open_)
+        if left.isEmpty():
+            return done
+        open_, r = left, 2 * r
+
+
 def offsets(kernel: int) -> list[tuple[int, int]]:
     r = kernel // 2
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if (dy, dx) != (0, 0)]
@@ -110,14 +149,17 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "graph_id") -> Dat
     Smallest label of the neighbourhood, then one pointer jump, until nothing changes; each round is cut by a table.
     """
     both = cut(edges.select(key, "src", "dst").unionByName(edges.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = nodes.select(key, "node_id", F.col("node_id").alias("component"))
+    label, before = nodes.select(key, "node_id", F.col("node_id").alias("component")), None
     while True:
         seen = both.join(label.select(key, F.col("node_id").alias("dst"), "component"), [key, "dst"]).groupBy(key, F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
         low = label.join(seen, [key, "node_id"], "left").select(key, "node_id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = low.select(key, F.col("node_id").alias("component"), F.col("component").alias("to"))
         after = cut(low.join(jump, [key, "component"]).select(key, "node_id", F.col("to").alias("component"), (F.col("to") != F.col("was")).alias("moved")), "labels")
         label = after.select(key, "node_id", "component")
+        drop(before)
+        before = after
         if after.filter("moved").isEmpty():
+            drop(both)
             return label
 
 
@@ -129,14 +171,16 @@ def largest_component(labelled: DataFrame, key: str = "graph_id") -> DataFrame:
 
 
 def diameter(edges: DataFrame, key: str = "graph_id") -> DataFrame:
-    """Longest shortest path of each graph, by breadth-first frontiers from all nodes at once."""
-    step = cut(edges.select(key, "src", "dst").distinct(), "edges")
+    """Longest shortest path of each graph, by breadth-first frontiers from all nodes at once. What was reached is one table, replaced each round."""
+    step = cut(edges.select(key, "src", F.col("dst").alias("to")).distinct(), "edges")
     reached = cut(step.select(key, F.col("src").alias("root"), F.col("src").alias("node"), F.lit(0).alias("d")).distinct(), "reached")
-    frontier, d = reached, 0
+    d = 0
     while True:
-        d += 1
-        new = frontier.join(step, (frontier[key] == step[key]) & (frontier["node"] == step["src"])).select(frontier[key], "root", F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(reached, [key, "root", "node"], "left_anti").withColumn("d", F.lit(d)), "frontier")
-        if frontier.isEmpty():
+        frontier = reached.filter(F.col("d") == d)
+        new = frontier.join(step.withColumnRenamed("src", "node"), [key, "node"]).select(key, "root", F.col("to").alias("node"), F.lit(d + 1).alias("d"))
+        # One grouping gives every pair its least distance, and keeps what is known.
+        after = cut(reached.unionByName(new).groupBy(key, "root", "node").agg(F.min("d").alias("d")), "reached")
+        drop(reached)
+        reached, d = after, d + 1
+        if reached.filter(F.col("d") == d).isEmpty():
             return reached.groupBy(key).agg(F.max("d").alias("diameter"))
-        reached = reached.unionByName(frontier)

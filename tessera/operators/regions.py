@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from math import pi, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import nearest
+
 KEY = ["image_id", "label"]
 
 
@@ -44,13 +47,11 @@ def distinct_labels(label_map: DataFrame) -> DataFrame:
 
 def crowdedness(points: DataFrame, k: int = 10) -> DataFrame:
     """Mean and population deviation of the k + 1 smallest distances, the point itself included; k is n - 2 for 3 to k points, and fewer points give 0."""
-    side = lambda n, s: points.select("graph_id", F.col("node_id").alias(n), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
     sizes = points.groupBy("graph_id").agg(F.count("*").alias("n"))
-    near = side("node_id", 1).join(side("other", 2), "graph_id").withColumn("d", F.expr("sqrt((x1-x2)*(x1-x2) + (y1-y2)*(y1-y2))"))
-    near = near.withColumn("k", F.row_number().over(W.partitionBy("graph_id", "node_id").orderBy("d", "other"))).filter(F.col("k") <= k + 1).join(sizes, "graph_id")
-    take = F.when(F.col("n") < k, F.col("n") - 1).otherwise(F.least(F.lit(k + 1), F.col("n")))
-    near = near.filter(F.col("k") <= F.greatest(take, F.lit(1)))
-    return near.groupBy("graph_id", "node_id").agg(F.when(F.first("n") < 3, 0.0).otherwise(F.avg("d")).alias("mean_crowd"), F.when(F.first("n") < 3, 0.0).otherwise(F.stddev_pop("d")).alias("std_crowd"))
+    others = F.when(F.col("n") < k, F.col("n") - 2).otherwise(F.least(F.lit(k), F.col("n") - 1))
+    near = nearest(points, k).join(sizes, "graph_id").filter(F.col("rank") <= others).select("graph_id", "node_id", F.col("dist").alias("d"))
+    both = near.unionByName(points.select("graph_id", "node_id", F.lit(0.0).alias("d")))
+    return both.groupBy("graph_id", "node_id").agg(F.avg("d").alias("mean_crowd"), F.stddev_pop("d").alias("std_crowd"))
 
 
 def glcm(gray: DataFrame) -> DataFrame:
@@ -76,18 +77,17 @@ def glcm_props(counts: DataFrame, labels: DataFrame, levels: int = 255) -> DataF
 
 
 def shape_moments(label_map: DataFrame) -> DataFrame:
-    """Axes, eccentricity, orientation, equivalent diameter and extent from second central moments (with 1/12 for a pixel's own extent)."""
+    """Axes, eccentricity, orientation, equivalent diameter and extent from second central moments of pixel centres. The orientation is the major axis's angle to the y axis."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     m = label_map.filter("label > 0").groupBy(*KEY).agg(
-        F.count("*").alias("area"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy"),
+        F.count("*").alias("area"), F.var_pop(x).alias("a"), F.var_pop(y).alias("c"), (-F.covar_pop(x, y)).alias("b"),
         ((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1)).alias("box"),
     )
-    m = m.select(*KEY, "area", "box", (F.col("yy") - F.col("my") * F.col("my") + 1 / 12).alias("a"), (F.col("xx") - F.col("mx") * F.col("mx") + 1 / 12).alias("c"), (F.col("mx") * F.col("my") - F.col("xy")).alias("b"))
     root = F.sqrt(4 * F.col("b") * F.col("b") + (F.col("a") - F.col("c")) * (F.col("a") - F.col("c")))
     m = m.withColumn("l1", (F.col("a") + F.col("c") + root) / 2).withColumn("l2", F.greatest((F.col("a") + F.col("c") - root) / 2, F.lit(0.0)))
     angle = F.when(F.abs(F.col("a") - F.col("c")) < 1e-9, F.when(F.col("b") < 0, pi / 4).otherwise(-pi / 4)).otherwise(0.5 * F.atan2(-2 * F.col("b"), F.col("c") - F.col("a")))
     return m.select(
-        *KEY, "area", (4 * F.sqrt("l1")).alias("major_axis"), (4 * F.sqrt("l2")).alias("minor_axis"), F.sqrt(F.greatest(1 - F.col("l2") / F.col("l1"), F.lit(0.0))).alias("eccentricity"),
+        *KEY, "area", (4 * F.sqrt("l1")).alias("major_axis"), (4 * F.sqrt("l2")).alias("minor_axis"), F.when(F.col("l1") > 0, F.sqrt(F.greatest(1 - F.try_divide("l2", "l1"), F.lit(0.0)))).otherwise(0.0).alias("eccentricity"),
         angle.alias("orientation"), F.sqrt(4 * F.col("area") / pi).alias("equivalent_diameter"), (F.col("area") / F.col("box")).alias("extent"),
     )
 
@@ -113,36 +113,91 @@ def perimeter_euler(label_map: DataFrame) -> DataFrame:
     return euler.join(code.groupBy(*KEY).agg(F.sum(weight).alias("perimeter")), KEY)
 
 
-def hull_schema() -> str:
-    return "image_id long, label int, hull_perimeter double, convex_area double"
+def runs(label_map: DataFrame) -> DataFrame:
+    """The horizontal runs (x0 to x1, both inside) of each region's rows."""
+    at = W.partitionBy(*KEY, "y").orderBy("x")
+    own = label_map.filter("label > 0").select(*KEY, "y", "x", (F.col("x") - F.row_number().over(at)).alias("run"))
+    return own.groupBy(*KEY, "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
+
+
+def _hull(points: list) -> np.ndarray:
+    """Corners of the convex hull, in order; none for a single point."""
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    line, points = [], sorted(set(points))
+    for way in (points, points[::-1]):
+        part: list = []
+        for p in way:
+            while len(part) > 1 and cross(part[-2], part[-1], p) <= 0:
+                part.pop()
+            part.append(p)
+        line += part[:-1]
+    return np.array(line, float).reshape(-1, 2)
+
+
+def _pieces(rows: list[tuple[int, int, int]]) -> list[int]:
+    """For each run (y, x0, x1), sorted: the first run of its 8-connected piece."""
+    up, before, here = list(range(len(rows))), [], []
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for k, (y, x0, x1) in enumerate(rows):
+        if here and rows[here[0]][0] != y:
+            before, here = (here if rows[here[0]][0] == y - 1 else []), []
+        for b in before:
+            if rows[b][1] <= x1 + 1 and x0 <= rows[b][2] + 1:
+                one, other = sorted((top(k), top(b)))
+                up[other] = one
+        here.append(k)
+    return [top(k) for k in range(len(rows))]
+
+
+def _outline(rows: list[tuple[int, int, int]]) -> tuple[float, int, int]:
+    """Hull perimeter, pixels of the convex hull, pixels with holes filled, of sorted runs."""
+    of = _pieces(rows)
+    # The contour that is listed first: that of the piece which a scan from the top finds last.
+    first = [r for r, p in zip(rows, of) if p == max(of)]
+    h = _hull([(x, y) for y, x0, x1 in first for x in (x0, x1)])
+    perimeter = float(np.hypot(*(np.roll(h, -1, 0) - h).T).sum()) if len(h) else 0.0
+    # The hull of the middles of the pixels' sides; a pixel counts if its centre is in it or on it.
+    c = _hull([p for y, x0, x1 in rows for p in ((x0, y - 0.5), (x0, y + 0.5), (x1, y - 0.5), (x1, y + 0.5), (x0 - 0.5, y), (x1 + 0.5, y))])
+    n, convex = np.roll(c, -1, 0), 0
+    for y in range(rows[0][0], rows[-1][0] + 1):
+        (xa, ya), (xb, yb) = c.T, n.T
+        hit = (np.minimum(ya, yb) <= y) & (np.maximum(ya, yb) >= y) & (ya != yb)
+        x = xa[hit] + (y - ya[hit]) * (xb[hit] - xa[hit]) / (yb[hit] - ya[hit])
+        convex += int(np.floor(x.max() + 1e-9) - np.ceil(x.min() - 1e-9)) + 1
+    left, right = min(r[1] for r in rows) - 1, max(r[2] for r in rows) + 1
+    outside, at = [(rows[0][0] - 1, left, right)], 0
+    for y in range(rows[0][0], rows[-1][0] + 1):
+        x = left
+        while at < len(rows) and rows[at][0] == y:
+            if x < rows[at][1]:
+                outside.append((y, x, rows[at][1] - 1))
+            x, at = rows[at][2] + 1, at + 1
+        outside.append((y, x, right))
+    outside.append((rows[-1][0] + 1, left, right))
+    holes = sum(x1 - x0 + 1 for (_, x0, x1), p in zip(outside, _pieces(outside)) if p)
+    return perimeter, convex, sum(x1 - x0 + 1 for _, x0, x1 in rows) + holes
 
 
 def convex_hulls(label_map: DataFrame) -> DataFrame:
-    """Perimeter and area of the hull of each region's pixel corners.
+    """hull_perimeter, convex_area and filled_area of each region.
 
-    Only the first and last pixel of every row of a region can be on its hull, so at most two points a row of it are gathered.
+    The perimeter is that of the hull of the pixel centres of a region's first contour; the area counts the pixels of the hull of all its pixels' sides; holes are
+    background that no 8-connected way leads out of. Only a region's runs are gathered, not its pixels.
     """
-    ends = label_map.filter("label > 0").groupBy(*KEY, "y").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
 
-    def hull(key, pdf):
-        import numpy as np
+    def outline(key, pdf):
         import pandas as pd
 
-        pts = sorted({(int(x), int(y) + d) for y, a, b in zip(pdf.y, pdf.x0, pdf.x1) for x in (a, b) for d in (0, 1)})
-        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-        line = []
-        for way in (pts, pts[::-1]):
-            part: list = []
-            for p in way:
-                while len(part) > 1 and cross(part[-2], part[-1], p) <= 0:
-                    part.pop()
-                part.append(p)
-            line += part[:-1]
-        h = np.array(line, float)
-        n = np.roll(h, -1, 0)
-        return pd.DataFrame([[*key, np.hypot(*(n - h).T).sum(), abs((h[:, 0] * n[:, 1] - h[:, 1] * n[:, 0]).sum()) / 2]], columns=["image_id", "label", "hull_perimeter", "convex_area"])
+        rows = sorted(zip(pdf.y.tolist(), pdf.x0.tolist(), pdf.x1.tolist()))
+        return pd.DataFrame([[*key, *_outline(rows)]], columns=[*KEY, "hull_perimeter", "convex_area", "filled_area"])
 
-    return ends.groupBy(*KEY).applyInPandas(hull, hull_schema())
+    return runs(label_map).groupBy(*KEY).applyInPandas(outline, "image_id long, label int, hull_perimeter double, convex_area long, filled_area long")
 
 
 def derived_shape(moments: DataFrame, outline: DataFrame, hulls: DataFrame) -> DataFrame:
@@ -154,14 +209,22 @@ def derived_shape(moments: DataFrame, outline: DataFrame, hulls: DataFrame) -> D
     )
 
 
+#: The features of a region by name, in the order of the feature vector.
+FEATURES = (
+    "area", "convex_area", "eccentricity", "equivalent_diameter", "euler_number", "extent", "filled_area", "major_axis_length", "minor_axis_length", "orientation", "perimeter", "solidity",
+    "roughness", "shape_factor", "ellipticity", "roundness", "glcm_contrast", "glcm_dissimilarity", "glcm_homogeneity", "glcm_energy", "glcm_ASM", "glcm_dispersion", "mean_crowdedness", "std_crowdedness",
+)
+
+
 def handcrafted(label_map: DataFrame) -> DataFrame:
-    """label_map(image_id, y, x, label, v): all shape, texture and crowdedness features of every region, one row each."""
+    """label_map(image_id, y, x, label, v: gray value) -> the FEATURES of every region, one row each."""
     moments, outline, hulls = shape_moments(label_map), perimeter_euler(label_map), convex_hulls(label_map)
-    props = region_props(label_map)
-    crowd = crowdedness(props.select(F.col("image_id").alias("graph_id"), F.col("label").cast("long").alias("node_id"), F.col("cx").alias("x"), F.col("cy").alias("y")))
-    texture = glcm_props(glcm(label_map), label_map)
-    crowd = crowd.select(F.col("graph_id").alias("image_id"), F.col("node_id").cast("int").alias("label"), "mean_crowd", "std_crowd")
-    return moments.join(outline, KEY).join(hulls, KEY).join(derived_shape(moments, outline, hulls), KEY).join(texture, KEY).join(crowd, KEY)
+    centers = label_map.filter("label > 0").groupBy(F.col("image_id").alias("graph_id"), F.col("label").cast("long").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    crowd = crowdedness(centers).select(F.col("graph_id").alias("image_id"), F.col("node_id").cast("int").alias("label"), F.col("mean_crowd").alias("mean_crowdedness"), F.col("std_crowd").alias("std_crowdedness"))
+    texture = glcm_props(glcm(label_map), label_map).select(*KEY, *[F.col(c.lower()).alias(f"glcm_{c}") for c in ("contrast", "dissimilarity", "homogeneity", "energy", "ASM", "dispersion")])
+    axes = moments.withColumnRenamed("major_axis", "major_axis_length").withColumnRenamed("minor_axis", "minor_axis_length")
+    out = axes.join(outline, KEY).join(hulls, KEY).join(derived_shape(moments, outline, hulls), KEY).join(texture, KEY).join(crowd, KEY)
+    return out.select(*KEY, *FEATURES)
 
 
 def concepts(features: DataFrame, names: str) -> DataFrame:

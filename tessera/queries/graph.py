@@ -8,6 +8,7 @@ from tessera import fixtures as X
 from tessera.fixtures import EDGES, IRR, LAB, PTS, PX
 from tessera.operators import graph as G
 from tessera.operators import metrics as M
+from tessera.operators import raster as P
 from tessera.operators import regions as R
 
 from . import query
@@ -188,15 +189,20 @@ def glcm_props(spark, sf):
 
 
 _SHAPE = ["major_axis", "minor_axis", "eccentricity", "orientation", "equivalent_diameter", "extent"]
-_MOM = """m AS (SELECT image_id, label, count(*) AS area, (max(y)-min(y)+1)*(max(x)-min(x)+1) AS box, avg(y*y) - avg(y)*avg(y) + 1/12 AS a, avg(x*x) - avg(x)*avg(x) + 1/12 AS c, avg(x)*avg(y) - avg(x*y) AS b FROM irr GROUP BY 1, 2),
+_MOM = """m AS (SELECT image_id, label, count(*) AS area, (max(y)-min(y)+1)*(max(x)-min(x)+1) AS box, var_pop(x) AS a, var_pop(y) AS c, -covar_pop(x, y) AS b FROM irr GROUP BY 1, 2),
  l AS (SELECT *, (a + c + sqrt(4*b*b + (a-c)*(a-c))) / 2 AS l1, greatest((a + c - sqrt(4*b*b + (a-c)*(a-c))) / 2, 0) AS l2 FROM m),
- shape AS (SELECT image_id, label, area, 4*sqrt(l1) AS major_axis, 4*sqrt(l2) AS minor_axis, sqrt(greatest(1 - l2/l1, 0)) AS eccentricity, CASE WHEN abs(a-c) < 1e-9 THEN CASE WHEN b < 0 THEN pi()/4 ELSE -pi()/4 END ELSE 0.5*atan2(-2*b, c-a) END AS orientation, sqrt(4*area/pi()) AS equivalent_diameter, area / box AS extent FROM l)"""
+ shape AS (SELECT image_id, label, area, 4*sqrt(l1) AS major_axis, 4*sqrt(l2) AS minor_axis, CASE WHEN l1 > 0 THEN sqrt(greatest(1 - l2/l1, 0)) ELSE 0 END AS eccentricity, CASE WHEN abs(a-c) < 1e-9 THEN CASE WHEN b < 0 THEN pi()/4 ELSE -pi()/4 END ELSE 0.5*atan2(-2*b, c-a) END AS orientation, sqrt(4*area/pi()) AS equivalent_diameter, area / box AS extent FROM l)"""
 
 
-@query(f"WITH {PX}, {LAB}, {IRR}, {_MOM} SELECT image_id, label, area, {Q6(*[c for c in _SHAPE if c != 'orientation'])} FROM shape")
+# A direction is compared by its doubled angle; where the axes are equal it is not defined, and by rounding alone.
+_TURN = "CASE WHEN abs(abs(orientation) - pi() / 4) > 1e-6 THEN round({f}(2 * orientation), 6) + 0.0 END"
+
+
+@query(f"WITH {PX}, {LAB}, {IRR}, {_MOM} SELECT image_id, label, area, {Q6(*[c for c in _SHAPE if c != 'orientation'])}, abs({_TURN.format(f='sin')}) AS turn_sin, {_TURN.format(f='cos')} AS turn_cos FROM shape")
 def shape_moments(spark, sf):
-    # An exact tie of the orientation can flip by rounding; the tests hold it on rasters.
-    return R.shape_moments(irregular(spark, sf)).drop("orientation").select("image_id", "label", "area", *R6(*[c for c in _SHAPE if c != "orientation"]))
+    out = R.shape_moments(irregular(spark, sf))
+    turn = [F.expr(_TURN.format(f=f)) for f in ("sin", "cos")]
+    return out.withColumns({"turn_sin": F.abs(turn[0]), "turn_cos": turn[1]}).select("image_id", "label", "area", *R6(*[c for c in _SHAPE if c != "orientation"]), "turn_sin", "turn_cos")
 
 
 _EULER = """q AS (SELECT image_id, label, y + dy AS y, x + dx AS x, sum(bit) AS m FROM irr JOIN (VALUES (0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8)) o(dy, dx, bit) ON TRUE GROUP BY 1, 2, 3, 4),
@@ -212,12 +218,15 @@ def perimeter_euler(spark, sf):
     return R.perimeter_euler(irregular(spark, sf)).select("image_id", "label", "euler_number", *R6("perimeter"))
 
 
-@query(f"WITH {PX}, {LAB}, {IRR}, {_MOM}, {_EULER} SELECT image_id, label, round(minor_axis / major_axis, 6) AS ellipticity, round(4*pi()*area / nullif(perimeter*perimeter, 0), 6) AS roundness FROM shape JOIN pe USING (image_id, label)")
+@query(f"WITH {PX}, {LAB}, {IRR}, {_MOM}, {_EULER} SELECT image_id, label, round(minor_axis / nullif(major_axis, 0), 6) AS ellipticity, round(4*pi()*area / nullif(perimeter*perimeter, 0), 6) AS roundness FROM shape JOIN pe USING (image_id, label)")
 def derived_shape(spark, sf):
     lab = irregular(spark, sf)
     return R.derived_shape(R.shape_moments(lab), R.perimeter_euler(lab), R.convex_hulls(lab)).select("image_id", "label", *R6("ellipticity", "roundness"))
 
 
+# Hulls and holes have no SQL; the tests compare them with brute force.
+
+
 @query()
 def convex_hulls(spark, sf):
     return R.convex_hulls(irregular(spark, sf))
@@ -225,7 +234,7 @@ def convex_hulls(spark, sf):
 
 @query()
 def handcrafted_features(spark, sf):
-    return R.handcrafted(_gray_labels(spark, sf, dense=False))
+    return R.handcrafted(X.labels(X.pixels(spark, sf), dense=False).select("image_id", "y", "x", "label", P.gray().alias("v")))
 
 
 @query(f"WITH {PX}, {LAB}, {IRR}, {_MOM} SELECT image_id, label, round(eccentricity, 6) AS eccentricity, area FROM shape")
