@@ -162,6 +162,17 @@ def otsu(px: DataFrame, column: str = "v") -> DataFrame:
     return total.select("image_id").join(best, "image_id", "left").select("image_id", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
+def otsu_binned(px: DataFrame, column: str = "v", bins: int = 256) -> DataFrame:
+    """`otsu` of values of any kind: over equal bins between an image's least and largest positive value; the threshold is a bin's middle."""
+    some = px.filter(F.col(column) > 0).select("image_id", F.col(column).cast("double").alias("v"))
+    ends = some.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    # Bins count from 1, as only positive values are binned.
+    best = otsu(some.join(ends.filter("lo < hi"), "image_id").select("image_id", (at + 1).alias("v")))
+    middle = F.col("lo") + (F.col("threshold") - 0.5) * (F.col("hi") - F.col("lo")) / bins
+    return ends.join(best, "image_id", "left").select("image_id", F.coalesce(middle, F.lit(0.0)).alias("threshold"))
+
+
 def dilate(mask: DataFrame, size: int, height: int, width: int, times: int = 1) -> DataFrame:
     """mask(image_id, y, x): pixels within a size x size square of one, inside the image."""
     lo, hi = -((size - 1) - size // 2), size // 2

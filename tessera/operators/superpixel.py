@@ -73,31 +73,37 @@ def slic(px: DataFrame, height: int, width: int, step: int, compactness: float =
     return connected(given.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("seed").alias("label")), width, step * step // 2)
 
 
-def color_stats(lab: DataFrame, legacy: bool = True) -> DataFrame:
-    """N, colour sums, mean colour's length and 4-bin histograms of every superpixel; legacy: all three histograms are of r."""
-    chan = ("r", "r", "r") if legacy else ("r", "g", "b")
-    hist = [F.sum((F.floor(F.col(c) / 64) == k).cast("int")).alias(f"h{n}{k}") for n, c in zip("rgb", chan) for k in range(BINS)]
+def color_stats(lab: DataFrame) -> DataFrame:
+    """N, colour sums, mean colour's length and 4-bin histograms of every superpixel."""
+    hist = [F.sum((F.floor(F.col(c) / 64) == k).cast("int")).alias(f"h{c}{k}") for c in "rgb" for k in range(BINS)]
     s = lab.filter("label > 0").groupBy(*KEY).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in "rgb"], *hist)
     return s.withColumn("norm", F.sqrt(sum(((F.col(f"s{c}") / F.col("n")) ** 2 for c in "rgb"), F.lit(0.0))))
 
 
-def _weight(w_hist: float, w_mean: float) -> Column:
-    """Of columns a_*, b_*: half the mean histogram distance and half the mean colour distance, each normalised."""
-    dists = []
-    for n in "rgb":
-        length = lambda s: F.sqrt(sum((F.col(f"{s}_h{n}{k}") ** 2 for k in range(BINS)), F.lit(0.0)))  # noqa: B023, E731
-        dists.append(F.sqrt(sum(((F.col(f"a_h{n}{k}") / length("a") - F.col(f"b_h{n}{k}") / length("b")) ** 2 for k in range(BINS)), F.lit(0.0))) / 2)
+def _weight(w_hist: float, w_mean: float, legacy: bool) -> Column:
+    """Of columns a_*, b_*: half the mean histogram distance and half the mean colour distance, each normalised.
+
+    legacy: the green and the blue vector are the red unit vector over the length of the green and of the blue counts.
+    """
+    length = lambda s, n: F.sqrt(sum((F.col(f"{s}_h{n}{k}").cast("double") ** 2 for k in range(BINS)), F.lit(0.0)))
+
+    def value(s: str, n: str, k: int) -> Column:
+        if not legacy or n == "r":
+            return F.col(f"{s}_h{n}{k}") / length(s, n)
+        return F.col(f"{s}_hr{k}") / length(s, "r") / length(s, n)
+
+    dists = [F.sqrt(sum(((value("a", n, k) - value("b", n, k)) ** 2 for k in range(BINS)), F.lit(0.0))) / 2 for n in "rgb"]
     mean = lambda s, c: F.coalesce(F.try_divide(F.col(f"{s}_s{c}") / F.col(f"{s}_n"), F.col(f"{s}_norm")), F.lit(0.0))
     color = F.sqrt(sum(((mean("a", c) - mean("b", c)) ** 2 for c in "rgb"), F.lit(0.0))) / 2
     return w_hist * (dists[0] + dists[1] + dists[2]) / 3 + w_mean * color
 
 
-def rag_weights(lab: DataFrame, w_hist: float = 0.5, w_mean: float = 0.5, neighbours: int = 2) -> DataFrame:
+def rag_weights(lab: DataFrame, w_hist: float = 0.5, w_mean: float = 0.5, neighbours: int = 2, legacy: bool = True) -> DataFrame:
     """Adjacent superpixels (src < dst) with the distance of their colours."""
     s = color_stats(lab)
     side = lambda p, key: s.select("image_id", F.col("label").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in s.columns if c not in KEY])
     e = region_adjacency(lab, connectivity(neighbours)).filter("src < dst")
-    return e.join(side("a", "src"), ["image_id", "src"]).join(side("b", "dst"), ["image_id", "dst"]).select("image_id", "src", "dst", _weight(w_hist, w_mean).alias("w"))
+    return e.join(side("a", "src"), ["image_id", "src"]).join(side("b", "dst"), ["image_id", "dst"]).select("image_id", "src", "dst", _weight(w_hist, w_mean, legacy).alias("w"))
 
 
 def tissue_filter(lab: DataFrame, mask: Column, least: float = 0.1) -> DataFrame:
@@ -106,13 +112,13 @@ def tissue_filter(lab: DataFrame, mask: Column, least: float = 0.1) -> DataFrame
     return share.select(*KEY, F.dense_rank().over(W.partitionBy("image_id").orderBy("label")).alias("new_label"))
 
 
-def merge(lab: DataFrame, thresh: float = 0.03, w_hist: float = 0.5, w_mean: float = 0.5) -> DataFrame:
+def merge(lab: DataFrame, thresh: float = 0.03, w_hist: float = 0.5, w_mean: float = 0.5, legacy: bool = True) -> DataFrame:
     """Greedy merging of the closest adjacent superpixels while closer than thresh: (image_id, label) -> merged, from 1.
 
     Only an image's region graph and figures meet in one task, a few numbers a superpixel; pixels are relabelled by a join.
     """
     s = color_stats(lab).select("image_id", F.struct(*[c for c in color_stats(lab).columns if c != "image_id"]).alias("node"), F.lit(None).cast("struct<src:int,dst:int,w:double>").alias("edge"))
-    e = rag_weights(lab, w_hist, w_mean).select("image_id", F.lit(None).cast(s.schema["node"].dataType).alias("node"), F.struct("src", "dst", "w").alias("edge"))
+    e = rag_weights(lab, w_hist, w_mean, legacy=legacy).select("image_id", F.lit(None).cast(s.schema["node"].dataType).alias("node"), F.struct("src", "dst", "w").alias("edge"))
 
     def run(key, pdf):
         import heapq
@@ -137,8 +143,14 @@ def merge(lab: DataFrame, thresh: float = 0.03, w_hist: float = 0.5, w_mean: flo
             n = np.linalg.norm(v)
             return v / n if n else v
 
+        def histograms(v):
+            counts = v[4:].reshape(3, BINS)
+            if not legacy:
+                return [unit(c) for c in counts]
+            return [unit(counts[0]) / (np.linalg.norm(c) if i else 1.0) for i, c in enumerate(counts)]
+
         def weight(a, b):  # the colour term is not halved once a region was merged
-            h = np.mean([np.linalg.norm(unit(a[4 + BINS * i : 4 + BINS * (i + 1)]) - unit(b[4 + BINS * i : 4 + BINS * (i + 1)])) / 2 for i in range(3)])
+            h = np.mean([np.linalg.norm(x - y) / 2 for x, y in zip(histograms(a), histograms(b))])
             return w_hist * h + w_mean * np.linalg.norm(unit(a[1:4]) - unit(b[1:4]))
 
         while heap:

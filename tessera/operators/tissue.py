@@ -9,10 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut
+from tessera.plans.scratch import cut, drop
 
 from .graph import components, largest_component
-from .raster import AT, dilate, gaussian_blur, gray, gray_bgr_inverted, otsu
+from .raster import AT, dilate, gaussian_blur, gray, gray_bgr_inverted, otsu, otsu_binned
 
 
 def pixel_components(mask: DataFrame, width: int) -> DataFrame:
@@ -31,6 +31,13 @@ def pixel_components(mask: DataFrame, width: int) -> DataFrame:
     return own.join(named, ["image_id", "node_id"]).select(*AT, "component")
 
 
+def remove_small(mask: DataFrame, width: int, least: int) -> DataFrame:
+    """The pixels of components of at least so many, with their component."""
+    own = cut(pixel_components(mask, width), "named")
+    large = own.groupBy("image_id", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return own.join(large.select("image_id", "component"), ["image_id", "component"], "left_semi").select(*AT, "component")
+
+
 def fill_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
     """The mask with background that cannot reach the edge of the image (by side steps) added."""
     grid = mask.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
@@ -40,17 +47,25 @@ def fill_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
     return mask.select(*AT).unionByName(outside.join(open_, ["image_id", "component"], "left_anti").select(*AT))
 
 
-def tissue_step(px: DataFrame, height: int, width: int, sigma: float, min_size: int) -> DataFrame:
-    """The largest component of what is brighter than the Otsu threshold in the blurred inverted gray image; none if it is small."""
-    v = gaussian_blur(px.select(*AT, gray_bgr_inverted().cast("double").alias("v")), sigma, height, width)
-    v = cut(v.select(*AT, F.floor("v").alias("v")), "blur")
-    bright = v.join(otsu(v), "image_id").filter(F.col("v") > F.col("threshold")).select(*AT)
-    named = cut(pixel_components(bright, width), "named")
+def tissue_step(px: DataFrame, height: int, width: int, sigma: float, min_size: int, steps: int = 1) -> DataFrame:
+    """The largest component of what is left of the inverted gray image after `steps` times a blur and the Otsu threshold (values under it become 0); none if it is small.
+
+    Without a blur values stay whole numbers, and so are the bins of the threshold. An image of one value has no tissue.
+    """
+    v = px.select(*AT, gray_bgr_inverted().cast("double").alias("v"))
+    varied = v.groupBy("image_id").agg((F.min("v") < F.max("v")).alias("varied")).filter("varied")
+    v, before = v.join(varied.select("image_id"), "image_id", "left_semi"), None
+    for _ in range(steps):
+        v = cut(gaussian_blur(v, sigma, height, width).select(*AT, "v") if sigma > 0 else v, "blur")
+        drop(before)
+        before, threshold = v, otsu_binned(v) if sigma > 0 else otsu(v)
+        v = v.join(threshold, "image_id", "left").select(*AT, F.when(F.col("v") >= F.coalesce("threshold", F.lit(0)), F.col("v")).otherwise(0.0).alias("v"))
+    named = cut(pixel_components(v.filter("v > 0").select(*AT), width), "named")
     best = largest_component(named.select("image_id", "component"), "image_id").filter(F.col("size") >= min_size)
     return named.join(best.select("image_id", "component"), ["image_id", "component"]).select(*AT)
 
 
-def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float = 20.0, min_size: int = 10, kernel: int = 20, background: float = 228.0) -> DataFrame:
+def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float = 20.0, min_size: int = 10, kernel: int = 20, background: float = 228.0, steps: int = 1) -> DataFrame:
     """Tissue found in rounds, each taking a component and whitening it, until what is found is as light as the background or adds no pixel.
 
     How light a component is, is the mean of its own gray before any whitening, black pixels aside.
@@ -59,7 +74,7 @@ def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float =
     open_ = cut(px.select(*AT, "r", "g", "b", gray().alias("own"), F.lit(False).alias("hit")), "open")
     found = px.select(*AT).filter("false")
     while True:
-        grown = dilate(tissue_step(open_, height, width, sigma, min_size), kernel, height, width).select("image_id", F.col("y").cast("int"), F.col("x").cast("int"))
+        grown = dilate(tissue_step(open_, height, width, sigma, min_size, steps), kernel, height, width).select("image_id", F.col("y").cast("int"), F.col("x").cast("int"))
         under = cut(open_.join(grown, AT).select(*AT, "own", "hit"), "under")
         dark = under.groupBy("image_id").agg(F.avg(F.when(F.col("own") > 0, F.col("own"))).alias("light")).filter(F.col("light") < background)
         new = cut(under.filter(~F.col("hit")).join(dark.select("image_id"), "image_id", "left_semi").select(*AT), "new")

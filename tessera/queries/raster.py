@@ -283,9 +283,9 @@ def connected_components(spark, sf):
     return T.pixel_components(_bright(spark, sf), Wd).select("image_id", "y", "x", "component")
 
 
-@query(f"{_CC}, s AS (SELECT image_id, component, count(*) AS size FROM cc GROUP BY 1, 2) SELECT image_id, component, size FROM s WHERE size >= 10")
+@query(f"{_CC.replace('r >= 200', 'r >= 150')}, s AS (SELECT image_id, component FROM cc GROUP BY 1, 2 HAVING count(*) >= 3) SELECT image_id, CAST(id // {Wd} AS INT) AS y, CAST(id % {Wd} AS INT) AS x, component FROM cc JOIN s USING (image_id, component)")
 def remove_small_objects(spark, sf):
-    return T.pixel_components(_bright(spark, sf), Wd).groupBy("image_id", "component").agg(F.count("*").alias("size")).filter("size >= 10")
+    return T.remove_small(X.pixels(spark, sf).filter("r >= 150").select(*P.AT), Wd, 3)
 
 
 @query()
@@ -311,16 +311,17 @@ def _lab(spark, sf):
     return X.labels(X.pixels(spark, sf)).select(*P.AT, "label", "r", "g", "b")
 
 
-_ST = "st AS (SELECT image_id, label, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, " + ", ".join(f"count(*) FILTER (r // 64 = {k}) AS h{k}" for k in range(4)) + ", sqrt((sum(r) / count(*)) ** 2 + (sum(g) / count(*)) ** 2 + (sum(b) / count(*)) ** 2) AS norm FROM lab GROUP BY 1, 2)"
+_ST = "st AS (SELECT image_id, label, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, " + ", ".join(f"count(*) FILTER ({c} // 64 = {k}) AS h{c}{k}" for c in "rgb" for k in range(4)) + ", sqrt((sum(r) / count(*)) ** 2 + (sum(g) / count(*)) ** 2 + (sum(b) / count(*)) ** 2) AS norm FROM lab GROUP BY 1, 2)"
 
 
-@query(f"WITH {PX}, {LAB}, {_ST} SELECT image_id, label, n, CAST(sr AS BIGINT) AS sr, CAST(sg AS BIGINT) AS sg, CAST(sb AS BIGINT) AS sb, h0 AS hr0, h1 AS hr1, h2 AS hr2, h3 AS hr3, round(norm, 6) AS norm FROM st")
+@query(f"WITH {PX}, {LAB}, {_ST} SELECT image_id, label, n, CAST(sr AS BIGINT) AS sr, CAST(sg AS BIGINT) AS sg, CAST(sb AS BIGINT) AS sb, {', '.join(f'h{c}{k}' for c in 'rgb' for k in range(4))}, round(norm, 6) AS norm FROM st")
 def superpixel_color_stats(spark, sf):
-    return U.color_stats(_lab(spark, sf)).select("image_id", "label", "n", "sr", "sg", "sb", *[f"hr{k}" for k in range(4)], *R6("norm"))
+    return U.color_stats(_lab(spark, sf)).select("image_id", "label", "n", "sr", "sg", "sb", *[f"h{c}{k}" for c in "rgb" for k in range(4)], *R6("norm"))
 
 
-_HL = lambda s: f"sqrt({' + '.join(f'{s}.h{k} * {s}.h{k}' for k in range(4))})"
-_HD = f"sqrt({' + '.join(f'(a.h{k} / {_HL('a')} - b.h{k} / {_HL('b')}) ** 2' for k in range(4))}) / 2"
+_HL = lambda s, c: f"sqrt({' + '.join(f'{s}.h{c}{k} * {s}.h{c}{k}' for k in range(4))})"
+_HV = lambda s, c, k: f"{s}.hr{k} / {_HL(s, 'r')}" + (f" / {_HL(s, c)}" if c != "r" else "")
+_HD = "(" + " + ".join(f"sqrt({' + '.join(f'({_HV('a', c, k)} - {_HV('b', c, k)}) ** 2' for k in range(4))}) / 2" for c in "rgb") + ") / 3"
 _CD = f"sqrt({' + '.join(f'(a.s{c} / a.n / a.norm - b.s{c} / b.n / b.norm) ** 2' for c in 'rgb')}) / 2"
 
 

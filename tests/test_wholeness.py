@@ -39,10 +39,16 @@ def _tissue(image, sigma, min_size, kernel, background):
     while True:
         v = (255 - luma(image[..., 2], image[..., 1], image[..., 0])).astype(float)
         v = sum(k * np.pad(v, ((r, r), (0, 0)), "edge")[i : i + h] for i, k in enumerate(weights))
-        v = np.floor(sum(k * np.pad(v, ((0, 0), (r, r)), "edge")[:, i : i + w] for i, k in enumerate(weights)))
-        some = v[v > 0]
-        best = max(((some <= t).sum() * (some > t).sum() * (some[some <= t].mean() - some[some > t].mean()) ** 2, -t) for t in np.unique(some)[:-1]) if len(set(some)) > 1 else (0, 0)
-        piece = max(_pieces(v > -best[1]), key=len, default=[])
+        v = sum(k * np.pad(v, ((0, 0), (r, r)), "edge")[:, i : i + w] for i, k in enumerate(weights))
+        some, threshold = v[v > 0], 0.0
+        if some.size and some.min() < some.max():
+            edges = np.linspace(some.min(), some.max(), 257)
+            middles, count = (edges[1:] + edges[:-1]) / 2, np.histogram(some, edges)[0]
+            left, right = np.cumsum(count), np.cumsum(count[::-1])[::-1]
+            mean = lambda c, m, n: np.cumsum(c * m) / np.maximum(n, 1)
+            gap = mean(count, middles, left)[:-1] - mean(count[::-1], middles[::-1], right[::-1])[::-1][1:]
+            threshold = middles[np.argmax(np.round(left[:-1] * right[1:] * gap**2 * (256 / (some.max() - some.min())) ** 2, 6))]
+        piece = max(_pieces((v >= threshold) & (v > 0)), key=len, default=[])
         if len(piece) < min_size:
             return found, rounds
         grown = np.zeros((h, w), bool)
