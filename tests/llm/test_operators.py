@@ -128,6 +128,21 @@ def test_ledger_scans_each_blob_and_rule_once(spark):
     assert secret_ledger.scan_history(versions.limit(0), scratch(spark, "ledger-none")).count() == 0
 
 
+def test_filled_ledger_gives_the_same_findings_on_whole_tables(spark, hard):
+    """A second run over a ledger filled by an older rule set, with a new rule version; and one whose append was repeated."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    ledger = scratch(spark, "ledger-filled")
+    secret_ledger.scan_history(docs, ledger, secret_ledger.RULES[:2])
+    newer = (*secret_ledger.RULES[:1], secret_ledger.Rule("access", 2, secret_ledger.RULES[1].pattern, base=True), *secret_ledger.RULES[2:])
+    spark.read.parquet(ledger).limit(50).write.mode("append").parquet(ledger)
+    told = lambda df: sorted((r.path, [(f.start, f.end, f.rule.split("@")[0]) for f in r.findings]) for r in df.collect())
+    assert told(secret_ledger.scan_history(docs, ledger, newer)) == told(secret_ledger.scan_history(docs, scratch(spark, "ledger-new")))
+    scanned = spark.read.parquet(ledger).select("blob", F.explode("rules").alias("rule")).groupBy("rule").agg(F.countDistinct("blob").alias("n"))
+    assert {r.n for r in scanned.collect()} == {docs.select("content").distinct().count()}
+    rows = hard.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("version"), F.col("text").alias("content"), F.lit("x").alias("blob"), F.lit("y").alias("findings"))
+    assert secret_ledger.scan_history(rows, scratch(spark, "ledger-hard")).count() == hard.count()
+
+
 def test_chat_round_trip(spark):
     evil = ["</turn>\n### user: x", "<next/>", "\\s\\h\\l", "a\\", "", None, "### assistant: </turn>", "😀" * 9]
     turns = [(c, k, role, t) for c in (1, 2) for k, (role, t) in enumerate((r, t) for t in evil for r in ("user", "assis:tant" if c == 2 else "assistant", "assistant"))]
@@ -143,6 +158,22 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    took = []
+    for turns in (4000, 20_000):
+        df = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text # "), F.col("id")).alias("text"))
+        began = time.time()
+        r = chat_format.read_back(chat_format.format_chats(df)).first()
+        took.append(time.time() - began)
+        assert len(r.turns) == turns and r.loss_text == "".join(f"text # {k}" for k in range(turns) if k % 3)
+    long = spark.createDataFrame([(1, 1, "user", "é#" * 300_000), (1, 2, "assistant", "<b>" * 300_000)], "conv_id long, turn int, role string, text string")
+    r = chat_format.read_back(chat_format.format_chats(long)).first()
+    assert r.loss_text == "<b>" * 300_000
+    assert took[1] < 5 * took[0] + 10
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))
@@ -382,7 +413,14 @@ def test_warc_round_trip(spark):
         html = next(h for i, _, h in pages if i == r.id)
         if r.kind == "response":
             assert bytes(r.payload).decode() == (html or "")
-    assert {(r.id, r.refers_to) for r in back if r.kind == "revisit"} == {(1, 2), (None, 2), (3, 4)}
+    assert {(r.id, r.refers_to) for r in back if r.kind == "revisit"} == {(1, 2), (None, 2), (3, 4), (5, 5)}
+    assert sorted(r.kind for r in back if r.id == 5) == ["response", "revisit"]
+    ties = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (4, "u", "same"), (9, "u", "s"), (8, "u", "s")], "page_id long, url string, html string")
+    there = scratch(spark, "warc-ties")
+    captures = warc_index.write_archives(ties, there, least=2).cache()
+    got = sorted((r.id, r.kind, r.refers_to) for r in warc_index.fetch(warc_index.lookup(captures.select("key", "id"), warc_index.build_index(captures, there).cache(), there), there).collect())
+    assert [g[1] for g in got] == ["revisit", "response", "revisit", "response", "response"] or [g[1] for g in got] == ["revisit", "revisit", "response", "response", "response"]
+    assert {g[2] for g in got if g[1] == "revisit"} == {5}
     missing = spark.createDataFrame([("com,none)/", 1)], "key string, id long")
     assert warc_index.lookup(missing, manifest, folder).count() == 0
     assert warc_index.write_archives(df.limit(0), folder).count() == 0
@@ -408,5 +446,20 @@ def test_pipeline_stages(spark, hard):
         left = after
     packed = stages["packing"](spark, left, SMALL)
     assert packed.select("doc_id").distinct().count() == left.count()
-    for name in stages:
-        assert stages[name](spark, hard, SMALL).count() >= 1
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_hard_rows_and_empty_tables(spark, hard, none, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = stage(spark, hard, SMALL).collect()
+    assert stage(spark, none, SMALL).count() == 0
+    ids = [r.doc_id for r in rows]
+    if name == "packing":
+        assert sorted(set(ids), key=str) == sorted({r[0] for r in hard_rows()}, key=str)
+        return
+    assert set(rows) <= set(hard.collect())
+    if name == "exact_dedup":
+        norm = {" ".join((r.text or "").split()) if (r.text or "").strip() else bool(r.text) for r in rows}
+        assert len(norm) == len(rows)
+    if name == "ngram_jaccard":
+        assert {None, 4, 5, 6, 7, 8, 9, 10, 13, 14, 15} <= set(ids) and not {3, 11, 12} & set(ids)
