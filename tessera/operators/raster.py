@@ -119,11 +119,18 @@ def grid_patches(px: DataFrame, patch: int, stride: int, height: int, width: int
 
 def instance_patches(props: DataFrame, label_map: DataFrame, patch: int, stride: int, share: float = 0.25) -> DataFrame:
     """Patches stepping from each region's centroid inside its box, with the pixels of the region that they hold; only those with more than patch * patch * share."""
-    steps = lambda c, lo, hi: F.explode(F.sequence(F.col(c) - F.floor((F.col(c) - F.col(lo)) / stride) * stride, F.col(hi), F.lit(stride)))
     at = props.select("image_id", "label", F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"), "x0", (F.col("x1") - 1).cast("long").alias("x1"), "y0", (F.col("y1") - 1).cast("long").alias("y1"))
-    centers = at.withColumn("px", steps("cx", "x0", "x1")).withColumn("py", steps("cy", "y0", "y1")).select("image_id", "label", "px", "py")
+    first = lambda c, lo: F.col(c) - F.floor((F.col(c) - F.col(lo)) / stride) * stride
+    at = at.select("image_id", "label", first("cx", "x0").alias("bx"), first("cy", "y0").alias("by"), "x1", "y1")
     half = patch // 2
-    held = centers.join(label_map.select(*AT, "label"), ["image_id", "label"]).filter((F.col("x") >= F.col("px") - half) & (F.col("x") < F.col("px") - half + patch) & (F.col("y") >= F.col("py") - half) & (F.col("y") < F.col("py") - half + patch))
+
+    def over(c: str, base: str, last: str) -> Column:
+        """The centres whose patch holds a pixel: each pixel goes to them, never a centre to all pixels of its region."""
+        lo, hi = F.ceil((F.col(c) + half - patch + 1 - F.col(base)) / stride), F.floor((F.col(c) + half - F.col(base)) / stride)
+        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.floor((F.col(last) - F.col(base)) / stride))
+        return F.explode(F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda j: F.col(base) + j * stride)))
+
+    held = label_map.select(*AT, "label").join(at, ["image_id", "label"]).withColumn("px", over("x", "bx", "x1")).withColumn("py", over("y", "by", "y1"))
     return held.groupBy("image_id", "label", "px", "py").agg(F.count("*").alias("overlap")).filter(F.col("overlap") > int(patch * patch * share))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import cut
@@ -42,8 +43,30 @@ def concentrations(od: DataFrame, stains=None) -> DataFrame:
     return od.select(*own, F.greatest((bb * av - ab * bv) / det, F.lit(0.0)).alias("c1"), F.greatest((aa * bv - ab * av) / det, F.lit(0.0)).alias("c2"))
 
 
+def quantiles(values: DataFrame, column: str, ps: dict[str, float], key: str = "image_id", bins: int = 4096) -> DataFrame:
+    """key and one column a name of ps: exact percentiles by linear interpolation.
+
+    Two passes: equal bins tell in which of them the wanted ranks lie, and only the distinct values of these bins are counted and ordered. So no task holds the values of an image.
+    """
+    some = cut(values.filter(F.col(column).isNotNull()).select(key, F.col(column).alias("v")), "values")
+    ends = some.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0).alias("bin")
+    binned = some.join(ends, key).select(key, "v", at)
+    upto = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    counts = binned.groupBy(key, "bin").agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(W.partitionBy(key)))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f((F.col("n") - 1) * p).cast("long").alias("rank"), ((F.col("n") - 1) * p).alias("place")) for name, p in ps.items() for f in (F.floor, F.ceil)]))
+    wanted = counts.select(key, "bin", "c", "end", ranks.alias("r")).filter((F.col("r.rank") < F.col("end")) & (F.col("r.rank") >= F.col("end") - F.col("c"))).select(key, "bin", (F.col("end") - F.col("c")).alias("before"), "r.*")
+    inside = binned.join(wanted.select(key, "bin").distinct(), [key, "bin"]).groupBy(key, "bin", "v").agg(F.count("*").alias("c"))
+    inside = inside.withColumn("end", F.sum("c").over(W.partitionBy(key, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    met = wanted.join(inside, [key, "bin"]).filter((F.col("rank") - F.col("before") < F.col("end")) & (F.col("rank") - F.col("before") >= F.col("end") - F.col("c")))
+    # The two neighbours of a place, or one twice.
+    low, high = F.min("v"), F.max("v")
+    one = met.groupBy(key, "name").agg((low + (high - low) * (F.first("place") - F.floor(F.first("place")))).alias("q"))
+    return one.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in ps])
+
+
 def _largest(conc: DataFrame) -> DataFrame:
-    return conc.groupBy("image_id").agg(F.percentile("c1", 0.99).alias("m1"), F.percentile("c2", 0.99).alias("m2"))
+    return quantiles(conc, "c1", {"m1": 0.99}).join(quantiles(conc, "c2", {"m2": 0.99}), "image_id")
 
 
 def render(conc: DataFrame, target=DEFAULT_STAINS, scale=DEFAULT_MAX) -> DataFrame:
@@ -80,7 +103,7 @@ def macenko_stains(px: DataFrame, alpha: float = ALPHA, beta: float = BETA) -> D
     plane = _plane(od_covariance(od))
     dot = lambda e: sum((F.col(f"od_{c}") * F.col(f"e{e}{j}") for j, c in enumerate("rgb")), F.lit(0.0))
     angle = od.join(plane, "image_id").select("image_id", F.atan2(dot(1), dot(0)).alias("phi"))
-    ends = angle.groupBy("image_id").agg(F.percentile("phi", alpha / 100).alias("lo"), F.percentile("phi", 1 - alpha / 100).alias("hi")).join(plane, "image_id")
+    ends = quantiles(angle, "phi", {"lo": alpha / 100, "hi": 1 - alpha / 100}).join(plane, "image_id")
     vec = lambda phi: [F.cos(phi) * F.col(f"e0{j}") + F.sin(phi) * F.col(f"e1{j}") for j in range(3)]
     both = ends.select("image_id", F.array(*vec("lo")).alias("a"), F.array(*vec("hi")).alias("b"))
     first, second = F.when(F.col("a")[0] > F.col("b")[0], F.col("a")).otherwise(F.col("b")), F.when(F.col("a")[0] > F.col("b")[0], F.col("b")).otherwise(F.col("a"))
