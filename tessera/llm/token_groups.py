@@ -11,9 +11,9 @@ first n - o + l of each (l up to the partner's own): that prefix is all that is
    Classes without a link are similar to others all the same: they are pooled by the hub that they share most with.
 3. Matrix: groups and pools of many classes are cut into blocks. Sets of n and m <= n shingles that link share 4/9 (n + m), at least 8/9 m, so of the
    smaller one a shorter prefix is enough: the matrix counts for each (shingle, block) the members with it in there. A class is a query to the blocks, those of its own group aside, that
-   hold l shingles of its prefix (l = n / 10 again, of the smaller one; shingles that only itself holds in its own block do not count) and a size up to its own. The overlap of the query with
-   a block's union bounds that with every member: blocks under the least overlap with their smallest member are not opened. In opened blocks the query meets the members that share a shingle of
-   the prefixes; these pairs are verified, and a link joins the two groups.
+   hold l shingles of its prefix (l = a tenth of the least overlap, as above, of the smaller one; shingles that only itself holds in its own block do not count) and a size up to its own. The overlap of the query with
+   a block's union bounds that with every member: blocks under the least overlap with their smallest member are not opened. In opened blocks the query meets the members that share shingles of
+   the prefixes; pairs with l of these are verified, and a link joins the two groups.
 
 Only links inside a group are left unchecked, as they change no component, so the components are those of all links. The rarest-first order keeps passages that many documents share
 out of the prefixes; every count and minimum is pre-aggregated, hot join keys are those adaptive execution splits, and no array grows with a group.
@@ -166,7 +166,10 @@ def _ranked(sets: DataFrame) -> DataFrame:
         "cid", "n", F.col("ranked.token").alias("common"), (F.size("ranked") / F.col("n")).alias("central"),
         (F.size("ranked") - _least("n") + 1).alias("one"),
         F.slice(F.col("ranked.token"), 1, (F.size("ranked") - _least("n") + _few("n")).cast("int")).alias("prefix"),
-        (F.size("ranked") - _needed(F.col("n"), F.col("n")) + _few("n")).alias("short"),
+        # With too few shared shingles for any partner of its size or more, a class is no member that a query can find.
+        F.when(F.size("ranked") >= _needed(F.col("n"), F.col("n")), F.size("ranked") - _needed(F.col("n"), F.col("n")) + _few("n")).otherwise(0).alias("short"),
+        # As a query it can link to sets of at most this size.
+        F.least(F.floor(F.size("ranked") * (100 + PERCENT) / PERCENT - F.col("n")), F.col("n")).alias("reach"),
     )
 
 
@@ -183,7 +186,7 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     cuts.drop(near, sets)
 
     # 2. Groups around hubs.
-    prefix = ranked.select("cid", "n", "central", "one", "short", F.posexplode("prefix").alias("pos", "token"))
+    prefix = ranked.select("cid", "n", "central", "one", "short", "reach", F.posexplode("prefix").alias("pos", "token"))
     rare = prefix.filter("pos < one")
     hubs = rare.groupBy("token").agg(F.max(F.struct("central", "cid", "n")).alias("hub"), F.count("*").alias("held")).filter("held > 1").select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"))
     met = cuts.table(rare.join(hubs, "token").filter(F.col("cid") != F.col("b")).groupBy(F.col("cid").alias("a"), "n", "b", "m").agg(F.count("*").alias("shared")), "met")
@@ -198,14 +201,14 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     member = cuts.table(member.join(sizes, "pool").select("cid", "n", "group", "pool", block), "members")
 
     # 3. The matrix, its bounds, and the groups they leave open.
-    held = cuts.table(prefix.select("cid", "n", "token", (F.col("pos") < F.col("short")).alias("first")).join(member.drop("n"), "cid"), "held")
+    held = cuts.table(prefix.select("cid", "n", "reach", "token", (F.col("pos") < F.col("short")).alias("first")).join(member.drop("n"), "cid"), "held")
     matrix = held.filter("first").groupBy(F.col("pool").alias("g"), F.col("block").alias("k"), "token").agg(F.count("*").alias("holders"))
     own = (F.col("pool") == F.col("g")) & (F.col("block") == F.col("k"))
     others = F.col("holders") > F.when(own & F.col("first"), 1).otherwise(0)
     # A query and a block that share too few shingles of the prefixes hold no link: nothing more is read of them.
-    shared = held.join(matrix, "token").filter(~(F.col("pool.linked") & (F.col("pool") == F.col("g"))) & others).groupBy("cid", "n", "g", "k", own.alias("own")).agg(F.count("*").alias("hits"))
+    shared = held.join(matrix, "token").filter(~(F.col("pool.linked") & (F.col("pool") == F.col("g"))) & others).groupBy("cid", "n", "reach", "g", "k", own.alias("own")).agg(F.count("*").alias("hits"))
     blocks = member.groupBy(F.col("pool").alias("g"), F.col("block").alias("k")).agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    fits = (_least("n") <= F.col("large")) & (F.col("small") <= F.col("n"))
+    fits = (_least("n") <= F.col("large")) & (F.col("small") <= F.col("reach"))
     enough = F.col("hits") >= F.least(_few("n"), _few(F.greatest(F.col("small"), _least("n"))))
     asked = cuts.table(shared.join(blocks, ["g", "k"]).filter(fits & enough).select("cid", "n", "g", "k", "own", "small"), "asked")
     wanted = asked.select(F.col("g").alias("pool"), F.col("k").alias("block")).distinct()
@@ -214,9 +217,10 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "k", "token"]).filter(others).groupBy("cid", "n", "small", "g", "k").agg(F.count("*").alias("overlap"))
     enough = _needed(F.col("n"), F.greatest(F.col("small"), _least("n")))
     opened = overlap.filter(F.col("overlap") >= enough).select("cid", "g", "k")
-    asking = held.select("cid", "n", "token", F.col("group").alias("ga")).join(opened, "cid")
+    asking = held.select("cid", "n", "reach", "token", F.col("group").alias("ga")).join(opened, "cid")
     members = held.filter("first").select(F.col("cid").alias("b"), F.col("n").alias("m"), "token", F.col("pool").alias("g"), F.col("block").alias("k"), F.col("group").alias("gb"))
-    pairs = asking.join(members, ["g", "k", "token"]).filter((F.col("m") <= F.col("n")) & (F.col("ga") != F.col("gb")) & _fits("n", "m")).select(F.col("cid").alias("a"), "b").distinct()
+    open_pairs = asking.join(members, ["g", "k", "token"]).filter((F.col("m") <= F.col("reach")) & (F.col("ga") != F.col("gb")) & _fits("n", "m")).groupBy("cid", "n", "b", "m").agg(F.count("*").alias("hits"))
+    pairs = open_pairs.filter(F.col("hits") >= F.least(_few("n"), _few("m"))).select(F.col("cid").alias("a"), "b")
     across = cuts.table(_linked(pairs, ranked), "across")
     of = member.select(F.col("cid"), "group")
     joined = across.join(of.select(F.col("cid").alias("a"), F.col("group").alias("ga")), "a").join(of.select(F.col("cid").alias("b"), F.col("group").alias("gb")), "b")
