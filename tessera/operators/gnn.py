@@ -13,6 +13,8 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,17 +229,56 @@ class Pna:
         return both.withColumn("h", plus(F.col("h"), F.col("_mixed")) if self.residual and self.inputs == self.outputs else F.col("_mixed")).drop("_mixed")
 
 
+@dataclass(frozen=True)
+class Lstm:
+    """A layer readout: a bidirectional LSTM over a node's layers scores them, and the softmax of the scores weighs their outputs.
+
+    ways: for both directions the weights (4 * hidden, inputs + hidden) and biases of input, forget, cell and output gates; score: weights (2 * hidden) and bias.
+    """
+
+    ways: tuple
+    score: tuple
+
+    def __call__(self, layers: np.ndarray) -> np.ndarray:
+        """layers (nodes, layers, width) -> (nodes, width)."""
+        sides = []
+        for (w, b), order in zip(self.ways, (1, -1)):
+            w, b, hidden = np.asarray(w), np.asarray(b), len(b) // 4
+            h, c, out = np.zeros((len(layers), hidden)), np.zeros((len(layers), hidden)), []
+            for k in range(layers.shape[1])[::order]:
+                gates = np.hstack([layers[:, k], h]) @ w.T + b
+                i, f, g, o = (gates[:, n * hidden : (n + 1) * hidden] for n in range(4))
+                sigmoid = lambda x: 1 / (1 + np.exp(-x))
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+                h = sigmoid(o) * np.tanh(c)
+                out.append(h)
+            sides.append(np.stack(out[::order], 1))
+        s = np.concatenate(sides, 2) @ np.asarray(self.score[0]) + self.score[1]
+        a = np.exp(s - s.max(1, keepdims=True))
+        return ((a / a.sum(1, keepdims=True))[..., None] * layers).sum(1)
+
+    def attended(self, h: Column, count: int, width: int) -> Column:
+        """Of arrays of all layers' outputs, one after another."""
+
+        def run(column: pa.Array) -> pa.Array:
+            out = self(np.asarray(column.flatten()).reshape(-1, count, width))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(out).ravel()))
+
+        return F.arrow_udf(run, "array<double>")(h)
+
+
 @dataclass(frozen=True)
 class Stack:
-    """Layers one after another and the readout. readout: `concat` of all layers' outputs or `none` for the last one's alone; reduce: over the nodes of a graph."""
+    """Layers one after another and the readout. readout: `concat` of all layers' outputs, `lstm` for their attention by `lstm`, or `none` for the last one's alone; reduce: over the nodes of a graph."""
 
     layers: tuple = field(default_factory=tuple)
     readout: str = "concat"
     reduce: str = "mean"
+    lstm: Lstm | None = None
 
     def __post_init__(self):
-        if self.readout not in ("concat", "none"):
-            raise ValueError("readout must be concat or none")
+        if self.readout not in ("concat", "lstm", "none") or (self.readout == "lstm") != (self.lstm is not None):
+            raise ValueError("readout must be concat, lstm with its weights, or none")
         if len(self.layers) < 2:
             raise ValueError("a stack has an input and an output layer at least")
 
@@ -251,6 +292,8 @@ class Stack:
         state = nodes.select("graph_id", "node_id", "h", F.array().cast("array<double>").alias("all"))
         for layer in self.layers:
             state = cut(layer(state, edges, weights).withColumn("all", F.concat("all", "h")), "layer")
+        if self.readout == "lstm":
+            return state.select("graph_id", "node_id", self.lstm.attended(F.col("all"), len(self.layers), self.width).alias("h"))
         return state.select("graph_id", "node_id", F.col("all" if self.readout == "concat" else "h").alias("h"))
 
     def graph_embeddings(self, nodes: DataFrame, edges: DataFrame, weights: Weights) -> DataFrame:

@@ -103,10 +103,29 @@ def reflect_index(i: Column, n: int) -> Column:
     return F.least(m, 2 * (n - 1) - m)
 
 
-def windows(height: int, width: int, size: int = 256, step: int = 164) -> list[tuple[int, int]]:
-    """Top-left corners of overlapping windows, rows first."""
-    last = lambda n: (n // step + (n % step > 0)) * step
-    return [(y, x) for y in range(0, last(height), step) for x in range(0, last(width), step)]
+def windows(images: DataFrame, height: str, width: str, step: int = 164) -> DataFrame:
+    """images with the corners top, left_, bottom, right_ of the windows' inner squares, rows first: as many as cover the image."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / step) * step - 1, F.lit(step)))
+    out = images.withColumn("top", every(height)).withColumn("left_", every(width))
+    return out.withColumns({"bottom": F.col("top") + step, "right_": F.col("left_") + step})
+
+
+def normalize_channels(px: DataFrame, means=(0.485, 0.456, 0.406), deviations=(0.229, 0.224, 0.225)) -> DataFrame:
+    """Channels over 255, less their means, over their deviations."""
+    return px.select(*AT, *[((F.col(c) / 255 - m) / d).alias(c) for c, m, d in zip("rgb", means, deviations)])
+
+
+def masked(px: DataFrame, keep: Column, fill: int, columns: tuple[str, ...]) -> DataFrame:
+    """Values where keep holds, `fill` elsewhere."""
+    return px.select(*AT, *[F.when(keep, F.col(c)).otherwise(fill).alias(c) for c in columns])
+
+
+def channel_stats(px: DataFrame, by: tuple[str, ...] = ("image_id",), bins: int = 8) -> DataFrame:
+    """by, channel, pixels, mean, std, median, skew, energy (mean square) and the shares h0.. of equal bins, of each of r, g and b: population figures, undefined ones null."""
+    each = px.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in "rgb"])).alias("o")).select(*by, "o.*")
+    shares = [F.avg((F.floor(F.col("v") / (256 // bins)) == k).cast("int")).alias(f"h{k}") for k in range(bins)]
+    v = F.col("v").cast("double")
+    return each.groupBy(*by, "channel").agg(F.count("*").alias("pixels"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile("v", 0.5).alias("median"), F.skewness(v).alias("skew"), F.avg(v * v).alias("energy"), *shares)
 
 
 def grid_patches(px: DataFrame, patch: int, stride: int, height: int, width: int) -> DataFrame:

@@ -8,6 +8,7 @@ from tessera import fixtures as X
 from tessera.fixtures import HEIGHT as H
 from tessera.fixtures import IRR, LAB, PX
 from tessera.fixtures import WIDTH as Wd
+from tessera.operators import nuclei as C
 from tessera.operators import raster as P
 from tessera.operators import regions as R
 from tessera.operators import stain as S
@@ -132,19 +133,20 @@ def min_max_normalize(spark, sf):
 
 @query(f"WITH {PX} SELECT image_id, y, x, round((r / 255 - 0.485) / 0.229, 6) AS r, round((g / 255 - 0.456) / 0.224, 6) AS g, round((b / 255 - 0.406) / 0.225, 6) AS b FROM px")
 def channel_normalize(spark, sf):
-    means, devs = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
-    return X.pixels(spark, sf).select(*P.AT, *[F.round((F.col(c) / 255 - m) / d, 6).alias(c) for c, m, d in zip("rgb", means, devs)])
+    return P.normalize_channels(X.pixels(spark, sf)).select(*P.AT, *R6("r", "g", "b"))
 
 
 @query(f"WITH {PX} SELECT image_id, y, x, CASE WHEN g >= 128 THEN r ELSE 255 END AS r FROM px")
 def apply_mask(spark, sf):
-    return X.pixels(spark, sf).select(*P.AT, F.when(F.col("g") >= 128, F.col("r")).otherwise(255).alias("r"))
+    return P.masked(X.pixels(spark, sf), F.col("g") >= 128, 255, ("r",))
 
 
-@query(f"WITH {PX} SELECT image_id, count(*) AS pixels, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std, quantile_cont(r, 0.5) AS median, round(avg(r * r), 6) AS energy, {', '.join(f'count(*) FILTER (r // 32 = {k}) / count(*) AS h{k}' for k in range(8))} FROM px GROUP BY 1")
+_CH = "ch AS (SELECT image_id, unnest(['r', 'g', 'b']) AS channel, unnest([r, g, b]) AS v FROM px), cm AS (SELECT image_id, channel, avg(v) AS m, stddev_pop(v) AS s FROM ch GROUP BY ALL)"
+
+
+@query(f"WITH {PX}, {_CH} SELECT image_id, channel, count(*) AS pixels, round(avg(v), 6) AS mean, round(any_value(s), 6) AS std, quantile_cont(v, 0.5) AS median, round(avg((v - m) ** 3) / nullif(any_value(s), 0) ** 3, 6) AS skew, round(avg(v::DOUBLE * v), 6) AS energy, {', '.join(f'round(count(*) FILTER (v // 32 = {k}) / count(*), 6) AS h{k}' for k in range(8))} FROM ch JOIN cm USING (image_id, channel) GROUP BY ALL")
 def color_stats(spark, sf):
-    h = [(F.sum((F.floor(F.col("r") / 32) == k).cast("int")) / F.count("*")).alias(f"h{k}") for k in range(8)]
-    return X.pixels(spark, sf).groupBy("image_id").agg(F.count("*").alias("pixels"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.stddev_pop("r"), 6).alias("std"), F.percentile("r", 0.5).alias("median"), F.round(F.avg(F.col("r") * F.col("r")), 6).alias("energy"), *h)
+    return P.channel_stats(X.pixels(spark, sf)).select("image_id", "channel", "pixels", "median", *R6("mean", "std", "skew", "energy", *[f"h{k}" for k in range(8)]))
 
 
 _PAD = "CASE WHEN p_size < 7 THEN 7 - p_size WHEN ((p_size - 7) % 4 + 4) % 4 = 0 THEN 0 ELSE 4 - ((p_size - 7) % 4 + 4) % 4 END"
@@ -175,9 +177,8 @@ def grid_patches(spark, sf):
 
 @query("SELECT s_suppkey, wy AS top, wx AS left_, wy + 164 AS bottom, wx + 164 AS right_ FROM supplier JOIN (SELECT unnest(range(0, 7)) * 164 AS wy) ON wy < ceil((300 + s_suppkey % 300) / 164) * 164 JOIN (SELECT unnest(range(0, 7)) * 164 AS wx) ON wx < ceil((400 + s_suppkey % 500) / 164) * 164")
 def tile_windows(spark, sf):
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / 164) * 164 - 1, F.lit(164)))
-    s = X.table(spark, sf, "supplier").withColumn("top", every(300 + F.col("s_suppkey") % 300)).withColumn("left_", every(400 + F.col("s_suppkey") % 500))
-    return s.select("s_suppkey", "top", "left_", (F.col("top") + 164).alias("bottom"), (F.col("left_") + 164).alias("right_"))
+    s = X.table(spark, sf, "supplier").withColumns({"h": 300 + F.col("s_suppkey") % 300, "w": 400 + F.col("s_suppkey") % 500})
+    return P.windows(s, "h", "w").select("s_suppkey", "top", "left_", "bottom", "right_")
 
 
 _INST = """pr AS (SELECT image_id, label, CAST(round_even(avg(x), 0) AS BIGINT) AS cx, CAST(round_even(avg(y), 0) AS BIGINT) AS cy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM irr GROUP BY 1, 2),
@@ -348,3 +349,21 @@ def slic_superpixels(spark, sf):
 @query()
 def merge_superpixels(spark, sf):
     return U.merge(_lab(spark, sf), thresh=0.12)
+
+
+@query()
+def nucleus_instances(spark, sf):
+    """Two touching disks a cell of 40 pixels, with maps that the mosaic's red disturbs a little."""
+    px = X.pixels(spark, sf).withColumn("cx", F.floor(F.col("x") / 20) * 20 + 10).withColumn("dx", (F.col("x") - F.col("cx")) / 10.0).withColumn("dy", (F.col("y") % 20 - 10) / 10.0)
+    inside = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= 1
+    maps = px.select(*P.AT, F.when(inside, 0.6 + F.col("r") / 1000).otherwise(0.1).alias("p"), F.when(inside, F.col("dx")).otherwise(0.0).alias("h"), F.when(inside, F.col("dy")).otherwise(0.0).alias("v"))
+    return C.instances(maps, H, Wd)
+
+
+_SOB21 = """k AS (SELECT k, s, coalesce(lag(c) OVER (ORDER BY k), 0) - CASE WHEN k = 20 THEN 0 ELSE c END AS d FROM (SELECT k, factorial(20)::DOUBLE / factorial(k::INT) / factorial(20 - k::INT) AS s, CASE WHEN k < 20 THEN factorial(19)::DOUBLE / factorial(k::INT) / factorial(19 - k::INT) END AS c FROM range(21) t(k)))"""
+
+
+@query(f"WITH {PX}, {_SOB21}, a AS (SELECT image_id, t.y, px.x, sum(s * r) AS v FROM (SELECT y::INT AS y, k, CASE WHEN abs(y + k - 10) >= {H} THEN {2 * (H - 1)} - abs(y + k - 10) ELSE abs(y + k - 10) END AS sy, s FROM range({H}) t(y), k) t JOIN px ON px.y = sy GROUP BY 1, 2, 3), b AS (SELECT image_id, a.y, t.x, sum(d * v) AS v FROM (SELECT x::INT AS x, CASE WHEN abs(x + k - 10) >= {Wd} THEN {2 * (Wd - 1)} - abs(x + k - 10) ELSE abs(x + k - 10) END AS sx, d FROM range({Wd}) t(x), k) t JOIN a ON a.x = sx GROUP BY 1, 2, 3) SELECT image_id, y, x, round(v / 1e9, 3) AS gx FROM b")
+def sobel_21(spark, sf):
+    px = X.pixels(spark, sf).select(*P.AT, F.col("r").cast("double").alias("v"))
+    return C.sobel(px, H, Wd)[0].select(*P.AT, F.round(F.col("v") / 1e9, 3).alias("gx"))
