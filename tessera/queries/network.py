@@ -257,3 +257,8 @@ def lrp_nodes(spark, sf):
 @query()
 def pruned_importance(spark, sf):
     return E.thresholded_importance(gradcam_nodes(spark, sf), 0.5)
+
+
+@query()
+def pruning_explainer(spark, sf):
+    return E.pruned(nodes(spark, sf), X.links(spark, sf), STACK, ["head1", "head2"], weights(spark))
