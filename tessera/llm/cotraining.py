@@ -9,7 +9,7 @@ Figures of all rows are written once to the shared folder, without their texts.
 driver sees one pair of moments a view. Only the figures of at most `sample` labelled ids of each class, chosen by a hash of their id, reach the driver; unlabelled rows have no bound.
 
 Cases: null and empty texts have an empty profile and are scored from it; null language, source or length is a value of its own; rows without a
-label are only unlabelled rows; several labels of one id count as low quality if any is; of several rows of a labelled id one is learned from; with no labelled row of a class every text scores the share
+label, and labelled rows beyond the sample, are only unlabelled rows; several labels of one id count as low quality if any is; of several rows of a labelled id one is learned from; with no labelled row of a class every text scores the share
 of high quality (0.5 without any); repeated rows score alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -230,8 +230,8 @@ def train(figs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "
     own = {(v, c): Moments(_WIDTH[v]) for v in (0, 1) for c in (0, 1)}
     for (v, c), m in own.items():
         m.add(views[v][learn & (y == c)])
-    # Labelled rows in or out of the sample are no unlabelled rows.
-    table = figs.join(labels.select(F.col(id).alias("_id"), F.lit(True).alias("_l")).distinct(), F.col(id) == F.col("_id"), "left").select("content", "metadata", F.coalesce("_l", F.lit(False)).alias("labelled"))
+    # The sample's ids are few and known: figures stay where they are. Labelled rows beyond the sample count as unlabelled.
+    table = figs.join(F.broadcast(picks.select("_id")), F.col(id) == F.col("_id"), "left").select("content", "metadata", F.col("_id").isNotNull().alias("labelled"))
     given: dict = {}
     for turn in range(rounds + 1):
         model = Model([discriminant([[own[v, c], *([given[v, c]] if (v, c) in given else [])] for c in (0, 1)]) for v in (0, 1)])
