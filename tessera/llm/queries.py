@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, mixing, packing, radix_dedup, repetition, secret_ledger, token_groups, toxicity, warc_index
+from . import chat_format, cotraining, mixing, packing, radix_dedup, repetition, secret_ledger, token_groups, token_transducer, toxicity, warc_index
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc_index": warc_index.op10_warc_index,
+    "op11_token_transducer": token_transducer.op11_token_transducer,
 }
 
 ORACLES = {
