@@ -39,6 +39,8 @@ RUN, CHUNK = 1 << 20, 512
 MOST_STATES = 200_000
 #: Last tokens count as one before nodes with at most so many tokens below.
 FEW = 32
+#: States of more transitions lie alone in the table.
+MANY = 8
 LIMIT = 2048
 
 #: The pieces that the tokenizer file's splitting pattern must list, in its order.
@@ -217,7 +219,7 @@ class Transducer:
     """The merge transducer: state 0 is between pieces; a transition has the next state and the tokens that it adds, `ends[s]` has those of a piece's end.
 
     Transitions lie in one table: that of state s and byte b is at base[s] + b, where `owner` must name s. A state whose new transition meets another's
-    moves to a base where all of its own are free; the table is at most a quarter full.
+    moves to a base where all of its own are free; this part of the table is at most a quarter full. States of over MANY transitions have 256 places of their own behind it.
     """
 
     def __init__(self, compiled: Compiled):
@@ -246,33 +248,39 @@ class Transducer:
         self._table(1 << 16)
 
     def _table(self, size: int) -> None:
-        self.owner, self.to, self.adds = np.full(size + 256, -1, np.int32), np.zeros(size + 256, np.int32), np.zeros(size + 256, np.int32)
+        self.size = self.free = size + 256
+        self.owner, self.to, self.adds = (np.full(2 * self.size, v, np.int32) for v in (-1, 0, 0))
         for s in range(len(self.states)):
             self._place(s)
 
     def _place(self, s: int) -> None:
         """Gives a state a base at which all its transitions are free, and writes them there."""
-        moves, owner = self.moves[s], self.owner
-        while True:
-            base = self.chance.randrange(len(owner) - 256)
-            if all(owner[base + b] < 0 for b in moves):
-                break
+        moves = self.moves[s]
+        if len(moves) <= MANY:
+            while True:
+                base = self.chance.randrange(self.size - 256)
+                if all(self.owner[base + b] < 0 for b in moves):
+                    break
+        else:
+            base = self.free
+            self.free += 256
+            if self.free > len(self.owner):
+                self.owner, self.to, self.adds = (np.concatenate([x, np.full(self.size, v, np.int32)]) for x, v in ((self.owner, -1), (self.to, 0), (self.adds, 0)))
         self.base[s] = base
         for b, (to, adds) in moves.items():
-            owner[base + b], self.to[base + b], self.adds[base + b] = s, to, adds
+            self.owner[base + b], self.to[base + b], self.adds[base + b] = s, to, adds
 
     def _add(self, s: int, byte: int, to: int, adds: int) -> None:
-        at = self.base[s] + byte
+        at, moves = self.base[s] + byte, self.moves[s]
         self.full += 1
-        if self.owner[at] < 0:
-            self.moves[s][byte] = (to, adds)
+        moves[byte] = (to, adds)
+        if len(moves) != MANY + 1 and self.owner[at] < 0:
             self.owner[at], self.to[at], self.adds[at] = s, to, adds
         else:
-            self.owner[[self.base[s] + b for b in self.moves[s]]] = -1
-            self.moves[s][byte] = (to, adds)
+            self.owner[[self.base[s] + b for b in moves if b != byte]] = -1
             self._place(s)
-        if 4 * self.full > len(self.owner):
-            self._table(2 * (len(self.owner) - 256))
+        if 4 * self.full > self.size:
+            self._table(2 * (self.size - 256))
 
     def _side(self, a: int, b: int) -> bool:
         if a < 0:
@@ -305,7 +313,7 @@ class Transducer:
             self.moves.append({})
             if s == len(self.ends):
                 self.base, self.ends = np.concatenate([self.base, self.base]), np.concatenate([self.ends, self.ends])
-            self.base[s] = self.chance.randrange(len(self.owner) - 256)
+            self.base[s] = self.chance.randrange(self.size - 256)
             for node, last, n in held:
                 t = final.get((node, byte))
                 if t is not None and self._side(last, t):
