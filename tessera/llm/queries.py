@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, cotraining, filter_audit, mixing, packing, radix_dedup, repetition, secret_ledger, token_groups, token_transducer, toxicity, warc_index
+from . import chat_format, cotraining, filter_audit, mixing, packing, phrases, radix_dedup, repetition, secret_ledger, token_groups, token_transducer, toxicity, warc_index
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_warc_index": warc_index.op10_warc_index,
     "op11_token_transducer": token_transducer.op11_token_transducer,
+    "op12_collocations": phrases.op12_collocations,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
@@ -26,5 +27,6 @@ ORACLES = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op6_ngram_jaccard": token_groups.OP6_SQL,
     "op10_warc_index": warc_index.OP10_SQL,
+    "op12_collocations": phrases.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
