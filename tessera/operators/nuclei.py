@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.flood import watershed_tiles
 from tessera.operators.raster import AT, min_max, reflect_index
-from tessera.operators.tissue import fill_holes, remove_small, watershed
-from tessera.plans.scratch import cut
+from tessera.operators.tissue import fill_holes, remove_small
+from tessera.plans.scratch import cut, drop
 
 #: The rows of an ellipse of 5 x 5 as half-widths.
 ELLIPSE = (0, 2, 2, 2, 0)
@@ -39,10 +43,6 @@ def sobel(px: DataFrame, height: int, width: int, size: int = 21) -> tuple[DataF
     return separable(px, smooth, slope, height, width), separable(px, slope, smooth, height, width)
 
 
-def binarise(column: str, least: float = 0.5) -> F.Column:
-    return F.when(F.col(column) >= least, 1).otherwise(0)
-
-
 def opening(mask: DataFrame, height: int, width: int, rows: tuple[int, ...] = ELLIPSE) -> DataFrame:
     """Erosion, for which everything beyond the image is set, then dilation, by a shape given as half-widths of its rows."""
     r = len(rows) // 2
@@ -56,8 +56,8 @@ def opening(mask: DataFrame, height: int, width: int, rows: tuple[int, ...] = EL
     return spread(kept).distinct()
 
 
-def instances(maps: DataFrame, height: int, width: int, least: int = 10) -> DataFrame:
-    """maps(image_id, y, x, p, h, v), dense -> image_id, y, x, label: nuclei grown from markers inside the probable pixels, along the ridges of the distance maps."""
+def instances(maps: DataFrame, height: int, width: int, least: int = 10, tile: int = 256) -> DataFrame:
+    """maps(image_id, y, x, p, h, v), dense -> image_id, y, x, label: nuclei grown from markers inside the probable pixels, along the ridges of the distance maps. The flood goes tile by tile."""
     mask = cut(remove_small(maps.filter(F.col("p") >= 0.5).select(*AT), width, least).select(*AT), "mask")
     edges = []
     for column, part in (("h", 0), ("v", 1)):
@@ -69,4 +69,52 @@ def instances(maps: DataFrame, height: int, width: int, least: int = 10) -> Data
     seeds = opening(fill_holes(both.filter((F.col("in") == 1) & (F.col("ridge") < 0.5)).select(*AT), height, width), height, width)
     marked = remove_small(seeds, width, least)
     named = marked.select("image_id", "component").distinct().withColumn("label", F.row_number().over(W.partitionBy("image_id").orderBy("component")))
-    return watershed(depth, marked.join(named, ["image_id", "component"]).select(*AT, "label"), height, width, mask)
+    return watershed_tiles(depth, marked.join(named, ["image_id", "component"]).select(*AT, "label"), mask, tile)
+
+
+#: A window's side, and that of its inner square, which is what a model gives back.
+WINDOW, CORE = 256, 164
+
+
+def predicted(px: DataFrame, model: Callable[[np.ndarray], np.ndarray], height: int, width: int, tissue: DataFrame | None = None, batch: int = 4) -> DataFrame:
+    """px(image_id, y, x, r, g, b), dense -> image_id, y, x, p, h, v: a model's maps, window by window.
+
+    model: from windows (n, WINDOW, WINDOW, 3), channels in 0 to 1, to maps (n, CORE, CORE, 3) of their inner squares. Windows reach beyond the image into its mirror. Pixels outside the tissue are white to it.
+    A task's group is `batch` windows beside one another.
+    """
+    if tissue is not None:
+        px = px.join(tissue.select(*AT, F.lit(True).alias("in")), AT, "left").select(*AT, *[F.when(F.col("in"), F.col(c)).otherwise(255).alias(c) for c in "rgb"])
+    edge = (WINDOW - CORE) // 2
+
+    def axis(name: str, size: int) -> DataFrame:
+        """Window w, position t in it, and the pixel that lies there."""
+        told = px.sparkSession.range(-(-size // CORE) * WINDOW).select((F.col("id") / WINDOW).cast("int").alias(f"w{name}"), (F.col("id") % WINDOW).cast("int").alias(f"t{name}"))
+        place = F.col(f"w{name}") * CORE + F.col(f"t{name}") - edge
+        return told.withColumn(name, (reflect_index(place, size) if size > 1 else F.lit(0)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        image, wy = table.column("image_id")[0].as_py(), table.column("wy")[0].as_py()
+        column = lambda c: table.column(c).to_numpy()
+        own, at = np.unique(column("wx"), return_inverse=True)
+        seen = np.zeros((len(own), WINDOW, WINDOW, 3), np.float32)
+        for k, c in enumerate("rgb"):
+            seen[at, column("ty"), column("tx"), k] = column(c) / 255.0
+        maps = np.asarray(model(seen))
+        y = (wy * CORE + np.arange(CORE))[None, :, None] + np.zeros(maps.shape[:3], int)
+        x = own[:, None, None] * CORE + np.arange(CORE)[None, None, :] + np.zeros(maps.shape[:3], int)
+        inside = (y < height) & (x < width)
+        flat = {"y": pa.array(y[inside], pa.int32()), "x": pa.array(x[inside], pa.int32())} | {c: pa.array(maps[..., k][inside].astype(float)) for k, c in enumerate("phv")}
+        return pa.table({"image_id": pa.array([image] * int(inside.sum()), table.schema.field("image_id").type)} | flat)
+
+    placed = px.select(*[F.col(c).cast("int").alias(c) if c in "yx" else F.col(c) for c in (*AT, *"rgb")]).join(axis("y", height), "y").join(axis("x", width), "x")
+    kind = px.schema["image_id"].dataType.simpleString()
+    groups = placed.select("image_id", "wy", "wx", "ty", "tx", *"rgb", F.floor(F.col("wx") / batch).alias("some")).groupBy("image_id", "wy", "some")
+    return groups.applyInArrow(run, f"image_id {kind}, y int, x int, p double, h double, v double")
+
+
+def extract(px: DataFrame, model: Callable[[np.ndarray], np.ndarray], height: int, width: int, tissue: DataFrame | None = None, least: int = 10, tile: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The nuclei of images: (image_id, y, x, label), and (image_id, label, cx, cy), the rounded mean places in the order of labels."""
+    maps = cut(predicted(px, model, height, width, tissue), "maps")
+    found = instances(maps, height, width, least, tile)
+    drop(maps)
+    return found, found.groupBy("image_id", "label").agg(F.rint(F.avg("x")).cast("int").alias("cx"), F.rint(F.avg("y")).cast("int").alias("cy"))

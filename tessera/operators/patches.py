@@ -1,6 +1,6 @@
 """Patch features with an injected embedding: patches of instances and grids, augmented or masked, and predictions stitched back.
 
-An embedding is a function of a numpy batch (n, patch, patch, 3), float32 and normalised, that gives (n, width) numbers: a network's forward pass, or any figure. It runs in Arrow
+An embedding is a function of a numpy batch (n, patch, patch, 3), normalised, that gives (n, width) numbers: a network's forward pass, or any figure; figures that are means or sums ask for float64. It runs in Arrow
 batches of `batch` patches. A patch's pixels come by an equi-join on their coordinates; what lies outside the image is filled.
 """
 
@@ -57,21 +57,21 @@ def augmentations(rotations: list[float] | None, flips: list[str] | None) -> lis
     return [(d, f) for d in rotations or [0] for f in flips or ["n"]]
 
 
-def embed(patches: DataFrame, patch: int, fn: Embedding, means=MEANS, deviations=DEVIATIONS, augs: list[tuple[float, str]] = ((0, "n"),), fill: int = 255, batch: int = 32) -> DataFrame:
-    """patches(*keys, data) -> *keys, aug, feat array<float>: the embedding of every patch under every augmentation."""
+def embed(patches: DataFrame, patch: int, fn: Embedding, means=MEANS, deviations=DEVIATIONS, augs: list[tuple[float, str]] = ((0, "n"),), fill: int = 255, batch: int = 32, dtype: type = np.float32) -> DataFrame:
+    """patches(*keys, data) -> *keys, aug, feat: the embedding of every patch under every augmentation, in and from numbers of `dtype` (np.float32 or np.float64)."""
     keys = [c for c in patches.columns if c != "data"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema if f.name != "data") + ", aug int, feat array<float>"
-    mean, dev = np.array(means, np.float32), np.array(deviations, np.float32)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema if f.name != "data") + f", aug int, feat array<{'float' if dtype is np.float32 else 'double'}>"
+    mean, dev = np.array(means, dtype), np.array(deviations, dtype)
     flip = {"n": lambda x: x, "h": lambda x: x[:, :, ::-1], "v": lambda x: x[:, ::-1]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), batch):
                 part = whole.slice(at, batch)
-                raw = np.asarray(part.column("data").flatten()).reshape(len(part), patch, patch, 3).astype(np.float32)
+                raw = np.asarray(part.column("data").flatten()).reshape(len(part), patch, patch, 3).astype(dtype)
                 for k, (degrees, f) in enumerate(augs):
-                    x = (flip[f](turned(raw, degrees, fill)) / np.float32(255) - mean) / dev
-                    feats = np.asarray(fn(np.ascontiguousarray(x)), np.float32)
+                    x = (flip[f](turned(raw, degrees, fill)) / dtype(255) - mean) / dev
+                    feats = np.asarray(fn(np.ascontiguousarray(x)), dtype)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * feats.shape[1]), pa.array(feats.ravel()))
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.array(np.full(len(part), k, np.int32)), lists], names=[*keys, "aug", "feat"])
 

@@ -78,9 +78,12 @@ def glcm_props(counts: DataFrame, labels: DataFrame, levels: int = 255) -> DataF
 
 def shape_moments(label_map: DataFrame) -> DataFrame:
     """Axes, eccentricity, orientation, equivalent diameter and extent from second central moments of pixel centres. The orientation is the major axis's angle to the y axis."""
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    # Sums of whole numbers are exact in any order, so that equal axes come out equal.
+    x, y = F.col("x").cast("decimal(10,0)"), F.col("y").cast("decimal(10,0)")
+    n = F.count("*").cast("decimal(12,0)")
+    second = lambda u, v: ((n * F.sum(u * v).cast("decimal(25,0)") - (F.sum(u).cast("decimal(18,0)") * F.sum(v).cast("decimal(18,0)"))).cast("double") / (n * n).cast("double"))
     m = label_map.filter("label > 0").groupBy(*KEY).agg(
-        F.count("*").alias("area"), F.var_pop(x).alias("a"), F.var_pop(y).alias("c"), (-F.covar_pop(x, y)).alias("b"),
+        F.count("*").alias("area"), second(x, x).alias("a"), second(y, y).alias("c"), (-second(x, y)).alias("b"),
         ((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1)).alias("box"),
     )
     root = F.sqrt(4 * F.col("b") * F.col("b") + (F.col("a") - F.col("c")) * (F.col("a") - F.col("c")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import fixtures as X
@@ -17,6 +18,10 @@ from .raster import _INST, H, Wd
 _N = lambda c: "(coalesce({c}, 255) / 255.0::DOUBLE - {m}) / {d}".format(c=c, m=dict(zip("rgb", A.MEANS))[c[-1]], d=dict(zip("rgb", A.DEVIATIONS))[c[-1]])
 
 
+#: Figures are taken in doubles, as SQL takes them.
+DOUBLE = {"dtype": np.float64}
+
+
 def means(x):
     """A patch's embedding: its channels' means."""
     return x.mean((1, 2))
@@ -35,7 +40,7 @@ def instances(spark, sf, **how):
     px = X.pixels(spark, sf)
     lab = X.labels(px, dense=False)
     centers = P.instance_patches(R.region_props(lab), lab, 8, 4)
-    return A.instance_features(centers, px, 8, means, 3, lab.select(*P.AT, "label") if how.pop("masked", False) else None, **how)
+    return A.instance_features(centers, px, 8, means, 3, lab.select(*P.AT, "label") if how.pop("masked", False) else None, **DOUBLE, **how)
 
 
 _CELLS = f"{_INST}, ce8 AS (SELECT image_id, label, px AS cx, py AS cy, px - 4 + dx AS x, py - 4 + dy AS y FROM ip, unnest(range(8)) a(dx), unnest(range(8)) b(dy))"
@@ -62,7 +67,7 @@ _GRID = f"gr AS (SELECT image_id, row, col, row * 10 - 1 + dy AS y, col * 10 - 1
 
 @query(f"WITH {PX}, {_GRID} SELECT image_id, row, col, 0 AS aug, {', '.join(f'round(avg({_N(c)}), 3) AS f{k}' for k, c in enumerate('rgb'))} FROM gp GROUP BY image_id, row, col".replace("g.*, r, g, b", "g.*, px.r, px.g, px.b"))
 def grid_deep_features(spark, sf):
-    return long(A.grid_features(images(spark, sf), X.pixels(spark, sf), 12, 10, means), "image_id", "row", "col", "aug")
+    return long(A.grid_features(images(spark, sf), X.pixels(spark, sf), 12, 10, means, **DOUBLE), "image_id", "row", "col", "aug")
 
 
 _CORNERS = {0: (0, 0), 1: (0, 11), 2: (0, 11), 3: (11, 11)}
@@ -71,7 +76,7 @@ _CORNERS = {0: (0, 0), 1: (0, 11), 2: (0, 11), 3: (11, 11)}
 @query(f"WITH {PX}, {_GRID} SELECT image_id, row, col, aug, {', '.join(f'round({_N(c)}, 3) AS f{k}' for k, c in enumerate('rgb'))} FROM gp JOIN (VALUES {', '.join(f'({k}, {y}, {x})' for k, (y, x) in _CORNERS.items())}) t(aug, dy, dx) USING (dy, dx)".replace("g.*, r, g, b", "g.*, px.r, px.g, px.b"))
 def augmented_grid_features(spark, sf):
     """Turns of 0 and 90 degrees, plain and mirrored; a turn brings the upper right pixel first, mirrored the lower right one."""
-    return long(A.grid_features(images(spark, sf), X.pixels(spark, sf), 12, 10, corner, A.augmentations([0, 90], ["n", "h"])), "image_id", "row", "col", "aug")
+    return long(A.grid_features(images(spark, sf), X.pixels(spark, sf), 12, 10, corner, A.augmentations([0, 90], ["n", "h"]), **DOUBLE), "image_id", "row", "col", "aug")
 
 
 @query(f"WITH {PX}, {_GRID} SELECT image_id, row, col, {', '.join(f'round(avg({_N(c)}), 3) AS f{k}' for k, c in enumerate('rgb'))}, round(count(*) FILTER (r >= 180) / 144, 6) AS fraction, count(*) FILTER (r >= 180) / 144 >= 0.1 AS is_valid FROM gp GROUP BY image_id, row, col".replace("g.*, r, g, b", "g.*, px.r, px.g, px.b"))

@@ -88,7 +88,7 @@ def test_feature_vector(spark):
     assert len(got) == 7
     square = got[1]
     assert (square.area, square.convex_area, square.euler_number, square.extent, square.filled_area, square.perimeter, square.solidity) == (16, 16, 1, 1.0, 16, 12.0, 1.0)
-    assert square.roughness == pytest.approx(1) and square.shape_factor == pytest.approx(4 * math.pi * 16 / 144) and square.eccentricity == pytest.approx(0)
+    assert square.roughness == pytest.approx(1) and square.shape_factor == pytest.approx(4 * math.pi * 16 / 144) and square.eccentricity == 0
     assert got[3].orientation == pytest.approx(math.pi / 2, abs=1e-9) or got[3].orientation == pytest.approx(-math.pi / 2, abs=1e-9)
     assert got[2].shape_factor is None and got[2].roughness is None
     centers = {k: np.mean(pixels(raster), 0) + (8 * k, 0) for k, raster in RASTERS.items()}
