@@ -462,4 +462,5 @@ def test_stages_on_hard_rows_and_empty_tables(spark, hard, none, name):
         norm = {" ".join((r.text or "").split()) if (r.text or "").strip() else bool(r.text) for r in rows}
         assert len(norm) == len(rows)
     if name == "ngram_jaccard":
-        assert {None, 4, 5, 6, 7, 8, 9, 10, 13, 14, 15} <= set(ids) and not {3, 11, 12} & set(ids)
+        # Row 9 has the words of row 8.
+        assert {None, 4, 5, 6, 7, 8, 10, 13, 14, 15} <= set(ids) and not {3, 9, 11, 12} & set(ids)
