@@ -39,6 +39,8 @@ FAN_IN = 64
 PARTS = 16
 #: Bytes of texts that are counted together before the shuffle.
 RUN = 8 << 20
+#: Bytes that are hashed at once.
+SPAN = 1 << 20
 
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
@@ -61,8 +63,14 @@ class Words:
         opens, closes = runs(_INNER[b], starts, ends)
         doc = np.searchsorted(ends, opens, side="right")
         piece = np.cumsum(_BREAK[b])[opens] + doc
-        hashes = self.rolling.over(b)(opens, closes) + seeds[doc]
         n = len(opens)
+        hashes = np.empty(n, np.uint64)
+        # Hashing takes some 40 bytes of memory a byte, so it goes by stretches of the run.
+        edges = np.unique(np.append(np.searchsorted(opens, np.arange(0, len(b), SPAN)), n))
+        for a, z in zip(edges[:-1], edges[1:]):
+            low = opens[a]
+            hashes[a:z] = self.rolling.over(b[low : closes[z - 1]])(opens[a:z] - low, closes[a:z] - low)
+        hashes += seeds[doc]
         # Whether the next word is in the same piece, and so on for more words.
         joined = [np.ones(n, bool)]
         for k in range(1, MAX_N):
@@ -106,7 +114,8 @@ def sketch(texts: DataFrame, slots: int = SLOTS, least: int = LEAST) -> list[np.
             for n in range(1, MAX_N + 1):
                 at = (_grams(hashes, n) & np.uint64(slots - 1))[joined[n - 1]]
                 any_ = any_ or bool(len(at))
-                now = np.minimum(np.bincount(at.view(np.int64), minlength=slots), 255).astype(np.uint8)
+                now = np.bincount(at.view(np.int64), minlength=slots)
+                now = np.minimum(now, 255, out=now).astype(np.uint8)
                 # Saturated: what would wrap around becomes 255.
                 total[n - 1] += now
                 total[n - 1][total[n - 1] < now] = 255
