@@ -196,11 +196,39 @@ class Pruning:
     decay: float = 5e-4
 
 
+class Sparse:
+    """A matrix of n rows and columns by its entries, those of a row together; products with a dense one go by blocks of rows, so memory is that of the entries and the result."""
+
+    BLOCK = 1 << 21
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int):
+        order = np.argsort(row, kind="stable")
+        self.n, self.row, self.column, self.value = n, row[order], column[order], value[order]
+        self.rows, self.starts = np.unique(self.row, return_index=True)
+
+    @property
+    def T(self) -> Sparse:
+        return Sparse(self.column, self.row, self.value, self.n)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, x.shape[1]))
+        ends = np.append(self.starts, len(self.row))
+        some = max(1, self.BLOCK // max(1, x.shape[1]))
+        at = 0
+        while at < len(self.rows):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + some, side="right")) - 1)
+            a, z = ends[at], ends[to]
+            out[self.rows[at:to]] = np.add.reduceat(x[self.column[a:z]] * self.value[a:z, None], self.starts[at:to] - a)
+            at = to
+        return out
+
+
 class MaskedGraph:
-    """A graph's GIN classifier as a function of a mask on its nodes, with the loss and its gradient. a: the aggregation matrix."""
+    """A graph's GIN classifier as a function of a mask on its nodes, with the loss and its gradient. a: the aggregation matrix, dense or sparse."""
 
-    def __init__(self, x: np.ndarray, a: np.ndarray, layers: list, head: list, concat: bool, want: np.ndarray, how: Pruning):
+    def __init__(self, x: np.ndarray, a: np.ndarray | Sparse, layers: list, head: list, concat: bool, want: np.ndarray, how: Pruning):
         self.x, self.a, self.layers, self.head, self.concat, self.want, self.how = x, a, layers, head, concat, want, how
+        self.back = a.T
 
     def logits(self, x: np.ndarray) -> tuple[np.ndarray, list, list, np.ndarray]:
         kept, outs, h = [], [], x
@@ -242,7 +270,7 @@ class MaskedGraph:
                 at -= len(w2)
                 own = g[at : at + len(w2)] / n
             d = ((((own + back) * (kept[k][1] > 0)) @ w2) * (kept[k][0] > 0)) @ w1
-            back = d + self.a.T @ d
+            back = d + self.back @ d
         ds = (back * self.x).sum(1) + self.how.size + self.how.entropy * np.log((1 - s) / s) / n
         return float(value), ds * 10 * s * (1 - s), z
 
@@ -266,7 +294,7 @@ def _train_mask(graph: MaskedGraph) -> np.ndarray:
 def pruned(nodes: DataFrame, edges: DataFrame, stack: Stack, head: list[str], weights: Weights, how: Pruning = Pruning()) -> DataFrame:
     """graph_id, node_id, importance: a mask on the nodes, trained to keep the prediction with few nodes.
 
-    The mask is trained on its graph as a whole, so a graph is one group and must fit a task; graphs are spread over tasks. The trained model divides a message by its source's edges, the predicting one by
+    The mask is trained on its graph as a whole, so a graph is one group of a task; its messages go along its edges, so memory and an epoch's time are those of its nodes and edges. Graphs are spread over tasks. The trained model divides a message by its source's edges, the predicting one by
     its destination's.
     """
     _plain(stack)
@@ -278,10 +306,9 @@ def pruned(nodes: DataFrame, edges: DataFrame, stack: Stack, head: list[str], we
         order = sorted(range(len(ids)), key=lambda k: ids[k])
         x = np.array(left.column("h").to_pylist(), float).reshape(len(ids), -1)[order]
         place = {ids[k]: n for n, k in enumerate(order)}
-        raw = np.zeros((len(ids), len(ids)))
-        for s, d in zip(right.column("src").to_pylist(), right.column("dst").to_pylist()):
-            raw[place[d], place[s]] += 1
-        over = lambda axis: raw / np.maximum(raw.sum(axis, keepdims=True), 1)
+        src, dst = (np.array([place[v] for v in right.column(c).to_pylist()], np.int64) for c in ("src", "dst"))
+        share = lambda side: 1 / np.maximum(np.bincount(side, minlength=len(ids)), 1)[side]
+        over = lambda axis: Sparse(dst, src, share(dst if axis else src), len(ids))
         z = MaskedGraph(x, over(1), layers, tops, concat, np.zeros(1), how).logits(x)[0]
         want = np.exp(z - z.max())
         got = _train_mask(MaskedGraph(x, over(0), layers, tops, concat, want / want.sum(), how))

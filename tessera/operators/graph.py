@@ -46,41 +46,84 @@ def knn_graph_bucketed(points: DataFrame, k: int, thresh: float) -> DataFrame:
     return _ranked(pairs, k, thresh)
 
 
+#: Places are whole numbers of so many bits along each side of a graph's square.
+BITS = 30
+#: Levels of cells that are counted in one pass.
+PASS = 10
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """graph_id, node_id, x, y with the place (ix, iy) in the graph's square and its side."""
+    own = points.select("graph_id", "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x = x AND y = y AND NOT isnan(x) AND NOT isnan(y)")
+    box = own.groupBy("graph_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    at = lambda c: F.when(F.col("span") > 0, F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("span") * float(1 << BITS)), F.lit((1 << BITS) - 1))).otherwise(0).cast("long")
+    return own.join(box, "graph_id").select("graph_id", "node_id", "x", "y", at("x").alias("ix"), at("y").alias("iy"), "span")
+
+
+def _cell(c: str, level: str) -> F.Column:
+    """The cell of a place at a level: its leading bits."""
+    return F.expr(f"shiftright({c}, {BITS} - {level})")
+
+
+def cell_levels(spots: DataFrame, most: int) -> DataFrame:
+    """spots(graph_id, x, y, ix, iy, span) with the first level at which their cell holds at most so many, BITS if none does."""
+    open_, done = spots, None
+    for low in range(0, BITS, PASS):
+        each = open_.select("*", F.explode(F.sequence(F.lit(low), F.lit(low + PASS - 1))).alias("level")).select("*", _cell("ix", "level").alias("cx"), _cell("iy", "level").alias("cy"))
+        few = each.groupBy("graph_id", "level", "cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("graph_id", "level", "cx", "cy")
+        first = each.join(few, ["graph_id", "level", "cx", "cy"]).groupBy("graph_id", "x", "y").agg(F.min("level").alias("level"))
+        told = cut(open_.join(first, ["graph_id", "x", "y"], "left"), "levels")
+        part = told.filter("level IS NOT NULL")
+        done = part if done is None else done.unionByName(part)
+        open_ = told.filter("level IS NULL").drop("level")
+        if open_.isEmpty():
+            return done
+    return done.unionByName(open_.withColumn("level", F.lit(BITS)))
+
+
+def _met(open_: DataFrame, others: DataFrame) -> DataFrame:
+    """Spots with all others of the 3 x 3 cells of their level around them."""
+    levels = sorted(r.level for r in open_.select("level").distinct().collect())
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    around = open_.withColumn("i", near).withColumn("j", near).withColumn("cx", _cell("ix", "level") + F.col("i")).withColumn("cy", _cell("iy", "level") + F.col("j")).drop("i", "j", "ix", "iy")
+    held = others.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).select("graph_id", "other", "x2", "y2", "level", _cell("ix", "level").alias("cx"), _cell("iy", "level").alias("cy"))
+    d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
+    return around.join(held, ["graph_id", "level", "cx", "cy"]).withColumn("d2", d2)
+
+
 def nearest(points: DataFrame, k: int) -> DataFrame:
     """graph_id, node_id, other, dist, rank: the k nearest other points of each point, or all of a graph's others where it has no k, ties by id.
 
-    Each graph gets square cells that hold about k points on average. A point is compared with the (2r + 1) x (2r + 1) cells around its own; whoever has k others within r cell
-    widths is done, the rest goes on with the doubled r. A graph's last round covers it whole, for those points alone that are still open (lone points far from all others).
+    A tree of square cells follows the density: a cell is split until it holds few spots (a spot is a place with a point), so every spot starts at the width that suits its surroundings. It meets the 3 x 3 cells of that width
+    around it, found by the leading bits of places; one with k + 1 points within a cell's width of it is done, others go on with cells twice as wide. Only lone spots come to wide cells, so rows met grow with the points, however
+    these crowd. Points on one spot have one search, and only the k + 1 smallest ids of a spot can be anyone's neighbours.
+
+    Points without a place (null or NaN) have no row. Crowds of over k spots within a billionth of their graph's side meet one another.
     """
-    own = points.select("graph_id", "node_id", "x", "y")
-    box = own.groupBy("graph_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
-    # Points that pile up in one cell meet one another there; all others meet about 9k.
-    width = F.greatest(F.col("span") * F.sqrt(F.lit(float(k)) / F.greatest("n", F.lit(1))), F.lit(1e-9))
-    placed = cut(
-        own.join(box.select("graph_id", "n", "x0", "y0", "span", width.alias("w")), "graph_id").select(
-            "graph_id", "node_id", "x", "y", "n", "w", F.floor((F.col("x") - F.col("x0")) / F.col("w")).alias("cx"), F.floor((F.col("y") - F.col("y0")) / F.col("w")).alias("cy"), F.ceil(F.col("span") / F.col("w")).alias("most"),
-        ),
-        "placed",
-    )
-    other = placed.select("graph_id", F.col("node_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
-    open_, r, done = placed.select("graph_id", "node_id", "x", "y", "n", "w", F.col("cx").alias("ix"), F.col("cy").alias("iy"), "most"), 1, None
-    rank = W.partitionBy("graph_id", "node_id").orderBy("d2", "other")
+    placed = cut(_placed(points), "placed")
+    by_id = W.partitionBy("graph_id", "x", "y").orderBy("node_id")
+    others = placed.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
+    others = cut(others.select("graph_id", F.col("node_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "ix", "iy"), "others")
+    spots = placed.select("graph_id", "x", "y", "ix", "iy", "span").distinct()
+    open_, done = cut(cell_levels(spots, max(k, 2)), "open"), None
+    best = W.partitionBy("graph_id", "x", "y").orderBy("d2", "other")
+    sure = F.pow(F.col("span") / F.pow(F.lit(2.0), F.col("level")) * (1 - 1e-9), F.lit(2.0))
     while True:
-        at = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))  # noqa: B023, E731
-        around = open_.withColumn("cx", at("ix")).withColumn("cy", at("iy"))
-        d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-        met = around.join(other, ["graph_id", "cx", "cy"]).filter("node_id <> other").withColumn("d2", d2)
-        best = met.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-        # Certain up to the distance that the cells cover on every side, or where they cover the whole graph.
-        sure = best.withColumn("sure", (F.col("d2") < F.col("w") * F.col("w") * (r * r)) | (F.col("most") <= r))
-        flag = W.partitionBy("graph_id", "node_id")
-        found = cut(sure.withColumn("ok", (F.sum(F.col("sure").cast("int")).over(flag) >= F.least(F.lit(k), F.col("n") - 1)) | (F.col("most") <= r)).filter("ok").select("graph_id", "node_id", "other", F.sqrt("d2").alias("dist"), "rank"), "nearest")
-        done = found if done is None else done.unionByName(found)
-        left = cut(open_.filter((F.col("n") > 1) & (F.col("most") > r)).join(found.select("graph_id", "node_id").distinct(), ["graph_id", "node_id"], "left_anti"), "open")
-        drop(open_)
-        if left.isEmpty():
-            return done
-        open_, r = left, 2 * r
+        top = _met(open_, others).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+        held = cut(top.select("graph_id", "x", "y", "level", "other", "d2", ((F.col("d2") < sure) | (F.col("level") == 0)).alias("sure")), "met")
+        certain = held.groupBy("graph_id", "x", "y").agg((F.sum(F.col("sure").cast("int")) >= k + 1).alias("enough"), (F.max("level") == 0).alias("whole")).filter("enough OR whole").select("graph_id", "x", "y")
+        part = cut(held.select("graph_id", "x", "y", "other", "d2").join(certain, ["graph_id", "x", "y"], "left_semi"), "nearest")
+        done = part if done is None else done.unionByName(part)
+        left = cut(open_.join(part.select("graph_id", "x", "y").distinct(), ["graph_id", "x", "y"], "left_anti").withColumn("level", F.col("level") - 1), "open")
+        drop(open_, held)
+        open_ = left
+        if open_.isEmpty():
+            break
+    rank = W.partitionBy("graph_id", "node_id").orderBy("d2", "other")
+    own = placed.select("graph_id", "node_id", "x", "y").join(done, ["graph_id", "x", "y"]).filter("node_id <> other").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    out = cut(own.select("graph_id", "node_id", "other", F.sqrt("d2").alias("dist"), "rank"), "nearest")
+    drop(placed, others, open_)
+    return out
 
 
 def offsets(kernel: int) -> list[tuple[int, int]]:
@@ -170,17 +213,53 @@ def largest_component(labelled: DataFrame, key: str = "graph_id") -> DataFrame:
     return best
 
 
-def diameter(edges: DataFrame, key: str = "graph_id") -> DataFrame:
-    """Longest shortest path of each graph, by breadth-first frontiers from all nodes at once. What was reached is one table, replaced each round."""
-    step = cut(edges.select(key, "src", F.col("dst").alias("to")).distinct(), "edges")
-    reached = cut(step.select(key, F.col("src").alias("root"), F.col("src").alias("node"), F.lit(0).alias("d")).distinct(), "reached")
+def _searched(step: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """key, root, ahead, node, d: the steps from each root along the edges (ahead) and against them, by breadth-first frontiers from all roots at once."""
+    reached = cut(roots.select(key, F.col("node").alias("root"), F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead"), "node", F.lit(0).alias("d")), "reached")
     d = 0
     while True:
-        frontier = reached.filter(F.col("d") == d)
-        new = frontier.join(step.withColumnRenamed("src", "node"), [key, "node"]).select(key, "root", F.col("to").alias("node"), F.lit(d + 1).alias("d"))
+        new = reached.filter(F.col("d") == d).join(step, [key, "ahead", "node"]).select(key, "root", "ahead", F.col("to").alias("node"), F.lit(d + 1).alias("d"))
         # One grouping gives every pair its least distance, and keeps what is known.
-        after = cut(reached.unionByName(new).groupBy(key, "root", "node").agg(F.min("d").alias("d")), "reached")
+        after = cut(reached.unionByName(new).groupBy(key, "root", "ahead", "node").agg(F.min("d").alias("d")), "reached")
         drop(reached)
         reached, d = after, d + 1
         if reached.filter(F.col("d") == d).isEmpty():
-            return reached.groupBy(key).agg(F.max("d").alias("diameter"))
+            return reached
+
+
+def diameter(edges: DataFrame, key: str = "graph_id", roots: int = 32, strict: bool = True) -> DataFrame:
+    """key, diameter: the longest shortest path of each graph with edges, directed.
+
+    Searches from a few roots bound how far every node is from its farthest one: with the root's own distance e, f steps from the root and b steps to it, between max(e - f, b) and b + e.
+    The next roots are the nodes with the highest bounds, until none is above the longest distance seen. A search is a row a node, so rows are nodes times searches, not pairs of nodes; graphs of up to `roots` nodes take one round.
+
+    In a graph that is not strongly connected some distance is infinite: that is an error, or a null diameter where strict is off.
+    """
+    one = edges.select(key, F.col("src").alias("node"), F.col("dst").alias("to")).filter("node IS NOT NULL AND to IS NOT NULL").distinct()
+    step = cut(one.select("*", F.lit(True).alias("ahead")).unionByName(one.select(key, F.col("to").alias("node"), F.col("node").alias("to"), F.lit(False).alias("ahead"))), "steps")
+    degrees = step.groupBy(key, "node").agg(F.count("*").alias("degree"))
+    bounds = cut(degrees.select("*", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"), F.lit(-1).alias("best")), "bounds")
+    sizes = cut(bounds.groupBy(key).agg(F.count("*").alias("n")), "sizes")
+    first = W.partitionBy(key).orderBy(F.col("high").desc_nulls_first(), F.col("low"), F.col("degree").desc(), "node")
+    apart = None
+    while True:
+        picked = cut(bounds.filter(F.col("high").isNull() | (F.col("high") > F.col("best"))).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= roots).select(key, "node"), "roots")
+        if picked.isEmpty():
+            break
+        reached = _searched(step, picked, key)
+        if apart is None:
+            short = reached.groupBy(key, "root", "ahead").agg(F.count("*").alias("seen")).join(sizes, key).filter(F.col("seen") < F.col("n"))
+            apart = cut(short.select(key).distinct(), "apart")
+            if strict and (bad := apart.first()) is not None:
+                raise ValueError(f"graph {bad[0]} is not strongly connected")
+        far = reached.filter("ahead").groupBy(key, "root").agg(F.max("d").alias("e"))
+        both = reached.groupBy(key, "root", "node").agg(F.max(F.when(F.col("ahead"), F.col("d"))).alias("f"), F.max(F.when(~F.col("ahead"), F.col("d"))).alias("b")).join(far, [key, "root"])
+        told = both.groupBy(key, "node").agg(F.max(F.greatest(F.col("e") - F.col("f"), F.col("b"))).alias("l"), F.min(F.col("b") + F.col("e")).alias("h"))
+        after = bounds.join(apart, key, "left_anti").join(told, [key, "node"], "left").select(key, "node", "degree", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high"))
+        after = cut(after, "bounds")
+        best = after.groupBy(key).agg(F.max("low").alias("best"))
+        drop(bounds)
+        bounds = cut(after.join(best, key), "bounds")
+        drop(after, picked, reached)
+    out = bounds.groupBy(key).agg(F.max("best").alias("diameter"))
+    return out if apart is None else out.unionByName(apart.select(key, F.lit(None).cast("int").alias("diameter")))
