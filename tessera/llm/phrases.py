@@ -30,15 +30,17 @@ from .rolling import Rolling, chunks, mix, runs, texts_of
 
 MAX_N, LEAST, TOP, PERCENT, SCALE = 4, 30, 2000, 80, 2_000_000
 NO_LANG = "und"
-#: Slots of the sketch for each n-gram length, and bytes of the blocks in which it is summed.
-SLOTS = 1 << 23
+#: Slots of each of the two rows of the sketch for each n-gram length, and bytes of the blocks in which it is summed.
+SLOTS = 1 << 22
 BLOCK = 1 << 17
 #: Partial sketches that one task sums.
 FAN_IN = 64
 #: Shares of a first word's suffixes.
 PARTS = 16
 #: Bytes of texts that are counted together before the shuffle.
-RUN = 8 << 20
+RUN = 4 << 20
+#: Suffixes of a task's runs that are counted together, in rows.
+HELD = 1_000_000
 #: Bytes that are hashed at once.
 SPAN = 1 << 20
 
@@ -88,6 +90,11 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(value + np.uint64(n))
 
 
+def _slots(grams: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The slot of each n-gram in either row of the sketch."""
+    return [(grams & np.uint64(slots - 1)).astype(np.int64), (grams >> np.uint64(33) & np.uint64(slots - 1)).astype(np.int64)]
+
+
 def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
     """Runs of texts as bytes, starts and ends, with the language of each text."""
     for batch in batches:
@@ -105,20 +112,21 @@ def _seeds(langs: list[str]) -> np.ndarray:
 
 
 def sketch(texts: DataFrame, slots: int = SLOTS, least: int = LEAST) -> list[np.ndarray]:
-    """For n-grams of 1 to MAX_N words, which slots hold at least `least`; texts(_text, _lang)."""
+    """For n-grams of 1 to MAX_N words, which slots of two rows hold at least `least`; texts(_text, _lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words, any_ = np.zeros((MAX_N, slots), np.uint8), Words(), False
+        total, words, any_ = np.zeros((2 * MAX_N, slots), np.uint8), Words(), False
         for b, starts, ends, langs in _batches(batches, RUN):
             *_, hashes, joined = words(b, starts, ends, _seeds(langs))
             for n in range(1, MAX_N + 1):
-                at = (_grams(hashes, n) & np.uint64(slots - 1))[joined[n - 1]]
-                any_ = any_ or bool(len(at))
-                now = np.bincount(at.view(np.int64), minlength=slots)
-                now = np.minimum(now, 255, out=now).astype(np.uint8)
-                # Saturated: what would wrap around becomes 255.
-                total[n - 1] += now
-                total[n - 1][total[n - 1] < now] = 255
+                grams = _grams(hashes, n)[joined[n - 1]]
+                any_ = any_ or bool(len(grams))
+                for row, at in zip(total[2 * n - 2 :], _slots(grams, slots)):
+                    now = np.bincount(at, minlength=slots)
+                    now = np.minimum(now, 255, out=now).astype(np.uint8)
+                    # Saturated: what would wrap around becomes 255.
+                    row += now
+                    row[row < now] = 255
         if any_:
             task = TaskContext.get().partitionId()
             flat = total.ravel()
@@ -126,7 +134,7 @@ def sketch(texts: DataFrame, slots: int = SLOTS, least: int = LEAST) -> list[np.
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "task": pa.array([task], pa.int64()), "held": pa.array([zlib.compress(flat[at : at + BLOCK].tobytes(), 1)], pa.binary())})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(min(BLOCK, MAX_N * slots), np.uint16)
+        total = np.zeros(min(BLOCK, 2 * MAX_N * slots), np.uint16)
         for held in rows.held:
             total = np.minimum(total + np.frombuffer(zlib.decompress(held), np.uint8), 255).astype(np.uint16)
         return pd.DataFrame({"block": rows.block.iloc[:1], "task": rows.task.iloc[:1] // FAN_IN, "held": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
@@ -138,15 +146,17 @@ def sketch(texts: DataFrame, slots: int = SLOTS, least: int = LEAST) -> list[np.
     while tasks:
         parts = parts.groupBy("block", F.floor(F.col("task") / FAN_IN)).applyInPandas(merge, kinds)
         tasks //= FAN_IN
-    out = np.zeros(MAX_N * slots, np.uint8)
+    out = np.zeros(2 * MAX_N * slots, np.uint8)
     for r in parts.collect():
         out[r.block * BLOCK :][: min(BLOCK, len(out))] = np.frombuffer(zlib.decompress(r.held), np.uint8)
     cuts.drop_others()
-    return [np.packbits(x >= least) for x in out.reshape(MAX_N, slots)]
+    return [np.packbits(x >= least, axis=1) for x in out.reshape(MAX_N, 2, slots)]
 
 
-def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+def _has(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which n-grams both rows let pass."""
+    one, two = ((row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0 for row, at in zip(bits, _slots(grams, 8 * bits.shape[1])))
+    return one & two
 
 
 def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, there: np.ndarray) -> pa.Array:
@@ -161,14 +171,21 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, there: np.n
 WORDS = [f"w{k}" for k in range(1, MAX_N + 1)]
 
 
+def _counted(parts: list[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Equal rows as one, with the sum of their counts."""
+    whole = pa.Table.from_batches(parts).group_by(keys).aggregate([("c", "sum")]).rename_columns([*keys, "c"])
+    yield from whole.to_batches(max_chunksize=50_000)
+
+
 def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
-    """lang, w1 to w4 (null behind the end), c: the cut suffixes of all words, counted within runs; w1 is null in the row that counts all words of a run."""
+    """lang, w1 to w4 (null behind the end), c: the cut suffixes of all words, counted within a task as far as memory goes; w1 is null in the row that counts all words."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    names = ["lang", *WORDS, "c"]
+    keys = ["lang", *WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words = shared.value, Words()
-        slots = np.uint64(8 * len(bits[0]) - 1)
+        parts: list[pa.RecordBatch] = []
+        held = 0
         for b, starts, ends, langs in _batches(batches, RUN):
             told = sorted(set(langs))
             code = np.array([told.index(x) for x in langs], np.int64)
@@ -178,13 +195,12 @@ def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
             lang = code[doc]
             # Words by number; a phrase is the pair of its beginning and its last word, so no phrase goes by its hash alone.
             _, word = np.unique(hashes, return_inverse=True)
-            kept = _has(bits[0], _grams(hashes, 1) & slots)
+            kept = _has(bits[0], _grams(hashes, 1))
             at, length = np.flatnonzero(kept), np.ones(len(word), np.int64)
             ids = [word]
             for n in range(2, MAX_N + 1):
-                grams = _grams(hashes, n)
                 longer = kept & np.roll(kept, -1) & joined[n - 1]
-                longer &= _has(bits[n - 1], grams & slots)
+                longer[longer] = _has(bits[n - 1], _grams(hashes, n)[longer])
                 length[longer] = n
                 pair = np.full(len(word), -1, np.int64)
                 _, pair[longer] = np.unique(ids[-1][longer] << 32 | np.roll(word, 1 - n)[longer], return_inverse=True)
@@ -199,16 +215,22 @@ def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
                 which = np.where(there, first + k, 0)
                 columns.append(_strings(b, opens[which], closes[which], there))
             dictionary = pa.array(told, pa.string())
-            yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(lang[first])), *columns, pa.array(count.astype(np.int64))], names=names)
+            parts.append(pa.RecordBatch.from_arrays([dictionary.take(pa.array(lang[first])), *columns, pa.array(count.astype(np.int64))], names=[*keys, "c"]))
             total = np.bincount(lang, minlength=len(told))
             none = pa.nulls(len(told), pa.string())
-            yield pa.RecordBatch.from_arrays([dictionary, *[none] * MAX_N, pa.array(total.astype(np.int64))], names=names)
+            parts.append(pa.RecordBatch.from_arrays([dictionary, *[none] * MAX_N, pa.array(total.astype(np.int64))], names=[*keys, "c"]))
+            held += len(first)
+            if held > HELD:
+                yield from _counted(parts, keys)
+                parts, held = [], 0
+        if parts:
+            yield from _counted(parts, keys)
 
-    return texts.mapInArrow(run, ", ".join(f"{c} string" for c in names[:-1]) + ", c long")
+    return texts.mapInArrow(run, ", ".join(f"{c} string" for c in keys) + ", c long")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes in reverse lexicographic order -> all their prefixes with their counts."""
+    """Suffixes in reverse lexicographic order -> all their prefixes with their counts; a count of all words is a phrase of no word."""
     stack: list[str] = []
     counts: list[int] = []
     lang, out = None, []
@@ -234,6 +256,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     same += 1
             pop(same)
             lang = own
+            if words[0] is None:
+                out.append((lang, None, 0, c))
+                continue
             for w in words[same:]:
                 if w is None:
                     break
@@ -247,24 +272,21 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def phrase_counts(texts: DataFrame, cuts: Cuts, least: int = LEAST, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Tables of lang, phrase, size, f for phrases of 1 to MAX_N words and at least `least` occurrences, and of lang, n; texts(_text, _lang)."""
-    rows = cuts.table(suffixes(texts, sketch(texts, slots, least)), "suffixes")
-    share = F.pmod(F.xxhash64(*WORDS[1:]), F.lit(PARTS))
-    dealt = rows.filter("w1 IS NOT NULL").repartition("lang", "w1", share)
+def phrase_counts(texts: DataFrame, cuts: Cuts, least: int = LEAST, slots: int = SLOTS) -> DataFrame:
+    """A table of lang, phrase, size, f for phrases of 1 to MAX_N words and at least `least` occurrences; the phrase of size 0 is null and counts all words. texts(_text, _lang)."""
+    share = F.pmod(F.xxhash64(*WORDS[1:], F.when(F.col("w1").isNull(), F.col("c"))), F.lit(PARTS))
+    dealt = suffixes(texts, sketch(texts, slots, least)).repartition("lang", "w1", share)
     ordered = dealt.sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in ("lang", *WORDS)])
     parts = ordered.mapInArrow(_prefixes, "lang string, phrase string, size int, f long")
-    summed = cuts.table(parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrases")
-    total = cuts.table(rows.filter("w1 IS NULL").groupBy("lang").agg(F.sum("c").alias("n")), "words")
-    cuts.drop(rows)
-    return summed, total
+    return cuts.table(parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, slots: int = SLOTS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases."""
     cuts = Cuts(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    counts, total = phrase_counts(texts, cuts, least, slots)
+    told = phrase_counts(texts, cuts, least, slots)
+    counts, total = told.filter("size > 0"), told.filter("size = 0").select("lang", F.col("f").alias("n"))
     long = counts.filter("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     part = lambda a, n: F.array_join(F.slice("words", a, n), " ")
     cut = long.select("lang", "phrase", "size", "a", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
