@@ -213,8 +213,10 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     asked = cuts.table(shared.join(blocks, ["g", "k"]).filter(fits & enough).select("cid", "n", "g", "k", "own", "small"), "asked")
     wanted = asked.select(F.col("g").alias("pool"), F.col("k").alias("block")).distinct()
     union = member.join(wanted, ["pool", "block"]).join(ranked.select("cid", "common"), "cid").select(F.col("pool").alias("g"), F.col("block").alias("k"), F.explode("common").alias("token")).groupBy("g", "k", "token").agg(F.count("*").alias("holders"))
-    others = F.col("holders") > F.col("own").cast("int")
-    overlap = asked.join(ranked.select("cid", F.explode("common").alias("token")), "cid").join(union, ["g", "k", "token"]).filter(others).groupBy("cid", "n", "small", "g", "k").agg(F.count("*").alias("overlap"))
+    # A block's union is one row, with the shingles of two members or more, which are what is left of it for a member of its own; a query meets it as a set.
+    unions = union.groupBy("g", "k").agg(F.collect_list("token").alias("held"), F.collect_list(F.when(F.col("holders") > 1, F.col("token"))).alias("held_twice"))
+    met = asked.join(ranked.select("cid", "common"), "cid").join(unions, ["g", "k"])
+    overlap = met.select("cid", "n", "small", "g", "k", F.size(F.array_intersect("common", F.when(F.col("own"), F.col("held_twice")).otherwise(F.col("held")))).alias("overlap"))
     enough = _needed(F.col("n"), F.greatest(F.col("small"), _least("n")))
     opened = overlap.filter(F.col("overlap") >= enough).select("cid", "g", "k")
     asking = held.select("cid", "n", "reach", "token", F.col("group").alias("ga")).join(opened, "cid")
