@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, whole
+from .common import in_parts, read, running, whole
 
 NEXT, END = "<next/>", "</turn>\n"
 
@@ -73,27 +73,12 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return (
         sorted_turns.select("conv_id", "turns", starts.alias("starts"))
         .select("conv_id", blocks.alias("blocks"))
-        .select("conv_id", F.array_join(F.transform("blocks", piece), "").alias("formatted"), _parts(F.flatten(F.transform("blocks", of))).alias("parts"))
-        .select("conv_id", "formatted", "parts", _running(F.transform("parts", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + x["lead"] + x["length"] + x["tail"]))).alias("base"))
+        .select("conv_id", F.array_join(F.transform("blocks", piece), "").alias("formatted"), in_parts(F.flatten(F.transform("blocks", of))).alias("parts"))
+        .select("conv_id", "formatted", "parts", running(F.transform("parts", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + x["lead"] + x["length"] + x["tail"]))).alias("base"))
         .select("conv_id", "formatted", F.flatten(F.zip_with("parts", "base", _spans)).alias("loss"))
     )
 
 
-#: An array that grows by one element a step is copied at every step, so folds that build one go over parts of this many elements.
-PART = 128
-
-
-def _parts(array: Column) -> Column:
-    """An array cut into arrays of at most PART elements."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / PART).cast("int")), lambda k: F.slice(array, k * PART + 1, F.lit(PART)))
-
-
-def _running(sums: Column) -> Column:
-    """For each element the sum of those before it."""
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    return F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
-
-
 def _spans(part: Column, base: Column) -> Column:
     """The loss spans of a part that begins at base."""
 
@@ -124,7 +109,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     last = lambda p: F.element_at(p, -1)
     cut = lambda text, start, length: F.substr(text, (start + 1).cast("int"), length.cast("int"))
     covered = F.transform(
-        F.filter(_parts(F.col("loss")), lambda p: F.size(p) > 0),
+        F.filter(in_parts(F.col("loss")), lambda p: F.size(p) > 0),
         lambda p: F.struct(p.alias("spans"), p[0]["start"].alias("base"), cut(F.col("formatted"), p[0]["start"], last(p)["start"] + last(p)["length"] - p[0]["start"]).alias("text")),
     )
     masked = F.flatten(F.transform("covered", lambda c: F.transform(c["spans"], lambda s: cut(c["text"], s["start"] - c["base"], s["length"]))))

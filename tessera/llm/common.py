@@ -95,5 +95,20 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: An array that grows by one element a step is copied at every step, so folds that build one go over parts of this many elements.
+PART = 128
+
+
+def in_parts(array: Column) -> Column:
+    """An array cut into arrays of at most PART elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / PART).cast("int")), lambda k: F.slice(array, k * PART + 1, F.lit(PART)))
+
+
+def running(sums: Column) -> Column:
+    """For each element the sum of those before it."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

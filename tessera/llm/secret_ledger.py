@@ -8,7 +8,7 @@ version rescans for that rule alone.
 
 A blob's copy is found by its smallest (path, version), an aggregate with map-side partial sums, and
 fetched by an equi-join on blob, path and version, which spreads copies of a hot blob over all partitions. Positions come from
-lengths: `split` gives what lies between matches and `regexp_extract_all` the matches.
+lengths: `split` gives what lies between matches and `regexp_extract_all` the matches; they are summed in parts of bounded length, so time is linear in the hits.
 
 A run that is repeated after a half-finished one, or that meets another run on the same ledger, can append a blob twice; findings are read as a set, so that changes nothing but the ledger's size.
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch, whole
+from .common import in_parts, read, running, scratch, whole
 
 
 @dataclass(frozen=True)
@@ -63,18 +63,20 @@ def _found(rule: Rule, text: Column, hits: Column) -> Column:
     between = F.split(text, rule.pattern, -1)
     sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     none = F.array().cast(f"array<{SPAN}>")
+    sized = F.transform(F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("p"), hits.alias("h"), sized.alias("s")), lambda z: F.struct(F.length(z["p"]).alias("lead"), F.length(z["h"]).alias("length"), F.length(z["s"]).alias("group")))
+    parts = in_parts(sized)
+    bases = running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda n, x: n + x["lead"] + x["length"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        span = F.struct(F.lit(rule.key).alias("rule"), start.alias("start"), end.alias("end"))
-        more = F.when(F.length(x["2"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), more.alias("spans"))
-
-    pieces = F.slice(between, 1, F.size(hits))
-    zipped = F.transform(F.arrays_zip(pieces.alias("p"), hits.alias("h"), sized.alias("s")), lambda z: F.struct(z["p"].alias("0"), z["h"].alias("1"), z["s"].alias("2")))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), step)
-    return F.when(F.size(hits) > 0, walked["spans"]).otherwise(none)
+    def spans(part: Column, base: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["lead"]
+            end = start + x["length"]
+            span = F.struct(F.lit(rule.key).alias("rule"), start.alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["group"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(part, F.struct(base.alias("at"), none.alias("spans")), step)["spans"]
+
+    return F.when(F.size(hits) > 0, F.flatten(F.zip_with(parts, bases, spans))).otherwise(none)
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
