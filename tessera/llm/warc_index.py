@@ -63,14 +63,18 @@ def record(url: str, id: int | None, payload: bytes, digest: str, revisits: bool
     name = lambda x: f"<urn:page:{'' if x is None else x}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisits else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {name(id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {quote(url, safe=_SAFE)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {name(id)}", "WARC-Date: 1970-01-01T00:00:00Z", *_target(url), f"WARC-Payload-Digest: sha1:{digest}"]
     if revisits:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(original)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-_SAFE = ":/?#[]@!$&'()*+,;=-._~%"
+def _target(url: str) -> list[str]:
+    """The header of a URL: as it is, percent signs too. One with control characters, which no header line holds, is escaped whole and marked."""
+    if not re.search(r"[\x00-\x1f\x7f]", url):
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url)}", "WARC-Target-Escaped: percent"]
 
 
 def parse(raw: bytes) -> dict:
@@ -83,7 +87,7 @@ def parse(raw: bytes) -> dict:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != full or base32_sha1(payload) != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    return {"id": page("WARC-Record-ID"), "url": unquote(fields["WARC-Target-URI"]), "bytes": full, "digest": digest, "kind": kind, "refers_to": page("WARC-Refers-To"), "payload": payload if kind == "response" else None}
+    return {"id": page("WARC-Record-ID"), "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-Escaped" in fields else fields["WARC-Target-URI"], "bytes": full, "digest": digest, "kind": kind, "refers_to": page("WARC-Refers-To"), "payload": payload if kind == "response" else None}
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:

@@ -68,6 +68,16 @@ def test_exact_dedup_on_hard_rows(hard, none):
         assert {r.keep_id for r in rs} == {min(ids) if ids else None}
 
 
+def test_exact_dedup_of_long_texts(spark):
+    base = "".join(random.Random(3).choices("abcdefgh", k=1 << 14)) * 512
+    other = base[: 5 << 20] + "X" + base[(5 << 20) + 1 :]
+    texts = [(1, base), (2, base[:-1] + "Z"), (3, base), (4, other), (5, base[:-1] + "Z"), (6, base[: 1 << 15]), (7, base[: 1 << 15]), (8, base[: (1 << 15) + 1]), (9, base[: (1 << 15) + 1]), (10, base[:-1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r.id: (r.keep_id, r.group_size, r.kept) for r in radix_dedup.exact_dedup(docs).collect()}
+    keep = {1: 1, 2: 2, 3: 1, 4: 4, 5: 2, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10}
+    assert got == {i: (k, list(keep.values()).count(k), i == k) for i, k in keep.items()}
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
@@ -128,6 +138,14 @@ def test_ledger_scans_each_blob_and_rule_once(spark):
     assert secret_ledger.scan_history(versions.limit(0), scratch(spark, "ledger-none")).count() == 0
 
 
+def test_ledger_of_a_text_with_many_hits(spark):
+    text = "".join(f"token={k:08d} é AKIA{k:016d} " for k in range(50_000))
+    versions = spark.createDataFrame([("a", 1, text), ("b", 1, "secret: abcdefgh")], "path string, version int, content string")
+    got = {r.path: [(f.start, f.end, f.rule) for f in r.findings] for r in secret_ledger.scan_history(versions, scratch(spark, "ledger-many")).collect()}
+    want = [(m.start(), m.end(), rule) for p, rule in (("token=[0-9]+", "assign@1"), ("AKIA[0-9]+", "access@1")) for m in __import__("re").finditer(p, text)]
+    assert got["a"] == sorted(want) and len(want) == 100_000 and got["b"] == [(0, 16, "assign@1")]
+
+
 def test_filled_ledger_gives_the_same_findings_on_whole_tables(spark, hard):
     """A second run over a ledger filled by an older rule set, with a new rule version; and one whose append was repeated."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
@@ -400,6 +418,16 @@ def test_topics_equal_brute_force(spark):
     assert np.allclose(centers, means, equal_nan=True)
 
 
+def test_urls_come_back_from_archives(spark):
+    urls = ["http://a/x%20y?q=%2F", "http://a/100%", "http://ä.example/ü?a=b c", "", " lead: and trail ", "a\r\nWARC-Type: x", "\x00%00", "http://a/%25", "tab\there", "\x85\u2028z"]
+    df = spark.createDataFrame([(k, u, "x" * (k % 3)) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = scratch(spark, "warc-urls")
+    captures = warc_index.write_archives(df, folder).cache()
+    manifest = warc_index.build_index(captures, folder, block=3).cache()
+    back = warc_index.fetch(warc_index.lookup(captures.select("key", "id"), manifest, folder), folder).collect()
+    assert {r.id: r.url for r in back} == dict(enumerate(urls))
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://b.example/x", "<p>é</p>"), (2, "http://b.example/x", "<p>é</p>"), (3, "http://a.example", None), (4, None, ""), (5, "no url", "x" * 100_000), (5, "no url", "x" * 100_000), (None, "http://a.example", "<p>é</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit("k"))
