@@ -39,8 +39,6 @@ FAN_IN = 64
 PARTS = 16
 #: Bytes of texts that are counted together before the shuffle.
 RUN = 4 << 20
-#: Suffixes of a task's runs that are counted together, in rows.
-HELD = 1_000_000
 #: Bytes that are hashed at once.
 SPAN = 1 << 20
 
@@ -171,21 +169,13 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, there: np.n
 WORDS = [f"w{k}" for k in range(1, MAX_N + 1)]
 
 
-def _counted(parts: list[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Equal rows as one, with the sum of their counts."""
-    whole = pa.Table.from_batches(parts).group_by(keys).aggregate([("c", "sum")]).rename_columns([*keys, "c"])
-    yield from whole.to_batches(max_chunksize=50_000)
-
-
 def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
-    """lang, w1 to w4 (null behind the end), c: the cut suffixes of all words, counted within a task as far as memory goes; w1 is null in the row that counts all words."""
+    """lang, w1 to w4 (null behind the end), c: the cut suffixes of all words, counted within runs and in the order of their words, as such rows are packed best; w1 is null in the row that counts all words of a run."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
     keys = ["lang", *WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words = shared.value, Words()
-        parts: list[pa.RecordBatch] = []
-        held = 0
         for b, starts, ends, langs in _batches(batches, RUN):
             told = sorted(set(langs))
             code = np.array([told.index(x) for x in langs], np.int64)
@@ -209,22 +199,19 @@ def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
             key = np.choose(length - 1, ids) * MAX_N + length - 1
             _, first, count = np.unique(key[at], return_index=True, return_counts=True)
             first = at[first]
+            then = [np.where(length[first] > k, np.roll(word, -k)[first], -1) for k in range(1, MAX_N)]
+            order = np.lexsort((*reversed(then), word[first]))
+            first, count = first[order], count[order]
             columns = []
             for k in range(MAX_N):
                 there = length[first] > k
                 which = np.where(there, first + k, 0)
                 columns.append(_strings(b, opens[which], closes[which], there))
             dictionary = pa.array(told, pa.string())
-            parts.append(pa.RecordBatch.from_arrays([dictionary.take(pa.array(lang[first])), *columns, pa.array(count.astype(np.int64))], names=[*keys, "c"]))
+            yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(lang[first])), *columns, pa.array(count.astype(np.int64))], names=[*keys, "c"])
             total = np.bincount(lang, minlength=len(told))
             none = pa.nulls(len(told), pa.string())
-            parts.append(pa.RecordBatch.from_arrays([dictionary, *[none] * MAX_N, pa.array(total.astype(np.int64))], names=[*keys, "c"]))
-            held += len(first)
-            if held > HELD:
-                yield from _counted(parts, keys)
-                parts, held = [], 0
-        if parts:
-            yield from _counted(parts, keys)
+            yield pa.RecordBatch.from_arrays([dictionary, *[none] * MAX_N, pa.array(total.astype(np.int64))], names=[*keys, "c"])
 
     return texts.mapInArrow(run, ", ".join(f"{c} string" for c in keys) + ", c long")
 
@@ -274,7 +261,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def phrase_counts(texts: DataFrame, cuts: Cuts, least: int = LEAST, slots: int = SLOTS) -> DataFrame:
     """A table of lang, phrase, size, f for phrases of 1 to MAX_N words and at least `least` occurrences; the phrase of size 0 is null and counts all words. texts(_text, _lang)."""
-    share = F.pmod(F.xxhash64(*WORDS[1:], F.when(F.col("w1").isNull(), F.col("c"))), F.lit(PARTS))
+    # Neighbours in the order of words mostly share a share, and even two words that begin a third of all suffixes have several.
+    share = F.pmod(F.xxhash64("w2", F.pmod(F.xxhash64("w3"), F.lit(4)), F.when(F.col("w1").isNull(), F.col("c"))), F.lit(PARTS))
     dealt = suffixes(texts, sketch(texts, slots, least)).repartition("lang", "w1", share)
     ordered = dealt.sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in ("lang", *WORDS)])
     parts = ordered.mapInArrow(_prefixes, "lang string, phrase string, size int, f long")
