@@ -28,15 +28,15 @@ _D2 = "(x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)"
 
 
 def knn_graph(points: DataFrame, k: int = 5, thresh: float | None = None) -> DataFrame:
-    """Directed edges to the k nearest other points of the same graph, kept up to thresh. Points meet by cells, never all of a graph."""
+    """Directed edges to the k nearest other points of the same graph, kept up to thresh; a coincident point uses up a rank, and is no edge."""
+    near = nearest(points, k).filter("dist > 0")
     if thresh is not None:
-        return knn_graph_bucketed(points, k, thresh)
-    near = nearest(points, k)
-    return near.filter("dist > 0").select("graph_id", F.col("node_id").alias("src"), F.col("other").alias("dst"), "dist")
+        near = near.filter(F.col("dist") <= thresh)
+    return near.select("graph_id", F.col("node_id").alias("src"), F.col("other").alias("dst"), "dist")
 
 
 def knn_graph_bucketed(points: DataFrame, k: int, thresh: float) -> DataFrame:
-    """The same edges for a threshold: only points of the 3 x 3 cells of its width around a point are compared."""
+    """The same edges for a threshold where points are spread evenly: one join of the 3 x 3 cells of its width around a point. Points that crowd in a cell all meet there."""
     a, b = _sides(points)
     cell = lambda c: F.floor(F.col(c) / thresh)
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMOOTH = 1e-12
@@ -41,3 +44,33 @@ def iou(table: DataFrame) -> DataFrame:
 def mean(scores: DataFrame, column: str) -> DataFrame:
     """Mean over classes, nulls left out."""
     return scores.agg(F.avg(column).alias(f"mean_{column}"))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """What a metric is to whoever keeps the best model: its scores of a confusion table, whether they are one a class, and whether a better one keeps the model."""
+
+    scores: Callable[[DataFrame], DataFrame]
+    per_class: bool = False
+    logs_model: bool = True
+
+    @staticmethod
+    def is_better(value: Column, other: Column) -> Column:
+        """At least as good; a value that is not defined never is."""
+        return F.coalesce(value >= other, F.lit(False))
+
+
+METRICS = {
+    "confusion": Metric(lambda t: t),
+    "dice": Metric(dice, per_class=True),
+    "iou": Metric(iou, per_class=True, logs_model=False),
+    "mean_dice": Metric(lambda t: mean(dice(t), "dice")),
+    "mean_iou": Metric(lambda t: mean(iou(t), "iou"), logs_model=False),
+}
+
+
+def best(history: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """history with `is_better`: whether a value is at least as good as all before it in the order, undefined ones aside."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.max(F.when(~F.isnan(F.col(value)), F.col(value))).over(before)
+    return history.withColumn("is_better", F.col(value).isNotNull() & ~F.isnan(F.col(value)) & (held.isNull() | Metric.is_better(F.col(value), held)))

@@ -123,16 +123,38 @@ def fit(px: DataFrame) -> DataFrame:
     return stains.join(_largest(concentrations(densities(px).join(stains, "image_id"))), "image_id")
 
 
+def lasso(od: DataFrame, penalty: float) -> DataFrame:
+    """od(od_r, od_g, od_b, s00..s12) with c1, c2 >= 0 that minimise half the squared distance of od from c1 s0 + c2 s1, plus penalty (c1 + c2).
+
+    Exact: the two stains' optimum where both weights are positive, else the better one of either stain alone.
+    """
+    dot = lambda a, b: sum((a(j) * b(j) for j in range(3)), F.lit(0.0))
+    s = lambda i: lambda j: F.col(f"s{i}{j}")
+    v = lambda j: F.col(f"od_{'rgb'[j]}")
+    told = od.select("*", dot(s(0), s(0)).alias("_aa"), dot(s(0), s(1)).alias("_ab"), dot(s(1), s(1)).alias("_bb"), (dot(s(0), v) - penalty).alias("_p"), (dot(s(1), v) - penalty).alias("_q"))
+    aa, ab, bb, p, q = (F.col(f"_{c}") for c in ("aa", "ab", "bb", "p", "q"))
+    det = aa * bb - ab * ab
+    both1, both2 = F.try_divide(bb * p - ab * q, det), F.try_divide(aa * q - ab * p, det)
+    one1, one2 = F.greatest(F.try_divide(p, aa), F.lit(0.0)), F.greatest(F.try_divide(q, bb), F.lit(0.0))
+    # What a stain alone saves is half the square of its weight times its length's square.
+    first = one1 * one1 * aa >= one2 * one2 * bb
+    inside = F.coalesce((det > 1e-12) & (both1 > 0) & (both2 > 0), F.lit(False))
+    zero = F.lit(0.0)
+    c1 = F.when(inside, both1).when(F.coalesce(first, F.lit(True)), F.coalesce(one1, zero)).otherwise(0.0)
+    c2 = F.when(inside, both2).when(F.coalesce(first, F.lit(True)), 0.0).otherwise(F.coalesce(one2, zero))
+    return told.select(*od.columns, c1.alias("c1"), c2.alias("c2"))
+
+
 def vahadane_stains(px: DataFrame, penalty: float = 0.1, rounds: int = 10, least: float = 0.8) -> DataFrame:
     """image_id, s00..s12: sparse non-negative factors of the optical densities of pixels that are not white.
 
-    A round codes every pixel for the current stains (soft-thresholded least squares) and updates the stains from nine sums an image, so pixels stay where they are.
+    A round codes every pixel for the current stains (an exact non-negative lasso) and updates the stains from nine sums an image, so pixels stay where they are.
     """
     od = cut(px.filter(lightness() / 100 < least).select(*AT, *[optical_density(c).alias(f"od_{c}") for c in "rgb"]), "od")
     images = od.select("image_id").distinct()
     stains = images.select("image_id", *[F.lit(DEFAULT_STAINS[i][j]).alias(f"s{i}{j}") for i in range(2) for j in range(3)])
     for _ in range(rounds):
-        coded = concentrations(od.join(stains, "image_id")).withColumn("c1", F.greatest(F.col("c1") - penalty / 2, F.lit(0.0))).withColumn("c2", F.greatest(F.col("c2") - penalty / 2, F.lit(0.0)))
+        coded = lasso(od.join(stains, "image_id"), penalty)
         sums = coded.groupBy("image_id").agg(F.sum(F.col("c1") * F.col("c1")).alias("p"), F.sum(F.col("c1") * F.col("c2")).alias("q"), F.sum(F.col("c2") * F.col("c2")).alias("t"), *[F.sum(F.col(f"c{k}") * F.col(f"od_{c}")).alias(f"k{k}{j}") for k in (1, 2) for j, c in enumerate("rgb")])
         det = F.col("p") * F.col("t") - F.col("q") * F.col("q") + 1e-9
         raw = [[F.greatest((F.col("t") * F.col(f"k1{j}") - F.col("q") * F.col(f"k2{j}")) / det, F.lit(1e-9)) for j in range(3)], [F.greatest((F.col("p") * F.col(f"k2{j}") - F.col("q") * F.col(f"k1{j}")) / det, F.lit(1e-9)) for j in range(3)]]
