@@ -44,11 +44,28 @@ def optical_density(c: str) -> Column:
     return -F.ln(F.greatest(F.col(c), F.lit(1)) / 255.0)
 
 
+#: Linear red, green and blue to X, Y and Z, and the white point (D65).
+XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+WHITE = (0.95047, 1.0, 1.08883)
+
+
+def _linear(c: str) -> Column:
+    return F.when(F.col(c) / 255.0 > 0.04045, F.pow((F.col(c) / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(F.col(c) / 255.0 / 12.92)
+
+
+def _cube_root(v: Column) -> Column:
+    return F.when(v > 0.008856, F.pow(v, F.lit(1 / 3))).otherwise(7.787 * v + 16 / 116)
+
+
 def lightness() -> Column:
     """CIE L* of sRGB values (D65)."""
-    lin = lambda c: F.when(F.col(c) / 255.0 > 0.04045, F.pow((F.col(c) / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(F.col(c) / 255.0 / 12.92)
-    y = 0.212671 * lin("r") + 0.715160 * lin("g") + 0.072169 * lin("b")
-    return 116 * F.when(y > 0.008856, F.pow(y, F.lit(1 / 3))).otherwise(7.787 * y + 16 / 116) - 16
+    return 116 * _cube_root(sum(w * _linear(c) for w, c in zip(XYZ[1], "rgb"))) - 16
+
+
+def cie_lab() -> list[Column]:
+    """CIE L*, a* and b* of sRGB values."""
+    x, y, z = (_cube_root(sum(w * _linear(c) for w, c in zip(row, "rgb")) / white) for row, white in zip(XYZ, WHITE))
+    return [116 * y - 16, 500 * (x - y), 200 * (y - z)]
 
 
 #: The stain-separation matrix (rows: log r, g, b; columns: outputs H, E, D).

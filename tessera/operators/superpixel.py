@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut
+from tessera.plans.scratch import cut, drop
 
 from .graph import connectivity, region_adjacency
-from .raster import gaussian_blur
+from .raster import cie_lab, gaussian_blur, hed, resample
 from .tissue import pixel_components
 
 KEY = ["image_id", "label"]
@@ -47,30 +47,87 @@ def connected(lab: DataFrame, width: int, least: int) -> DataFrame:
     return own.join(to.join(named, ["image_id", "to"]), ["image_id", "component"]).select("image_id", "y", "x", "label")
 
 
-def slic(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0) -> DataFrame:
-    """Labels from 1 by k-means over blurred colour and place, each connected; a pixel looks at the 3 x 3 seeds around its own grid cell.
+def clustered(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0, color_space: str = "rgb") -> DataFrame:
+    """px(image_id, y, x, r, g, b) -> image_id, y, x, seed: k-means over blurred colour and place, not yet connected.
+
+    A pixel takes the seed at the least squared distance, colour over compactness and place over step, among the 3 x 3 seeds around its own grid cell, ties to the first. Colours are CIE Lab of the blurred values, of the stains'
+    separation made into an image again where color_space is hed. The first of the rounds gives every pixel its own grid cell, as seeds begin without a colour.
 
     Pixels keep their grid cell, so a round is one equi-join with the few seeds of a neighbourhood and one partial aggregate.
     """
+    if color_space not in ("rgb", "hed"):
+        raise ValueError("color_space must be rgb or hed")
     rows, cols = -(-height // step), -(-width // step)
     near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
     cell = lambda c: F.floor(F.col(c) / step)
+    if color_space == "hed":
+        px = px.select("image_id", "y", "x", *hed()).select("image_id", "y", "x", *[(F.col(c) * 255).alias(n) for c, n in zip("hed", "rgb")])
     if sigma > 0:
         # A channel is an image to the blur.
         each = px.select("image_id", "y", "x", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in "rgb"])).alias("o"))
         soft = gaussian_blur(each.select(F.struct("image_id", "o.c").alias("image_id"), "y", "x", "o.v"), sigma, height, width)
         px = soft.groupBy(F.col("image_id.image_id").alias("image_id"), "y", "x").agg(*[F.max(F.when(F.col("image_id.c") == c, F.col("v"))).alias(c) for c in "rgb"])
         px = cut(px, "blur")
-    own = px.select("image_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in "rgb"], cell("y").alias("cy"), cell("x").alias("cx"))
+    own = px.select("image_id", "y", "x", *[c.alias(n) for c, n in zip(cie_lab(), ("l", "a", "b"))], cell("y").alias("cy"), cell("x").alias("cx"))
     around = own.select("*", near.alias("o")).withColumn("seed", (F.col("cy") + F.col("o.dy")) * cols + F.col("cx") + F.col("o.dx")).filter((F.col("cy") + F.col("o.dy")).between(0, rows - 1) & (F.col("cx") + F.col("o.dx")).between(0, cols - 1)).drop("o", "cy", "cx")
-    means = [F.avg(c).alias(f"m{c}") for c in ("y", "x", "r", "g", "b")]
-    seeds = own.groupBy("image_id", (F.col("cy") * cols + F.col("cx")).alias("seed")).agg(*means)
-    for k in range(rounds):
-        d = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "rgb"), F.lit(0.0))) + compactness / step * F.sqrt((F.col("y") - F.col("my")) ** 2 + (F.col("x") - F.col("mx")) ** 2)
-        given = around.join(seeds, ["image_id", "seed"]).groupBy("image_id", "y", "x").agg(F.min_by(F.struct("seed", "r", "g", "b"), F.struct(d, "seed")).alias("s")).select("image_id", "y", "x", "s.*")
-        if k + 1 < rounds:
-            seeds = cut(given.groupBy("image_id", "seed").agg(*means), "seeds")
-    return connected(given.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("seed").alias("label")), width, step * step // 2)
+    means = [F.avg(c).alias(f"m{c}") for c in ("y", "x", "l", "a", "b")]
+    given = own.withColumn("seed", F.col("cy") * cols + F.col("cx")).drop("cy", "cx")
+    seeds = None
+    for _ in range(rounds - 1):
+        after = cut(given.groupBy("image_id", "seed").agg(*means), "seeds")
+        drop(seeds)
+        seeds = after
+        square = lambda c: (F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}"))
+        d = (square("l") + square("a") + square("b")) / (compactness * compactness) + (square("y") + square("x")) / float(step * step)
+        given = around.join(seeds, ["image_id", "seed"]).groupBy("image_id", "y", "x").agg(F.min_by(F.struct("seed", "l", "a", "b"), F.struct(d, "seed")).alias("s")).select("image_id", "y", "x", "s.*")
+    return given.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "seed")
+
+
+def slic(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0, color_space: str = "rgb") -> DataFrame:
+    """Labels from 1 by k-means over blurred colour and place, each connected and none under half a grid cell's pixels."""
+    given = clustered(px, height, width, step, compactness, rounds, sigma, color_space)
+    return connected(given.withColumnRenamed("seed", "label"), width, step * step // 2)
+
+
+def grid_step(height: int, width: int, number: int | None = None, size: int | None = None, most: int | None = None) -> int:
+    """The side of the seeds' cells for a number of superpixels or for their size in pixels, exactly one of which is given; at most `most` superpixels."""
+    if (number is None) == (size is None):
+        raise ValueError("give either a number of superpixels or a size")
+    n = number if size is None else height * width // size
+    n = n if most is None else min(n, most)
+    if n < 1:
+        raise ValueError("an image must take a superpixel at least")
+    return max(1, round((height * width / n) ** 0.5))
+
+
+def superpixels(
+    px: DataFrame, height: int, width: int, number: int | None = None, size: int | None = None, most: int | None = None, tissue: DataFrame | None = None, factor: int = 1, thresh: float = 0.06,
+    w_hist: float = 0.5, w_mean: float = 0.5, legacy: bool = True, **how,
+) -> DataFrame:
+    """image_id, y, x, initial, merged: superpixels before merging, and after it, 0 outside the tissue.
+
+    Images are looked at by every `factor`-th pixel, and labels spread to the whole image by the nearest. Superpixels with under a tenth of tissue(image_id, y, x) take no part in merging; without a tissue mask all do.
+    """
+    h, w = -(-height // factor), -(-width // factor)
+    small = px.select("image_id", "y", "x", "r", "g", "b") if factor == 1 else resample(px.select("image_id", "y", "x", "r", "g", "b"), height, width, h, w)
+    first = cut(slic(small, h, w, grid_step(h, w, number, size, most), **how), "initial")
+    lab = first.join(small, ["image_id", "y", "x"])
+    own = lab.withColumn("label", F.col("label").cast("int"))
+    if tissue is not None:
+        mask = tissue.select("image_id", "y", "x", F.lit(1).alias("_in"))
+        if factor > 1:
+            dense = px.select("image_id", "y", "x").join(mask, ["image_id", "y", "x"], "left")
+            mask = resample(dense, height, width, h, w)
+        own = own.join(mask, ["image_id", "y", "x"], "left")
+        kept = tissue_filter(own, F.coalesce("_in", F.lit(0)) == 1)
+        own = own.join(kept, KEY).select("image_id", "y", "x", F.col("new_label").cast("int").alias("label"), "r", "g", "b")
+    own = cut(own.select("image_id", "y", "x", "label", "r", "g", "b"), "tissue")
+    merged = own.join(merge(own, thresh, w_hist, w_mean, legacy), KEY).select("image_id", "y", "x", "merged")
+    both = first.select("image_id", "y", "x", F.col("label").alias("initial")).join(merged, ["image_id", "y", "x"], "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
+    out = both if factor == 1 else resample(both, h, w, height, width)
+    out = cut(out, "superpixels")
+    drop(first, own)
+    return out
 
 
 def color_stats(lab: DataFrame) -> DataFrame:

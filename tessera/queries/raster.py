@@ -355,6 +355,23 @@ def slic_superpixels(spark, sf):
     return U.slic(X.pixels(spark, sf), H, Wd, 10)
 
 
+_LIN = lambda c: f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN (({c} / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 ELSE {c} / 255.0::DOUBLE / 12.92 END"
+_XYZ = ", ".join(f"({' + '.join(f'{w} * {c}l' for w, c in zip(row, 'rgb'))}) / {white} AS {n}" for n, row, white in zip("uvw", P.XYZ, P.WHITE))
+_ROOT = ", ".join(f"CASE WHEN {n} > 0.008856 THEN {n} ** (1.0::DOUBLE / 3) ELSE 7.787 * {n} + 16.0::DOUBLE / 116 END AS {n}" for n in "uvw")
+
+
+@query(f"WITH {PX}, a AS (SELECT image_id, y, x, {', '.join(f'{_LIN(c)} AS {c}l' for c in 'rgb')} FROM px), b AS (SELECT image_id, y, x, {_XYZ} FROM a), c AS (SELECT image_id, y, x, {_ROOT} FROM b) SELECT image_id, y, x, round(116 * v - 16, 6) AS l, round(500 * (u - v), 6) AS a, round(200 * (v - w), 6) AS b FROM c")
+def rgb_to_lab(spark, sf):
+    return X.pixels(spark, sf).select(*P.AT, *[F.round(c, 6).alias(n) for c, n in zip(P.cie_lab(), ("l", "a", "b"))])
+
+
+@query()
+def merged_superpixels(spark, sf):
+    """The whole chain: superpixels of half the image's pixels, those with tissue, merged, both label maps."""
+    px = X.pixels(spark, sf)
+    return U.superpixels(px, H, Wd, size=60, tissue=px.filter("g >= 120").select(*P.AT), factor=2, thresh=0.12)
+
+
 @query()
 def merge_superpixels(spark, sf):
     return U.merge(_lab(spark, sf), thresh=0.12)
