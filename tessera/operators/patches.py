@@ -19,21 +19,27 @@ Embedding = Callable[[np.ndarray], np.ndarray]
 MEANS, DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
-def patch_pixels(corners: DataFrame, px: DataFrame, patch: int, fill: int = 255, only: DataFrame | None = None) -> DataFrame:
+def patch_pixels(corners: DataFrame, px: DataFrame, patch: int, fill: int = 255, only: DataFrame | None = None, degrees: float = 0) -> DataFrame:
     """corners(image_id, *keys, top, left) -> the same with data array<int>: the patch's r, g, b, row by row.
 
-    only: a label map; pixels of other instances than the corner's `label` are filled too.
+    only: a label map; pixels of other instances than the corner's `label` are filled too. degrees: the patch turned counter-clockwise around its centre: each of its places takes the nearest pixel of the image at the place it
+    comes from, so its corners show what lies around the upright patch, not `fill`.
     """
     keys = corners.columns
-    span = lambda c: F.explode(F.sequence(F.col(c), F.col(c) + patch - 1))
-    at = corners.withColumn("y", span("top")).withColumn("x", span("left")).withColumn("y", F.col("y").cast("int")).withColumn("x", F.col("x").cast("int"))
+    span = F.explode(F.sequence(F.lit(0), F.lit(patch - 1)))
+    at = corners.withColumn("_ty", span).withColumn("_tx", span)
+    c, angle = (patch - 1) / 2, float(np.deg2rad(degrees))
+    y, x = F.col("_ty") - c, F.col("_tx") - c
+    # Sines and cosines that are nearly 0 or 1 would round places off by one at right angles.
+    cos, sin = round(float(np.cos(angle)), 12), round(float(np.sin(angle)), 12)
+    at = at.withColumn("y", (F.col("top") + F.rint(cos * y + sin * x + c)).cast("int")).withColumn("x", (F.col("left") + F.rint(-sin * y + cos * x + c)).cast("int"))
     met = at.join(px.select("image_id", "y", "x", "r", "g", "b"), ["image_id", "y", "x"], "left")
     keep = F.lit(True)
     if only is not None:
         met = met.join(only.select("image_id", "y", "x", F.col("label").alias("_there")), ["image_id", "y", "x"], "left")
         keep = F.coalesce(F.col("_there") == F.col("label"), F.lit(False))
     value = [F.coalesce(F.when(keep, F.col(c)), F.lit(fill)).cast("int").alias(c) for c in "rgb"]
-    place = ((F.col("y") - F.col("top")) * patch + F.col("x") - F.col("left")).cast("int").alias("at")
+    place = (F.col("_ty") * patch + F.col("_tx")).cast("int").alias("at")
     cells = met.select(*keys, F.struct(place, *value).alias("cell")).groupBy(*keys).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return cells.select(*keys, F.flatten(F.transform("cells", lambda c: F.array(c["r"], c["g"], c["b"]))).alias("data"))
 
@@ -78,6 +84,18 @@ def embed(patches: DataFrame, patch: int, fn: Embedding, means=MEANS, deviations
     return patches.select(*keys, "data").mapInArrow(run, schema)
 
 
+def seen(corners: DataFrame, px: DataFrame, patch: int, fn: Embedding, augs: list[tuple[float, str]] = ((0, "n"),), only: DataFrame | None = None, drop: tuple[str, ...] = (), fill: int = 255, **how) -> DataFrame:
+    """corners(image_id, *keys, top, left) -> keys, aug, feat. Right angles turn the upright patch; any other angle is read from the image as a patch of its own."""
+    angles = sorted({0.0 if d % 90 == 0 else float(d) for d, _ in augs})
+    out = None
+    for angle in angles:
+        own = [(k, (d if angle == 0 else 0, f)) for k, (d, f) in enumerate(augs) if (0.0 if d % 90 == 0 else float(d)) == angle]
+        part = embed(patch_pixels(corners, px, patch, fill, only, angle).drop(*drop), patch, fn, augs=[a for _, a in own], fill=fill, **how)
+        part = part.withColumn("aug", F.element_at(F.array(*[F.lit(k) for k, _ in own]), F.col("aug") + 1))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mean_features(embedded: DataFrame, keys: list[str], width: int) -> DataFrame:
     """The mean embedding of the patches of a key."""
     return embedded.groupBy(*keys).agg(F.array(*[F.avg(F.col("feat")[i].cast("double")) for i in range(width)]).alias("feat"))
@@ -89,7 +107,7 @@ def instance_features(centers: DataFrame, px: DataFrame, patch: int, fn: Embeddi
     label_map: mask other instances. Instances without an accepted patch have no row.
     """
     corners = centers.select("image_id", "label", (F.col("py") - patch // 2).alias("top"), (F.col("px") - patch // 2).alias("left"))
-    return mean_features(embed(patch_pixels(corners, px, patch, only=label_map), patch, fn, augs=augs, **how), ["image_id", "label", "aug"], width)
+    return mean_features(seen(corners, px, patch, fn, augs, label_map, **how), ["image_id", "label", "aug"], width)
 
 
 def grid_corners(images: DataFrame, patch: int, stride: int) -> DataFrame:
@@ -107,8 +125,7 @@ def grid_corners(images: DataFrame, patch: int, stride: int) -> DataFrame:
 
 def grid_features(images: DataFrame, px: DataFrame, patch: int, stride: int, fn: Embedding, augs: list[tuple[float, str]] = ((0, "n"),), **how) -> DataFrame:
     """image_id, row, col, aug, feat: the feature cube."""
-    patches = patch_pixels(grid_corners(images, patch, stride), px, patch).drop("top", "left")
-    return embed(patches, patch, fn, augs=augs, **how)
+    return seen(grid_corners(images, patch, stride), px, patch, fn, augs, drop=("top", "left"), **how)
 
 
 def masked_grid_features(images: DataFrame, px: DataFrame, mask: DataFrame, patch: int, stride: int, fn: Embedding, least: float = 0.1, **how) -> DataFrame:

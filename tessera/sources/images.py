@@ -52,6 +52,84 @@ def scan(spark: SparkSession, paths: str | list[str], drop_invalid: bool = False
     return raw.select(file_name("origin").alias("image_id"), "height", "width", "nChannels", "data").mapInArrow(run, PIXELS)
 
 
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A scan line's bytes from what its filter left; step: the bytes of a pixel."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, step), 0, dtype=np.uint8).ravel()
+    if kind == 2:
+        return line + above
+    if kind not in (3, 4):
+        raise ValueError(f"no filter {kind}")
+    raw, up, out = line.tolist(), above.tolist(), [0] * len(line)
+    for k in range(len(raw)):
+        left, corner = (out[k - step], up[k - step]) if k >= step else (0, 0)
+        if kind == 3:
+            guess = (left + up[k]) >> 1
+        else:
+            p = left + up[k] - corner
+            guess = min((abs(p - left), 0, left), (abs(p - up[k]), 1, up[k]), (abs(p - corner), 2, corner))[2]
+        out[k] = raw[k] + guess & 255
+    return np.array(out, np.uint8)
+
+
+def png_strips(content: bytes, rows: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """The first row and the values (rows, width, 3) of each strip of a PNG, from a running inflate: no more than a strip is held uncompressed.
+
+    8-bit gray, colour and palette images, with or without alpha (left out), not interlaced; others are an error.
+    """
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, palette, inflate, left, top, strip = 8, None, zlib.decompressobj(), b"", 0, []
+    while at < len(content):
+        size, kind = struct.unpack(">I4s", content[at : at + 8])
+        body = content[at + 8 : at + 8 + size]
+        at += 12 + size
+        if kind == b"IHDR":
+            w, h, depth, color, *_, interlaced = struct.unpack(">IIBBBBB", body)
+            if depth != 8 or interlaced or color not in (0, 2, 3, 4, 6):
+                raise ValueError("only 8-bit images that are not interlaced are read by strips")
+            step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+            wide, above = w * step + 1, np.zeros(w * step, np.uint8)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            while body:
+                left += inflate.decompress(body, max(wide, 1 << 16))
+                body = inflate.unconsumed_tail
+                while len(left) >= wide:
+                    above = _unfiltered(left[0], np.frombuffer(left[1:wide], np.uint8), above, step)
+                    left = left[wide:]
+                    strip.append(above)
+                    if len(strip) == rows or top + len(strip) == h:
+                        values = np.stack(strip).reshape(len(strip), w, step)
+                        yield top, palette[values[..., 0]] if color == 3 else np.repeat(values[..., :1], 3, 2) if step < 3 else values[..., :3]
+                        top, strip = top + len(strip), []
+    if top != h:
+        raise ValueError("a cut off PNG")
+
+
+def scan_strips(spark: SparkSession, paths: str | list[str], rows: int = 64) -> DataFrame:
+    """PIXELS of PNG files of any size: a task holds a file as it is stored and one strip of its rows. What is no such PNG is an error that names the file."""
+    files = spark.read.format("binaryFile").load(paths).select("path", file_name("path").alias("image_id"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                path, name, content = (batch.column(c)[k].as_py() for c in range(3))
+                try:
+                    for top, values in png_strips(content, rows):
+                        h, w = values.shape[:2]
+                        y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
+                        columns = [pa.array([name] * (h * w)), pa.array(y + np.int32(top)), pa.array(x), *(pa.array(values[..., c].ravel().astype(np.int32)) for c in range(3))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["image_id", "y", "x", "r", "g", "b"])
+                except (ValueError, zlib.error, struct.error) as e:
+                    raise OSError(f"{path}: {e}") from e
+
+    return files.mapInArrow(run, PIXELS)
+
+
 def png(values: np.ndarray) -> bytes:
     """An 8-bit PNG of values (h, w) or (h, w, 3)."""
     h, w = values.shape[:2]
