@@ -12,8 +12,8 @@ first n - o + l of each (l up to the partner's own): that prefix is all that is
 3. Matrix: groups and pools of many classes are cut into blocks. Sets of n and m <= n shingles that link share 4/9 (n + m), at least 8/9 m, so of the
    smaller one a shorter prefix is enough: the matrix counts for each (shingle, block) the members with it in there. A class is a query to the blocks, those of its own group aside, that
    hold l shingles of its prefix (l = a tenth of the least overlap, as above, of the smaller one; shingles that only itself holds in its own block do not count) and a size up to its own. The overlap of the query with
-   a block's union bounds that with every member: blocks under the least overlap with their smallest member are not opened. In opened blocks the query meets the members that share shingles of
-   the prefixes; pairs with l of these are verified, and a link joins the two groups.
+   a block's union bounds that with every member: blocks under the least overlap with their smallest member are not opened. In an opened block a query's overlap with all members is counted in one task
+   from their shingles, and a link joins the two groups; no pair leaves the task but links that join groups.
 
 Only links inside a group are left unchecked, as they change no component, so the components are those of all links. The rarest-first order keeps passages that many documents share
 out of the prefixes; every count and minimum is pre-aggregated, hot join keys are those adaptive execution splits, and no array grows with a group.
@@ -38,7 +38,8 @@ from .rolling import SPACE, Rolling, chunks, mix, runs, texts_of
 
 SHINGLE, PERCENT = 5, 80
 SPREAD = 10
-BLOCK = 256
+#: A block has about so many classes, and not many more shingles than TOKENS.
+BLOCK, TOKENS = 256, 1 << 22
 
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
@@ -173,6 +174,48 @@ def _ranked(sets: DataFrame) -> DataFrame:
     )
 
 
+def _place(pool: str, block: str) -> Column:
+    """A block's name."""
+    return F.concat_ws(":", F.col(f"{pool}.linked").cast("string"), F.hex(f"{pool}.id"), F.col(block).cast("string"))
+
+
+def _links(members: pa.Table, askers: pa.Table) -> pa.Table:
+    """Links (a, b) between askers and members of a block (cid, n, common, group) that join their groups: of all links as many as a tree of the groups has.
+
+    Every asker's overlap with all members is counted at once from the members' shingles in order.
+    """
+    a, b = [], []
+    if len(members) and len(askers):
+        lists = members.column("common").combine_chunks()
+        value, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        order = np.argsort(value, kind="stable")
+        token, owner = value[order], np.repeat(np.arange(len(members)), size)[order]
+        m, cid, group = members.column("n").to_numpy(), members.column("cid").to_pylist(), members.column("group").to_pylist()
+        up: dict = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for k in range(len(askers)):
+            own, n, home = (askers.column(c)[k] for c in ("common", "n", "group"))
+            own, n, home = own.values.to_numpy(), n.as_py(), home.as_py()
+            low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+            count = high - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(m))
+            for j in np.flatnonzero(100 * both >= PERCENT * (n + m - both)).tolist():
+                x, y = top(home), top(group[j])
+                if x != y:
+                    up[x] = y
+                    a.append(askers.column("cid")[k].as_py())
+                    b.append(cid[j])
+    kind = members.schema.field("cid").type
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+
 def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_shingles and component_id for each row of docs."""
     cuts = Cuts(docs.sparkSession)
@@ -196,8 +239,8 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     linked = F.col("component").isNotNull()
     pool = F.struct(linked.alias("linked"), F.coalesce("component", "hub", "cid").alias("id")).alias("pool")
     member = ranked.join(group, F.col("cid") == F.col("node"), "left").join(home, F.col("cid") == F.col("a"), "left").select("cid", "n", F.coalesce("component", "cid").alias("group"), pool)
-    sizes = member.groupBy("pool").agg(F.count("*").alias("size"))
-    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    sizes = member.groupBy("pool").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    block = F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / TOKENS))).alias("block")
     member = cuts.table(member.join(sizes, "pool").select("cid", "n", "group", "pool", block), "members")
 
     # 3. The matrix, its bounds, and the groups they leave open.
@@ -216,14 +259,19 @@ def ngram_components(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     # A block's union is one row, with the shingles of two members or more, which are what is left of it for a member of its own; a query meets it as a set.
     unions = union.groupBy("g", "k").agg(F.collect_list("token").alias("held"), F.collect_list(F.when(F.col("holders") > 1, F.col("token"))).alias("held_twice"))
     met = asked.join(ranked.select("cid", "common"), "cid").join(unions, ["g", "k"])
-    overlap = met.select("cid", "n", "small", "g", "k", F.size(F.array_intersect("common", F.when(F.col("own"), F.col("held_twice")).otherwise(F.col("held")))).alias("overlap"))
+    overlap = met.select("cid", "n", "small", "g", "k", F.size("common").alias("tokens"), F.size(F.array_intersect("common", F.when(F.col("own"), F.col("held_twice")).otherwise(F.col("held")))).alias("overlap"))
     enough = _needed(F.col("n"), F.greatest(F.col("small"), _least("n")))
-    opened = overlap.filter(F.col("overlap") >= enough).select("cid", "g", "k")
-    asking = held.select("cid", "n", "reach", "token", F.col("group").alias("ga")).join(opened, "cid")
-    members = held.filter("first").select(F.col("cid").alias("b"), F.col("n").alias("m"), "token", F.col("pool").alias("g"), F.col("block").alias("k"), F.col("group").alias("gb"))
-    open_pairs = asking.join(members, ["g", "k", "token"]).filter((F.col("m") <= F.col("reach")) & (F.col("ga") != F.col("gb")) & _fits("n", "m")).groupBy("cid", "n", "b", "m").agg(F.count("*").alias("hits"))
-    pairs = open_pairs.filter(F.col("hits") >= F.least(_few("n"), _few("m"))).select(F.col("cid").alias("a"), "b")
-    across = cuts.table(_linked(pairs, ranked), "across")
+    opened = cuts.table(overlap.filter(F.col("overlap") >= enough).select("cid", _place("g", "k").alias("at"), "tokens"), "opened")
+
+    # Members and askers of an opened block meet in a task, by shares of bounded size; what leaves it is links that join groups.
+    load = opened.groupBy("at").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("tokens") / TOKENS)).alias("parts"))
+    # The aliases keep both sides of the cogroup apart.
+    sets = lambda: member.select(F.col("cid").alias("cid"), F.col("group").alias("group")).join(ranked.select(F.col("cid").alias("cid"), F.col("n").alias("n"), F.col("common").alias("common")), "cid")
+    asking = opened.join(load, "at").select("cid", "at", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part")).join(sets(), "cid")
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    members = member.select(F.col("cid").alias("cid"), _place("pool", "block").alias("at")).join(load.select(F.col("at").alias("at"), F.col("parts").alias("parts")), "at").select("cid", "at", share).join(sets(), "cid")
+    kind = dict(ranked.dtypes)["cid"]
+    across = cuts.table(members.groupBy("at", "part").cogroup(asking.groupBy("at", "part")).applyInArrow(_links, f"a {kind}, b {kind}"), "across")
     of = member.select(F.col("cid"), "group")
     joined = across.join(of.select(F.col("cid").alias("a"), F.col("group").alias("ga")), "a").join(of.select(F.col("cid").alias("b"), F.col("group").alias("gb")), "b")
     top = connected_components(joined.select(F.col("ga").alias("a"), F.col("gb").alias("b")), cuts)
