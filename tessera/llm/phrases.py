@@ -36,7 +36,7 @@ BLOCK = 1 << 17
 #: Partial sketches that one task sums.
 FAN_IN = 64
 #: Shares of a first word's suffixes.
-PARTS = 16
+PARTS = 8
 #: Bytes of texts that are counted together before the shuffle.
 RUN = 4 << 20
 #: Bytes that are hashed at once.
@@ -157,22 +157,25 @@ def _has(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return one & two
 
 
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, there: np.ndarray) -> pa.Array:
-    """A string column of byte spans, null where there is none."""
-    size = np.where(there, ends - starts, 0)
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(np.where(there, starts, 0) - offsets[:-1], size) + np.arange(offsets[-1])
-    valid = pa.array(there).buffers()[1] if len(there) else None
-    return pa.Array.from_buffers(pa.string(), len(size), [valid, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(_LOWER[data[at]].tobytes())])
-
-
-WORDS = [f"w{k}" for k in range(1, MAX_N + 1)]
+def _joined(data: np.ndarray, starts: list[np.ndarray], ends: list[np.ndarray], length: np.ndarray) -> pa.Array:
+    """Each row's first `length` spans with a tab, which no word has, between two."""
+    size = [np.where(length > k, ends[k] - starts[k] + (length > k + 1), 0) for k in range(MAX_N)]
+    offsets = np.concatenate([[0], np.cumsum(sum(size))])
+    out = np.full(offsets[-1], 9, np.uint8)
+    begin = offsets[:-1].copy()
+    for k in range(MAX_N):
+        own = np.where(length > k, ends[k] - starts[k], 0)
+        before = np.cumsum(own) - own
+        step = np.arange(own.sum()) - np.repeat(before, own)
+        out[np.repeat(begin, own) + step] = _LOWER[data[np.repeat(starts[k], own) + step]]
+        begin += size[k]
+    return pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
-    """lang, w1 to w4 (null behind the end), c: the cut suffixes of all words, counted within runs and in the order of their words, as such rows are packed best; w1 is null in the row that counts all words of a run."""
+    """lang, words (tabs between), c: the cut suffixes of all words, counted within runs and in the order of their words, as such rows are packed best; words is null in the row that counts all words of a run."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    keys = ["lang", *WORDS]
+    names = ["lang", "words", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words = shared.value, Words()
@@ -202,18 +205,14 @@ def suffixes(texts: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
             then = [np.where(length[first] > k, np.roll(word, -k)[first], -1) for k in range(1, MAX_N)]
             order = np.lexsort((*reversed(then), word[first]))
             first, count = first[order], count[order]
-            columns = []
-            for k in range(MAX_N):
-                there = length[first] > k
-                which = np.where(there, first + k, 0)
-                columns.append(_strings(b, opens[which], closes[which], there))
+            which = [np.minimum(first + k, len(opens) - 1) for k in range(MAX_N)]
+            joined_words = _joined(b, [opens[x] for x in which], [closes[x] for x in which], length[first])
             dictionary = pa.array(told, pa.string())
-            yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(lang[first])), *columns, pa.array(count.astype(np.int64))], names=[*keys, "c"])
+            yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(lang[first])), joined_words, pa.array(count.astype(np.int64))], names=names)
             total = np.bincount(lang, minlength=len(told))
-            none = pa.nulls(len(told), pa.string())
-            yield pa.RecordBatch.from_arrays([dictionary, *[none] * MAX_N, pa.array(total.astype(np.int64))], names=[*keys, "c"])
+            yield pa.RecordBatch.from_arrays([dictionary, pa.nulls(len(told), pa.string()), pa.array(total.astype(np.int64))], names=names)
 
-    return texts.mapInArrow(run, ", ".join(f"{c} string" for c in keys) + ", c long")
+    return texts.mapInArrow(run, "lang string, words string, c long")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,19 +235,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "size", "f"])
 
     for batch in batches:
-        for own, *words, c in zip(*(x.to_pylist() for x in batch.columns)):
+        for own, joined, c in zip(*(x.to_pylist() for x in batch.columns)):
+            words = joined.split("\t") if joined is not None else []
             same = 0
             if own == lang:
-                while same < len(stack) and stack[same] == words[same]:
+                while same < min(len(stack), len(words)) and stack[same] == words[same]:
                     same += 1
             pop(same)
             lang = own
-            if words[0] is None:
+            if joined is None:
                 out.append((lang, None, 0, c))
                 continue
             for w in words[same:]:
-                if w is None:
-                    break
                 stack.append(w)
                 counts.append(0)
             counts[-1] += c
@@ -262,9 +260,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def phrase_counts(texts: DataFrame, cuts: Cuts, least: int = LEAST, slots: int = SLOTS) -> DataFrame:
     """A table of lang, phrase, size, f for phrases of 1 to MAX_N words and at least `least` occurrences; the phrase of size 0 is null and counts all words. texts(_text, _lang)."""
     # Neighbours in the order of words mostly share a share, and even two words that begin a third of all suffixes have several.
-    share = F.pmod(F.xxhash64("w2", F.pmod(F.xxhash64("w3"), F.lit(4)), F.when(F.col("w1").isNull(), F.col("c"))), F.lit(PARTS))
-    dealt = suffixes(texts, sketch(texts, slots, least)).repartition("lang", "w1", share)
-    ordered = dealt.sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in ("lang", *WORDS)])
+    word = lambda k: F.get(F.split("words", "\t", k + 2), F.lit(k))
+    share = F.pmod(F.xxhash64(word(1), F.pmod(F.xxhash64(word(2)), F.lit(4)), F.when(F.col("words").isNull(), F.col("c"))), F.lit(PARTS))
+    dealt = suffixes(texts, sketch(texts, slots, least)).repartition("lang", word(0), share)
+    # Words with characters below the tab come between a suffix and its prefix; a prefix's count is then in two parts, which are summed like those of shares.
+    ordered = dealt.sortWithinPartitions(F.col("lang").desc_nulls_last(), F.col("words").desc_nulls_last())
     parts = ordered.mapInArrow(_prefixes, "lang string, phrase string, size int, f long")
     return cuts.table(parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
 
