@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import shuffled
+
 HEIGHT, WIDTH, TILE = 40, 160, 8
 PER_GRAPH = 250
 CLASSES, BACKGROUND = 10, 9
@@ -65,7 +67,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     feat = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("feat"))
     n = feat.agg(F.count("*").alias("n"))  # one row
     keyed = points(spark, sf).crossJoin(F.broadcast(n)).withColumn("v", F.col("node_id") % F.col("n"))
-    return keyed.join(feat, "v").select("graph_id", "node_id", "x", "y", "feat")
+    return keyed.join(shuffled(feat), "v").select("graph_id", "node_id", "x", "y", "feat")
 
 
 NODES = f"{PTS}, nodes AS (SELECT graph_id, node_id, x, y, embedding FROM pts JOIN embeddings ON node_id % (SELECT count(*) FROM embeddings) = vec_id), nf AS (SELECT graph_id, node_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM nodes)"
@@ -77,7 +79,7 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     base, at = F.floor(k / PER_GRAPH) * PER_GRAPH, k % PER_GRAPH
     ends = F.explode(F.array(*[base + (at * m + c) % PER_GRAPH for m, c in ((1, 1), (3, 2), (7, 5))]))
     out = table(spark, sf, "part").select(F.floor(k / PER_GRAPH).alias("graph_id"), k.alias("src"), ends.alias("dst")).filter("dst % 10 <> 3")
-    return out.join(table(spark, sf, "part").select(F.col("p_partkey").alias("dst")), "dst", "left_semi").select("graph_id", "src", "dst")
+    return out.join(shuffled(table(spark, sf, "part").select(F.col("p_partkey").alias("dst"))), "dst", "left_semi").select("graph_id", "src", "dst")
 
 
 LINKS = f"""links AS (SELECT p_partkey // {PER_GRAPH} AS graph_id, p_partkey AS src, p_partkey // {PER_GRAPH} * {PER_GRAPH} + (p_partkey % {PER_GRAPH} * m + c) % {PER_GRAPH} AS dst

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut, drop
+from tessera.plans.scratch import cut, drop, shuffled
 
 
 def _ranked(pairs: DataFrame, k: int, thresh: float | None) -> DataFrame:
@@ -42,7 +42,7 @@ def knn_graph_bucketed(points: DataFrame, k: int, thresh: float) -> DataFrame:
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     a = a.withColumn("i", near).withColumn("j", near).select("graph_id", "src", "x1", "y1", (cell("x1") + F.col("i")).alias("cx"), (cell("y1") + F.col("j")).alias("cy"))
     b = b.select("graph_id", "dst", "x2", "y2", cell("x2").alias("cx"), cell("y2").alias("cy"))
-    pairs = a.join(b, ["graph_id", "cx", "cy"]).filter("src <> dst").withColumn("d2", F.expr(_D2)).filter(F.col("d2") <= thresh * thresh)
+    pairs = a.join(shuffled(b), ["graph_id", "cx", "cy"]).filter("src <> dst").withColumn("d2", F.expr(_D2)).filter(F.col("d2") <= thresh * thresh)
     return _ranked(pairs, k, thresh)
 
 
@@ -57,7 +57,7 @@ def _placed(points: DataFrame) -> DataFrame:
     own = points.select("graph_id", "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x = x AND y = y AND NOT isnan(x) AND NOT isnan(y)")
     box = own.groupBy("graph_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
     at = lambda c: F.when(F.col("span") > 0, F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("span") * float(1 << BITS)), F.lit((1 << BITS) - 1))).otherwise(0).cast("long")
-    return own.join(box, "graph_id").select("graph_id", "node_id", "x", "y", at("x").alias("ix"), at("y").alias("iy"), "span")
+    return own.join(shuffled(box), "graph_id").select("graph_id", "node_id", "x", "y", at("x").alias("ix"), at("y").alias("iy"), "span")
 
 
 def _cell(c: str, level: str) -> F.Column:
@@ -71,8 +71,8 @@ def cell_levels(spots: DataFrame, most: int) -> DataFrame:
     for low in range(0, BITS, PASS):
         each = open_.select("*", F.explode(F.sequence(F.lit(low), F.lit(low + PASS - 1))).alias("level")).select("*", _cell("ix", "level").alias("cx"), _cell("iy", "level").alias("cy"))
         few = each.groupBy("graph_id", "level", "cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("graph_id", "level", "cx", "cy")
-        first = each.join(few, ["graph_id", "level", "cx", "cy"]).groupBy("graph_id", "x", "y").agg(F.min("level").alias("level"))
-        told = cut(open_.join(first, ["graph_id", "x", "y"], "left"), "levels")
+        first = each.join(shuffled(few), ["graph_id", "level", "cx", "cy"]).groupBy("graph_id", "x", "y").agg(F.min("level").alias("level"))
+        told = cut(open_.join(shuffled(first), ["graph_id", "x", "y"], "left"), "levels")
         part = told.filter("level IS NOT NULL")
         done = part if done is None else done.unionByName(part)
         open_ = told.filter("level IS NULL").drop("level")
@@ -88,7 +88,7 @@ def _met(open_: DataFrame, others: DataFrame) -> DataFrame:
     around = open_.withColumn("i", near).withColumn("j", near).withColumn("cx", _cell("ix", "level") + F.col("i")).withColumn("cy", _cell("iy", "level") + F.col("j")).drop("i", "j", "ix", "iy")
     held = others.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).select("graph_id", "other", "x2", "y2", "level", _cell("ix", "level").alias("cx"), _cell("iy", "level").alias("cy"))
     d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    return around.join(held, ["graph_id", "level", "cx", "cy"]).withColumn("d2", d2)
+    return around.join(shuffled(held), ["graph_id", "level", "cx", "cy"]).withColumn("d2", d2)
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
@@ -112,15 +112,15 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
         top = _met(open_, others).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
         held = cut(top.select("graph_id", "x", "y", "level", "other", "d2", ((F.col("d2") < sure) | (F.col("level") == 0)).alias("sure")), "met")
         certain = held.groupBy("graph_id", "x", "y").agg((F.sum(F.col("sure").cast("int")) >= k + 1).alias("enough"), (F.max("level") == 0).alias("whole")).filter("enough OR whole").select("graph_id", "x", "y")
-        part = cut(held.select("graph_id", "x", "y", "other", "d2").join(certain, ["graph_id", "x", "y"], "left_semi"), "nearest")
+        part = cut(held.select("graph_id", "x", "y", "other", "d2").join(shuffled(certain), ["graph_id", "x", "y"], "left_semi"), "nearest")
         done = part if done is None else done.unionByName(part)
-        left = cut(open_.join(part.select("graph_id", "x", "y").distinct(), ["graph_id", "x", "y"], "left_anti").withColumn("level", F.col("level") - 1), "open")
+        left = cut(open_.join(shuffled(part.select("graph_id", "x", "y").distinct()), ["graph_id", "x", "y"], "left_anti").withColumn("level", F.col("level") - 1), "open")
         drop(open_, held)
         open_ = left
         if open_.isEmpty():
             break
     rank = W.partitionBy("graph_id", "node_id").orderBy("d2", "other")
-    own = placed.select("graph_id", "node_id", "x", "y").join(done, ["graph_id", "x", "y"]).filter("node_id <> other").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    own = placed.select("graph_id", "node_id", "x", "y").join(shuffled(done), ["graph_id", "x", "y"]).filter("node_id <> other").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     out = cut(own.select("graph_id", "node_id", "other", F.sqrt("d2").alias("dist"), "rank"), "nearest")
     drop(placed, others, open_)
     return out
@@ -145,7 +145,7 @@ def region_adjacency(label_map: DataFrame, around: list[tuple[int, int]]) -> Dat
     shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in half]))
     own = label_map.filter("label > 0")
     a = own.select("image_id", F.col("label").alias("a"), "y", "x", shift.alias("o")).select("image_id", "a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    pairs = a.join(own.select("image_id", "y", "x", F.col("label").alias("b")), ["image_id", "y", "x"]).filter("a <> b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = a.join(shuffled(own.select("image_id", "y", "x", F.col("label").alias("b"))), ["image_id", "y", "x"]).filter("a <> b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.select("image_id", F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("a").alias("d")))).alias("e")).select("image_id", F.col("e.s").alias("src"), F.col("e.d").alias("dst"))
 
 
@@ -154,7 +154,7 @@ def hops(edges: DataFrame, k: int) -> DataFrame:
     one = edges.select("graph_id", "src", "dst").filter("src <> dst").distinct()
     reach = one
     for _ in range(k - 1):
-        step = reach.join(one.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("to")), ["graph_id", "dst"]).select("graph_id", "src", F.col("to").alias("dst"))
+        step = reach.join(shuffled(one.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("to"))), ["graph_id", "dst"]).select("graph_id", "src", F.col("to").alias("dst"))
         reach = reach.unionByName(step).filter("src <> dst").distinct()
     return reach
 
@@ -162,13 +162,13 @@ def hops(edges: DataFrame, k: int) -> DataFrame:
 def assignment(points: DataFrame, label_map: DataFrame) -> DataFrame:
     """points(image_id, node_id, x, y) to the label at (int(y), int(x)); background assigns nothing."""
     at = points.select("image_id", F.col("node_id").alias("low_id"), F.floor("y").cast("int").alias("y"), F.floor("x").cast("int").alias("x"))
-    return at.join(label_map.filter("label > 0").select("image_id", "y", "x", F.col("label").alias("high_id")), ["image_id", "y", "x"]).select("image_id", "low_id", "high_id")
+    return at.join(shuffled(label_map.filter("label > 0").select("image_id", "y", "x", F.col("label").alias("high_id"))), ["image_id", "y", "x"]).select("image_id", "low_id", "high_id")
 
 
 def assignment_dense(pairs: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
     """The 0/1 matrix in long form: every low node of an image with every label of it."""
-    grid = low.select("image_id", "low_id").join(high.select("image_id", "high_id").distinct(), "image_id")
-    return grid.join(pairs.withColumn("hit", F.lit(1)), ["image_id", "low_id", "high_id"], "left").select("image_id", "low_id", "high_id", F.coalesce("hit", F.lit(0)).alias("assigned"))
+    grid = low.select("image_id", "low_id").join(shuffled(high.select("image_id", "high_id").distinct()), "image_id")
+    return grid.join(shuffled(pairs.withColumn("hit", F.lit(1))), ["image_id", "low_id", "high_id"], "left").select("image_id", "low_id", "high_id", F.coalesce("hit", F.lit(0)).alias("assigned"))
 
 
 def with_location(nodes: DataFrame, width: float, height: float) -> DataFrame:
@@ -182,7 +182,7 @@ def thresholded(weights: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
     ends = kept.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     numbered = ends.withColumn("new_id", F.row_number().over(W.partitionBy("graph_id").orderBy("node_id")) - 1)
     for side in ("src", "dst"):
-        kept = kept.join(numbered.select("graph_id", F.col("node_id").alias(side), F.col("new_id").alias(f"{side}_new")), ["graph_id", side])
+        kept = kept.join(shuffled(numbered.select("graph_id", F.col("node_id").alias(side), F.col("new_id").alias(f"{side}_new"))), ["graph_id", side])
     return kept.select("graph_id", F.col("src_new").alias("src"), F.col("dst_new").alias("dst"), "w"), numbered
 
 
@@ -194,10 +194,10 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "graph_id") -> Dat
     both = cut(edges.select(key, "src", "dst").unionByName(edges.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     label, before = nodes.select(key, "node_id", F.col("node_id").alias("component")), None
     while True:
-        seen = both.join(label.select(key, F.col("node_id").alias("dst"), "component"), [key, "dst"]).groupBy(key, F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
-        low = label.join(seen, [key, "node_id"], "left").select(key, "node_id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        seen = both.join(shuffled(label.select(key, F.col("node_id").alias("dst"), "component")), [key, "dst"]).groupBy(key, F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
+        low = label.join(shuffled(seen), [key, "node_id"], "left").select(key, "node_id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = low.select(key, F.col("node_id").alias("component"), F.col("component").alias("to"))
-        after = cut(low.join(jump, [key, "component"]).select(key, "node_id", F.col("to").alias("component"), (F.col("to") != F.col("was")).alias("moved")), "labels")
+        after = cut(low.join(shuffled(jump), [key, "component"]).select(key, "node_id", F.col("to").alias("component"), (F.col("to") != F.col("was")).alias("moved")), "labels")
         label = after.select(key, "node_id", "component")
         drop(before)
         before = after
@@ -218,7 +218,7 @@ def _searched(step: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     reached = cut(roots.select(key, F.col("node").alias("root"), F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead"), "node", F.lit(0).alias("d")), "reached")
     d = 0
     while True:
-        new = reached.filter(F.col("d") == d).join(step, [key, "ahead", "node"]).select(key, "root", "ahead", F.col("to").alias("node"), F.lit(d + 1).alias("d"))
+        new = reached.filter(F.col("d") == d).join(shuffled(step), [key, "ahead", "node"]).select(key, "root", "ahead", F.col("to").alias("node"), F.lit(d + 1).alias("d"))
         # One grouping gives every pair its least distance, and keeps what is known.
         after = cut(reached.unionByName(new).groupBy(key, "root", "ahead", "node").agg(F.min("d").alias("d")), "reached")
         drop(reached)
@@ -248,18 +248,18 @@ def diameter(edges: DataFrame, key: str = "graph_id", roots: int = 32, strict: b
             break
         reached = _searched(step, picked, key)
         if apart is None:
-            short = reached.groupBy(key, "root", "ahead").agg(F.count("*").alias("seen")).join(sizes, key).filter(F.col("seen") < F.col("n"))
+            short = reached.groupBy(key, "root", "ahead").agg(F.count("*").alias("seen")).join(shuffled(sizes), key).filter(F.col("seen") < F.col("n"))
             apart = cut(short.select(key).distinct(), "apart")
             if strict and (bad := apart.first()) is not None:
                 raise ValueError(f"graph {bad[0]} is not strongly connected")
         far = reached.filter("ahead").groupBy(key, "root").agg(F.max("d").alias("e"))
-        both = reached.groupBy(key, "root", "node").agg(F.max(F.when(F.col("ahead"), F.col("d"))).alias("f"), F.max(F.when(~F.col("ahead"), F.col("d"))).alias("b")).join(far, [key, "root"])
+        both = reached.groupBy(key, "root", "node").agg(F.max(F.when(F.col("ahead"), F.col("d"))).alias("f"), F.max(F.when(~F.col("ahead"), F.col("d"))).alias("b")).join(shuffled(far), [key, "root"])
         told = both.groupBy(key, "node").agg(F.max(F.greatest(F.col("e") - F.col("f"), F.col("b"))).alias("l"), F.min(F.col("b") + F.col("e")).alias("h"))
-        after = bounds.join(apart, key, "left_anti").join(told, [key, "node"], "left").select(key, "node", "degree", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high"))
+        after = bounds.join(shuffled(apart), key, "left_anti").join(shuffled(told), [key, "node"], "left").select(key, "node", "degree", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high"))
         after = cut(after, "bounds")
         best = after.groupBy(key).agg(F.max("low").alias("best"))
         drop(bounds)
-        bounds = cut(after.join(best, key), "bounds")
+        bounds = cut(after.join(shuffled(best), key), "bounds")
         drop(after, picked, reached)
     out = bounds.groupBy(key).agg(F.max("best").alias("diameter"))
     return out if apart is None else out.unionByName(apart.select(key, F.lit(None).cast("int").alias("diameter")))

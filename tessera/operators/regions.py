@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import nearest
+from tessera.plans.scratch import shuffled
 
 KEY = ["image_id", "label"]
 
@@ -49,7 +50,7 @@ def crowdedness(points: DataFrame, k: int = 10) -> DataFrame:
     """Mean and population deviation of the k + 1 smallest distances, the point itself included; k is n - 2 for 3 to k points, and fewer points give 0."""
     sizes = points.groupBy("graph_id").agg(F.count("*").alias("n"))
     others = F.when(F.col("n") < k, F.col("n") - 2).otherwise(F.least(F.lit(k), F.col("n") - 1))
-    near = nearest(points, k).join(sizes, "graph_id").filter(F.col("rank") <= others).select("graph_id", "node_id", F.col("dist").alias("d"))
+    near = nearest(points, k).join(shuffled(sizes), "graph_id").filter(F.col("rank") <= others).select("graph_id", "node_id", F.col("dist").alias("d"))
     both = near.unionByName(points.select("graph_id", "node_id", F.lit(0.0).alias("d")))
     return both.groupBy("graph_id", "node_id").agg(F.avg("d").alias("mean_crowd"), F.stddev_pop("d").alias("std_crowd"))
 

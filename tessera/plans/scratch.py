@@ -1,4 +1,4 @@
-"""Tables in the cluster's shared folder, to cut the lineage of iterative plans."""
+"""Tables in the cluster's shared folder, to cut the lineage of iterative plans, and joins of tables that only shuffles can hold."""
 
 from __future__ import annotations
 
@@ -55,6 +55,11 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that shuffles. Spark takes a table's size from its files, not from the rows that arrays and packed columns become, and would send such a side whole through the driver."""
+    return df.hint("merge")
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Removes tables made by `cut` that nothing reads any more; other frames are left alone."""
     for t in tables:
