@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.operators.flood import watershed_tiles
 from tessera.operators.raster import AT, min_max, reflect_index
 from tessera.operators.tissue import fill_holes, remove_small
-from tessera.plans.scratch import cut, drop
+from tessera.plans.scratch import cut, drop, shuffled
 
 #: The rows of an ellipse of 5 x 5 as half-widths.
 ELLIPSE = (0, 2, 2, 2, 0)
@@ -27,20 +27,24 @@ def derivative_kernels(size: int) -> tuple[list[float], list[float]]:
     return smooth, [(less[k - 1] if k else 0.0) - (less[k] if k < size - 1 else 0.0) for k in range(size)]
 
 
-def separable(px: DataFrame, down: list[float], along: list[float], height: int, width: int) -> DataFrame:
-    """px(image_id, y, x, v), dense: correlation with down over y and along over x, mirrored at the edges (which are not repeated)."""
+def separable(px: DataFrame, down: list[float], along: list[float], height: int, width: int, gaps: bool = False) -> DataFrame:
+    """px(image_id, y, x, v): correlation with down over y and along over x, mirrored at the edges (which are not repeated). A missing pixel weighs nothing, and has a row of its own only with gaps.
+
+    Every pixel goes to the targets that it weighs in, by a table of the side's length times the weights; sums are partial before the shuffle.
+    """
     for axis, weights, size in (("y", down, height), ("x", along, width)):
         other = "x" if axis == "y" else "y"
-        taps = px.select("image_id", other, F.col(axis).alias("t"), F.posexplode(F.array(*map(F.lit, weights))).alias("k", "w"))
-        at = taps.select("image_id", other, "t", "w", reflect_index(F.col("t") + F.col("k") - len(weights) // 2, size).cast("int").alias(axis))
-        px = at.join(px.select("image_id", "y", "x", "v"), ["image_id", other, axis]).groupBy("image_id", other, F.col("t").alias(axis)).agg(F.sum(F.col("w") * F.col("v")).alias("v")).select(*AT, "v")
+        taps = px.sparkSession.range(size).select(F.col("id").cast("int").alias("_t"), F.posexplode(F.array(*map(F.lit, weights))).alias("_k", "_w"))
+        taps = taps.select("_t", "_w", (F.col("_k") == len(weights) // 2).alias("_own"), reflect_index(F.col("_t") + F.col("_k") - len(weights) // 2, size).cast("int").alias(axis))
+        met = px.select("image_id", "y", "x", "v").join(F.broadcast(taps), axis).groupBy("image_id", other, F.col("_t").alias(axis)).agg(F.sum(F.col("_w") * F.col("v")).alias("v"), F.max("_own").alias("_own"))
+        px = (met if gaps else met.filter("_own")).select(*AT, "v")
     return px
 
 
-def sobel(px: DataFrame, height: int, width: int, size: int = 21) -> tuple[DataFrame, DataFrame]:
+def sobel(px: DataFrame, height: int, width: int, size: int = 21, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """Derivatives of v along x and along y."""
     smooth, slope = derivative_kernels(size)
-    return separable(px, smooth, slope, height, width), separable(px, slope, smooth, height, width)
+    return separable(px, smooth, slope, height, width, gaps), separable(px, slope, smooth, height, width, gaps)
 
 
 def opening(mask: DataFrame, height: int, width: int, rows: tuple[int, ...] = ELLIPSE) -> DataFrame:
@@ -63,13 +67,13 @@ def instances(maps: DataFrame, height: int, width: int, least: int = 10, tile: i
     for column, part in (("h", 0), ("v", 1)):
         spread = min_max(maps.select(*AT, column), column).select(*AT, F.col(column).alias("v"))
         edges.append(min_max(sobel(spread, height, width)[part], "v").select(*AT, (1 - F.col("v")).alias(f"e{part}")))
-    both = edges[0].join(edges[1], AT).join(mask.withColumn("in", F.lit(1)), AT, "left")
+    both = edges[0].join(shuffled(edges[1]), AT).join(shuffled(mask.withColumn("in", F.lit(1))), AT, "left")
     both = cut(both.select(*AT, F.coalesce("in", F.lit(0)).alias("in"), F.greatest(F.greatest("e0", "e1") - (1 - F.coalesce("in", F.lit(0))), F.lit(0.0)).alias("ridge")), "ridges")
     depth = separable(both.select(*AT, ((1 - F.col("ridge")) * F.col("in")).alias("v")), [0.25, 0.5, 0.25], [0.25, 0.5, 0.25], height, width).select(*AT, (-F.col("v")).alias("v"))
     seeds = opening(fill_holes(both.filter((F.col("in") == 1) & (F.col("ridge") < 0.5)).select(*AT), height, width), height, width)
     marked = remove_small(seeds, width, least)
     named = marked.select("image_id", "component").distinct().withColumn("label", F.row_number().over(W.partitionBy("image_id").orderBy("component")))
-    return watershed_tiles(depth, marked.join(named, ["image_id", "component"]).select(*AT, "label"), mask, tile)
+    return watershed_tiles(depth, marked.join(shuffled(named), ["image_id", "component"]).select(*AT, "label"), mask, tile)
 
 
 #: A window's side, and that of its inner square, which is what a model gives back.
@@ -83,7 +87,7 @@ def predicted(px: DataFrame, model: Callable[[np.ndarray], np.ndarray], height:
     A task's group is `batch` windows beside one another.
     """
     if tissue is not None:
-        px = px.join(tissue.select(*AT, F.lit(True).alias("in")), AT, "left").select(*AT, *[F.when(F.col("in"), F.col(c)).otherwise(255).alias(c) for c in "rgb"])
+        px = px.join(shuffled(tissue.select(*AT, F.lit(True).alias("in"))), AT, "left").select(*AT, *[F.when(F.col("in"), F.col(c)).otherwise(255).alias(c) for c in "rgb"])
     edge = (WINDOW - CORE) // 2
 
     def axis(name: str, size: int) -> DataFrame:

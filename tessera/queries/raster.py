@@ -213,7 +213,7 @@ def tissue_fraction(spark, sf):
 def patch_mean_embedding(spark, sf):
     # A patch's embedding is the mean of two channels here; any vector function of a patch takes its place.
     at = _inst(spark, sf).select("image_id", "label", "px", "py", F.explode(F.sequence(F.col("px") - 4, F.col("px") + 3)).alias("x")).withColumn("y", F.explode(F.sequence(F.col("py") - 4, F.col("py") + 3)))
-    e = at.join(X.pixels(spark, sf), P.AT).groupBy("image_id", "label", "px", "py").agg(F.avg("r").alias("m"), F.avg("g").alias("k"))
+    e = at.join(shuffled(X.pixels(spark, sf)), P.AT).groupBy("image_id", "label", "px", "py").agg(F.avg("r").alias("m"), F.avg("g").alias("k"))
     return e.groupBy("image_id", "label").agg(F.round(F.avg("m"), 9).alias("f0"), F.round(F.avg("k"), 9).alias("f1"))
 
 
@@ -238,7 +238,7 @@ _SOB = {"gx": [(-1, -1, -1), (0, -1, -2), (1, -1, -1), (-1, 1, 1), (0, 1, 2), (1
 
 @query(f"WITH {PX}, n AS (SELECT image_id, y + dy AS y, x + dx AS x, dy, dx, r FROM px JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON TRUE JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON TRUE WHERE dy <> 0 OR dx <> 0) SELECT image_id, y, x, CAST(sum(-dx * (2 - abs(dy)) * r) AS BIGINT) AS gx, CAST(sum(-dy * (2 - abs(dx)) * r) AS BIGINT) AS gy FROM n WHERE y BETWEEN 1 AND {H - 2} AND x BETWEEN 1 AND {Wd - 2} GROUP BY 1, 2, 3")
 def sobel(spark, sf):
-    return P.sobel(X.pixels(spark, sf).select(*P.AT, F.col("r").alias("v")))
+    return P.sobel(X.pixels(spark, sf).select(*P.AT, F.col("r").alias("v")), H, Wd)
 
 
 @query(f"WITH {PX}, s AS (SELECT greatest((ty + 0.5::DOUBLE) * {H} / 60 - 0.5, 0) AS sy, CAST(ty AS INT) AS ty FROM (SELECT unnest(range(60)) AS ty)), q AS (SELECT greatest((tx + 0.5::DOUBLE) * {Wd} / 100 - 0.5, 0) AS sx, CAST(tx AS INT) AS tx FROM (SELECT unnest(range(100)) AS tx)), c AS (SELECT ty, tx, least(floor(sy) + dy, {H - 1}) AS y, least(floor(sx) + dx, {Wd - 1}) AS x, CASE WHEN dy = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END * CASE WHEN dx = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END AS w FROM s JOIN q ON TRUE JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) ON TRUE) SELECT image_id, ty AS y, tx AS x, round(sum(w * r), 6) AS v FROM c JOIN px USING (y, x) GROUP BY 1, 2, 3")
@@ -266,7 +266,7 @@ def dilate(spark, sf):
 
 @query(f"WITH {PX}, {_BR}, {_DIL} SELECT image_id, c.y, c.x FROM (SELECT image_id, y, x FROM px) c WHERE NOT EXISTS (SELECT 1 FROM px o WHERE o.image_id = c.image_id AND abs(o.y - c.y) <= 2 AND abs(o.x - c.x) <= 2 AND (o.image_id, o.y, o.x) NOT IN (SELECT image_id, y, x FROM di))")
 def closing(spark, sf):
-    return P.erode(P.dilate(_bright(spark, sf), 5, H, Wd), 5, H, Wd)
+    return P.erode(P.dilate(_bright(spark, sf), 5, H, Wd), 5, H, Wd, X.pixels(spark, sf))
 
 
 @query(f"WITH {PX}, {LAB}, l0 AS (SELECT image_id, y, x, CASE WHEN r >= 128 THEN label ELSE 0 END AS label FROM lab) SELECT DISTINCT a.image_id, a.y, a.x, a.label FROM l0 a JOIN l0 b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)) WHERE a.label <> b.label")
@@ -402,7 +402,7 @@ def nuclei_extraction(spark, sf):
     code = lambda c, lo, by: F.greatest(F.lit(0), F.least(F.lit(255), F.round((F.col(c) - lo) / by * 255))).cast("int")
     px = maps.select(*P.AT, code("p", 0, 1).alias("r"), code("h", -1, 2).alias("g"), code("v", -1, 2).alias("b"))
     found, places = C.extract(px, decoded, H, Wd, tile=64)
-    return found.groupBy("image_id", "label").agg(F.count("*").alias("area")).join(places, ["image_id", "label"])
+    return found.groupBy("image_id", "label").agg(F.count("*").alias("area")).join(shuffled(places), ["image_id", "label"])
 
 
 _SOB21 = """k AS (SELECT k, s, coalesce(lag(c) OVER (ORDER BY k), 0) - CASE WHEN k = 20 THEN 0 ELSE c END AS d FROM (SELECT k, factorial(20)::DOUBLE / factorial(k::INT) / factorial(20 - k::INT) AS s, CASE WHEN k < 20 THEN factorial(19)::DOUBLE / factorial(k::INT) / factorial(19 - k::INT) END AS c FROM range(21) t(k)))"""
@@ -411,4 +411,4 @@ _SOB21 = """k AS (SELECT k, s, coalesce(lag(c) OVER (ORDER BY k), 0) - CASE WHEN
 @query(f"WITH {PX}, {_SOB21}, a AS (SELECT image_id, t.y, px.x, sum(s * r) AS v FROM (SELECT y::INT AS y, k, CASE WHEN abs(y + k - 10) >= {H} THEN {2 * (H - 1)} - abs(y + k - 10) ELSE abs(y + k - 10) END AS sy, s FROM range({H}) t(y), k) t JOIN px ON px.y = sy GROUP BY 1, 2, 3), b AS (SELECT image_id, a.y, t.x, sum(d * v) AS v FROM (SELECT x::INT AS x, CASE WHEN abs(x + k - 10) >= {Wd} THEN {2 * (Wd - 1)} - abs(x + k - 10) ELSE abs(x + k - 10) END AS sx, d FROM range({Wd}) t(x), k) t JOIN a ON a.x = sx GROUP BY 1, 2, 3) SELECT image_id, y, x, round(v / 1e9, 3) AS gx FROM b")
 def sobel_21(spark, sf):
     px = X.pixels(spark, sf).select(*P.AT, F.col("r").cast("double").alias("v"))
-    return C.sobel(px, H, Wd)[0].select(*P.AT, F.round(F.col("v") / 1e9, 3).alias("gx"))
+    return C.sobel(px, H, Wd, gaps=True)[0].select(*P.AT, F.round(F.col("v") / 1e9, 3).alias("gx"))
