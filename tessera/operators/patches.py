@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import shuffled
+
 Embedding = Callable[[np.ndarray], np.ndarray]
 
 #: Channel means and deviations of the usual normaliser.
@@ -33,10 +35,10 @@ def patch_pixels(corners: DataFrame, px: DataFrame, patch: int, fill: int = 255,
     # Sines and cosines that are nearly 0 or 1 would round places off by one at right angles.
     cos, sin = round(float(np.cos(angle)), 12), round(float(np.sin(angle)), 12)
     at = at.withColumn("y", (F.col("top") + F.rint(cos * y + sin * x + c)).cast("int")).withColumn("x", (F.col("left") + F.rint(-sin * y + cos * x + c)).cast("int"))
-    met = at.join(px.select("image_id", "y", "x", "r", "g", "b"), ["image_id", "y", "x"], "left")
+    met = at.join(shuffled(px.select("image_id", "y", "x", "r", "g", "b")), ["image_id", "y", "x"], "left")
     keep = F.lit(True)
     if only is not None:
-        met = met.join(only.select("image_id", "y", "x", F.col("label").alias("_there")), ["image_id", "y", "x"], "left")
+        met = met.join(shuffled(only.select("image_id", "y", "x", F.col("label").alias("_there"))), ["image_id", "y", "x"], "left")
         keep = F.coalesce(F.col("_there") == F.col("label"), F.lit(False))
     value = [F.coalesce(F.when(keep, F.col(c)), F.lit(fill)).cast("int").alias(c) for c in "rgb"]
     place = (F.col("_ty") * patch + F.col("_tx")).cast("int").alias("at")
@@ -133,7 +135,7 @@ def masked_grid_features(images: DataFrame, px: DataFrame, mask: DataFrame, patc
     corners = grid_corners(images, patch, stride)
     span = lambda c: F.explode(F.sequence(F.greatest(F.col(c), F.lit(0)), F.col(c) + patch - 1))
     cells = corners.withColumn("y", span("top")).withColumn("x", span("left")).select("image_id", "row", "col", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
-    share = cells.join(mask.select("image_id", "y", "x"), ["image_id", "y", "x"]).groupBy("image_id", "row", "col").agg((F.count("*") / float(patch * patch)).alias("fraction"))
+    share = cells.join(shuffled(mask.select("image_id", "y", "x")), ["image_id", "y", "x"]).groupBy("image_id", "row", "col").agg((F.count("*") / float(patch * patch)).alias("fraction"))
     feats = embed(patch_pixels(corners, px, patch).drop("top", "left"), patch, fn, **how)
     out = feats.join(share, ["image_id", "row", "col"], "left").withColumn("fraction", F.coalesce("fraction", F.lit(0.0)))
     return out.withColumn("is_valid", F.col("fraction") >= least)
