@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut
+from tessera.plans.scratch import cut, shuffled
 
 from .graph import knn_graph, offsets, region_adjacency
 from .regions import majority_class
@@ -25,12 +25,12 @@ def _named(nodes: DataFrame, values: DataFrame, what: str) -> DataFrame:
 
 def build(
     label_map: DataFrame, features: DataFrame, annotation: DataFrame | None = None, topology: str = "rag", k: int = 5, thresh: float | None = None, kernel: int = 3,
-    classes: int = 5, background: int | None = None, location: bool = False,
+    classes: int = 5, background: int | None = None, location: bool = False, size: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes (graph_id, node_id, label, x, y, feat[, cls]) and edges (graph_id, src, dst[, dist]) of label_map(image_id, y, x, label), 0 where there is no region.
 
     features: (image_id, label, feat), one row a region. annotation: (image_id, y, x, cls), of which a node takes the commonest class other than the background, or (image_id, label, cls), one row a region.
-    topology: rag joins regions that touch within the kernel, knn the k nearest centres up to thresh. location: the centre over the image's width and height is added to the features.
+    topology: rag joins regions that touch within the kernel, knn the k nearest centres up to thresh. location: the centre over the image's width and height is added to the features; these are `size` (height, width), or where the label map ends.
     Nodes are numbered from 0 by label. Classes outside 0 to classes - 1 are an error.
     """
     if topology not in ("rag", "knn"):
@@ -40,13 +40,14 @@ def build(
     full = _named(nodes, features.select(*KEY, "feat"), "features")
     if location:
         sizes = label_map.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
-        full = full.join(sizes, "image_id").withColumn("feat", F.concat("feat", F.array(F.col("x") / F.col("_w"), F.col("y") / F.col("_h")))).drop("_w", "_h")
+        full = full.join(sizes, "image_id") if size is None else full.withColumns({"_h": F.lit(size[0]), "_w": F.lit(size[1])})
+        full = full.withColumn("feat", F.concat("feat", F.array(F.col("x") / F.col("_w"), F.col("y") / F.col("_h")))).drop("_w", "_h")
     if annotation is not None:
         beyond = annotation.filter(~F.col("cls").between(0, classes - 1)).first()
         if beyond is not None:
             raise ValueError(f"image {beyond.image_id}: class {beyond.cls} of {classes}")
         if "label" not in annotation.columns:
-            there = label_map.join(annotation.select("image_id", "y", "x", "cls"), ["image_id", "y", "x"])
+            there = label_map.join(shuffled(annotation.select("image_id", "y", "x", "cls")), ["image_id", "y", "x"])
             annotation = majority_class(there, -1 if background is None else background)
         full = _named(full, annotation.select(*KEY, "cls"), "labels")
     full = full.select(F.col("image_id").alias("graph_id"), "node_id", "label", "x", "y", "feat", *(["cls"] if annotation is not None else []))

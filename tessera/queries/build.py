@@ -34,7 +34,7 @@ def _tables(spark, sf):
     f" round(round_even(x, 0) / {Wd}, 6) AS f3, round(round_even(y, 0) / {H}, 6) AS f4, coalesce(cls, {X.BACKGROUND}) AS cls FROM cen LEFT JOIN maj USING (image_id, label)"
 )
 def graph_builder_nodes(spark, sf):
-    nodes, _ = B.build(*_tables(spark, sf), classes=X.CLASSES, background=X.BACKGROUND, location=True)
+    nodes, _ = B.build(*_tables(spark, sf), classes=X.CLASSES, background=X.BACKGROUND, location=True, size=(H, Wd))
     return nodes.select("graph_id", "node_id", "label", "x", "y", *[F.round(F.col("feat")[k], 6).alias(f"f{k}") for k in range(5)], "cls")
 
 
