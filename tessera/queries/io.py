@@ -19,15 +19,15 @@ _GRAY = "(r * 4899 + g * 9617 + b * 1868 + 8192) >> 14"
 @query(f"WITH {PX} SELECT CAST(image_id AS VARCHAR) AS image_id, y, x, r, g, b FROM px")
 def image_scan(spark, sf):
     folder = shared_path(spark, "images")
-    images.write_png(X.pixels(spark, sf), folder).count()
-    return images.scan(spark, folder)
+    images.write_png(X.pixels(spark, sf), folder, gaps=True).count()
+    return images.scan(spark, folder, clear=False)
 
 
 @query(f"WITH {PX} SELECT CAST(image_id AS VARCHAR) AS image_id, y, x, CAST(r >= 128 AS INT) AS m FROM px")
 def mask_sink(spark, sf):
     folder = shared_path(spark, "masks")
-    images.write_png(X.pixels(spark, sf).withColumn("m", (F.col("r") >= 128).cast("int")), folder, ("m",)).count()
-    return images.scan(spark, folder).select("image_id", "y", "x", F.col("r").alias("m"))
+    images.write_png(X.pixels(spark, sf).withColumn("m", (F.col("r") >= 128).cast("int")), folder, ("m",), gaps=True).count()
+    return images.scan(spark, folder, clear=False).select("image_id", "y", "x", F.col("r").alias("m"))
 
 
 @query(f"WITH {PX} SELECT image_id, y, x, CAST({_GRAY} AS INT) AS v FROM px")

@@ -23,10 +23,10 @@ def file_name(path):
     return F.regexp_replace(F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1), r"\.[^.]*$", "")
 
 
-def scan(spark: SparkSession, paths: str | list[str], drop_invalid: bool = False) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], drop_invalid: bool = False, clear: bool = True) -> DataFrame:
     """PIXELS of every image file (PNG, JPEG, BMP, GIF) under the paths, decoded by Spark; image_id is the file's name.
 
-    A missing path raises Spark's error; a file that is no image raises unless drop_invalid is set. Gray images give three equal channels, an alpha channel is left out.
+    A missing path raises Spark's error; a file that is no image raises unless drop_invalid is set. Gray images give three equal channels, an alpha channel is left out; without clear, pixels of alpha 0 have no row.
     """
     raw = spark.read.format("image").option("dropInvalid", "true").load(paths).select("image.*")
     if not drop_invalid:
@@ -46,6 +46,9 @@ def scan(spark: SparkSession, paths: str | list[str], drop_invalid: bool = False
                 for top in range(0, h, step):
                     part = rgb[top : top + step].reshape(-1, 3).astype(np.int32)
                     y, x = np.divmod(np.arange(len(part), dtype=np.int32), w)
+                    if c == 4 and not clear:
+                        there = data[top : top + step, :, 3].ravel() > 0
+                        part, y, x = part[there], y[there], x[there]
                     columns = [pa.array([r["image_id"]] * len(part)), pa.array((y + top).astype(np.int32)), pa.array(x.astype(np.int32)), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(3))]
                     yield pa.RecordBatch.from_arrays(columns, names=["image_id", "y", "x", "r", "g", "b"])
 
@@ -131,29 +134,33 @@ def scan_strips(spark: SparkSession, paths: str | list[str], rows: int = 64) ->
 
 
 def png(values: np.ndarray) -> bytes:
-    """An 8-bit PNG of values (h, w) or (h, w, 3)."""
+    """An 8-bit PNG of values (h, w), (h, w, 3) or, with alpha, (h, w, 4)."""
     h, w = values.shape[:2]
     lines = np.hstack([np.zeros((h, 1), np.uint8), values.astype(np.uint8).reshape(h, -1)])
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if values.ndim == 3 else 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if values.ndim == 2 else 2 if values.shape[2] == 3 else 6, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def write_png(pixels: DataFrame, folder: str, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+def write_png(pixels: DataFrame, folder: str, channels: tuple[str, ...] = ("r", "g", "b"), gaps: bool = False) -> DataFrame:
     """One PNG file an image in a folder of the shared store: image_id and path. channels: three of them, or one for masks and gray images.
 
-    A file is one image, so an image meets in one task; pixels that are missing are 0. Files are written under their final name at once, so a retried task writes the same file again.
+    A file is one image, so an image meets in one task; pixels that are missing are 0; with gaps they are of alpha 0, in images that have such (these have three channels and alpha). Files are written under their final name at once, so a retried task writes the same file again.
     """
 
     def run(table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
         out = np.zeros((y.max() + 1, x.max() + 1, len(channels)), np.uint8)
         out[y, x] = np.stack([table.column(c).to_numpy() for c in channels], 1)
+        if gaps and len(np.unique(y.astype(np.int64) * out.shape[1] + x)) < out.shape[0] * out.shape[1]:
+            alpha = np.zeros((*out.shape[:2], 1), np.uint8)
+            alpha[y, x] = 255
+            out = np.concatenate([np.repeat(out, 3, 2) if len(channels) == 1 else out, alpha], 2)
         name = str(table.column("image_id")[0].as_py())
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/{name}.png", compression=None) as f:
-            f.write(png(out[..., 0] if len(channels) == 1 else out))
+            f.write(png(out[..., 0] if out.shape[2] == 1 else out))
         return pa.table({"image_id": [name], "path": [f"{root}/{name}.png"]})
 
     return pixels.select("image_id", "y", "x", *channels).groupBy("image_id").applyInArrow(run, "image_id string, path string")
