@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut, drop
+from tessera.plans.scratch import cut, drop, shuffled
 
 from .raster import AT
 
@@ -72,11 +72,11 @@ def watershed_tiles(px: DataFrame, markers: DataFrame, mask: DataFrame | None =
     plays no part. Pixels without a value and those that no marker reaches have no row; a pixel marked twice has its smallest label; values count as doubles.
     """
     if mask is not None:
-        px = px.join(mask.select(*AT).distinct(), AT, "left_semi")
+        px = px.join(shuffled(mask.select(*AT).distinct()), AT, "left_semi")
     marks = markers.groupBy(*AT).agg(F.min("label").alias("mark"))
     tiles = [F.floor(F.col(c) / tile).cast("int").alias(n) for c, n in (("y", "ty"), ("x", "tx"))]
     at = [F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")]
-    base = cut(px.filter(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))).join(marks, AT, "left").select("image_id", *tiles, *at, F.col("v").cast("double").alias("v"), "mark"), "tiles")
+    base = cut(px.filter(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))).join(shuffled(marks), AT, "left").select("image_id", *tiles, *at, F.col("v").cast("double").alias("v"), "mark"), "tiles")
     kind = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     schema = f"image_id {kind['image_id']}, ty int, tx int, y int, x int, pass double, steps long, label {kind['mark']}"
     flooded = lambda rows, around, whole: rows.groupBy(*TILE).cogroup(around.groupBy(*TILE)).applyInArrow(_flood(tile, whole), schema)
@@ -86,14 +86,14 @@ def watershed_tiles(px: DataFrame, markers: DataFrame, mask: DataFrame | None =
     known = cut(flooded(base, base.sparkSession.createDataFrame([], schema), False), "borders")
     changed = known
     while True:
-        open_ = cut(seen(changed).select(*TILE).distinct().join(base.select(*TILE).distinct(), TILE, "left_semi"), "open")
+        open_ = cut(seen(changed).select(*TILE).distinct().join(shuffled(base.select(*TILE).distinct()), TILE, "left_semi"), "open")
         if changed is not known:
             drop(changed)
         if open_.isEmpty():
             break
-        new = cut(flooded(base.join(open_, TILE, "left_semi"), seen(known).join(open_, TILE, "left_semi"), False), "borders")
+        new = cut(flooded(base.join(shuffled(open_), TILE, "left_semi"), seen(known).join(shuffled(open_), TILE, "left_semi"), False), "borders")
         changed = cut(new.exceptAll(known), "changed")
-        after = cut(known.join(open_, TILE, "left_anti").unionByName(new), "borders")
+        after = cut(known.join(shuffled(open_), TILE, "left_anti").unionByName(new), "borders")
         drop(open_, known, new)
         known = after
     drop(open_)

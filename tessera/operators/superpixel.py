@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut, drop
+from tessera.plans.scratch import cut, drop, shuffled
 
 from .graph import connectivity, region_adjacency
 from .raster import cie_lab, gaussian_blur, hed, resample
@@ -34,17 +34,17 @@ def connected(lab: DataFrame, width: int, least: int) -> DataFrame:
     small = own.groupBy("image_id", "component").agg((F.count("*") < least).alias("small"))
     left = own.select("image_id", "y", (F.col("x") + 1).alias("x"), F.col("component").alias("left"))
     above = own.select("image_id", (F.col("y") + 1).alias("y"), "x", F.col("component").alias("above"))
-    first = own.filter(F.col("component") == F.col("y").cast("long") * width + F.col("x")).join(small, ["image_id", "component"])
-    first = first.join(left, ["image_id", "y", "x"], "left").join(above, ["image_id", "y", "x"], "left")
+    first = own.filter(F.col("component") == F.col("y").cast("long") * width + F.col("x")).join(shuffled(small), ["image_id", "component"])
+    first = first.join(shuffled(left), ["image_id", "y", "x"], "left").join(shuffled(above), ["image_id", "y", "x"], "left")
     to = cut(first.select("image_id", "component", F.when(F.col("small"), F.coalesce("left", "above", "component")).otherwise(F.col("component")).alias("to")), "joins")
     while True:
         jump = to.select("image_id", F.col("component").alias("to"), F.col("to").alias("next"))
-        after = cut(to.join(jump, ["image_id", "to"]).select("image_id", "component", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "joins")
+        after = cut(to.join(shuffled(jump), ["image_id", "to"]).select("image_id", "component", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "joins")
         to = after.select("image_id", "component", "to")
         if after.filter("moved").isEmpty():
             break
     named = to.select("image_id", "to").distinct().withColumn("label", F.row_number().over(W.partitionBy("image_id").orderBy("to")))
-    return own.join(to.join(named, ["image_id", "to"]), ["image_id", "component"]).select("image_id", "y", "x", "label")
+    return own.join(shuffled(to.join(shuffled(named), ["image_id", "to"])), ["image_id", "component"]).select("image_id", "y", "x", "label")
 
 
 def clustered(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0, color_space: str = "rgb") -> DataFrame:
@@ -111,19 +111,19 @@ def superpixels(
     h, w = -(-height // factor), -(-width // factor)
     small = px.select("image_id", "y", "x", "r", "g", "b") if factor == 1 else resample(px.select("image_id", "y", "x", "r", "g", "b"), height, width, h, w)
     first = cut(slic(small, h, w, grid_step(h, w, number, size, most), **how), "initial")
-    lab = first.join(small, ["image_id", "y", "x"])
+    lab = first.join(shuffled(small), ["image_id", "y", "x"])
     own = lab.withColumn("label", F.col("label").cast("int"))
     if tissue is not None:
         mask = tissue.select("image_id", "y", "x", F.lit(1).alias("_in"))
         if factor > 1:
-            dense = px.select("image_id", "y", "x").join(mask, ["image_id", "y", "x"], "left")
+            dense = px.select("image_id", "y", "x").join(shuffled(mask), ["image_id", "y", "x"], "left")
             mask = resample(dense, height, width, h, w)
-        own = own.join(mask, ["image_id", "y", "x"], "left")
+        own = own.join(shuffled(mask), ["image_id", "y", "x"], "left")
         kept = tissue_filter(own, F.coalesce("_in", F.lit(0)) == 1)
-        own = own.join(kept, KEY).select("image_id", "y", "x", F.col("new_label").cast("int").alias("label"), "r", "g", "b")
+        own = own.join(shuffled(kept), KEY).select("image_id", "y", "x", F.col("new_label").cast("int").alias("label"), "r", "g", "b")
     own = cut(own.select("image_id", "y", "x", "label", "r", "g", "b"), "tissue")
-    merged = own.join(merge(own, thresh, w_hist, w_mean, legacy), KEY).select("image_id", "y", "x", "merged")
-    both = first.select("image_id", "y", "x", F.col("label").alias("initial")).join(merged, ["image_id", "y", "x"], "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
+    merged = own.join(shuffled(merge(own, thresh, w_hist, w_mean, legacy)), KEY).select("image_id", "y", "x", "merged")
+    both = first.select("image_id", "y", "x", F.col("label").alias("initial")).join(shuffled(merged), ["image_id", "y", "x"], "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
     out = both if factor == 1 else resample(both, h, w, height, width)
     out = cut(out, "superpixels")
     drop(first, own)
@@ -160,7 +160,7 @@ def rag_weights(lab: DataFrame, w_hist: float = 0.5, w_mean: float = 0.5, neighb
     s = color_stats(lab)
     side = lambda p, key: s.select("image_id", F.col("label").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in s.columns if c not in KEY])
     e = region_adjacency(lab, connectivity(neighbours)).filter("src < dst")
-    return e.join(side("a", "src"), ["image_id", "src"]).join(side("b", "dst"), ["image_id", "dst"]).select("image_id", "src", "dst", _weight(w_hist, w_mean, legacy).alias("w"))
+    return e.join(shuffled(side("a", "src")), ["image_id", "src"]).join(shuffled(side("b", "dst")), ["image_id", "dst"]).select("image_id", "src", "dst", _weight(w_hist, w_mean, legacy).alias("w"))
 
 
 def tissue_filter(lab: DataFrame, mask: Column, least: float = 0.1) -> DataFrame:

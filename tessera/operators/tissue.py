@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import cut, drop
+from tessera.plans.scratch import cut, drop, shuffled
 
 from .graph import components, largest_component
 from .raster import AT, dilate, gaussian_blur, gray, gray_bgr_inverted, otsu, otsu_binned
@@ -26,25 +26,25 @@ def pixel_components(mask: DataFrame, width: int) -> DataFrame:
     starts = F.when(F.lag("x").over(w) == F.col("x") - 1, None).otherwise(F.col("y").cast("long") * width + F.col("x"))
     own = cut(mask.select(*AT, starts.alias("s")).select(*AT, F.last("s", ignorenulls=True).over(w).alias("node_id")), "runs")
     below = own.select("image_id", (F.col("y") + 1).alias("y"), "x", F.col("node_id").alias("dst"))
-    edges = own.select(*AT, F.col("node_id").alias("src")).join(below, AT).select("image_id", "src", "dst").distinct()
+    edges = own.select(*AT, F.col("node_id").alias("src")).join(shuffled(below), AT).select("image_id", "src", "dst").distinct()
     named = components(own.select("image_id", "node_id").distinct(), edges, "image_id")
-    return own.join(named, ["image_id", "node_id"]).select(*AT, "component")
+    return own.join(shuffled(named), ["image_id", "node_id"]).select(*AT, "component")
 
 
 def remove_small(mask: DataFrame, width: int, least: int) -> DataFrame:
     """The pixels of components of at least so many, with their component."""
     own = cut(pixel_components(mask, width), "named")
     large = own.groupBy("image_id", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return own.join(large.select("image_id", "component"), ["image_id", "component"], "left_semi").select(*AT, "component")
+    return own.join(shuffled(large.select("image_id", "component")), ["image_id", "component"], "left_semi").select(*AT, "component")
 
 
 def fill_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
     """The mask with background that cannot reach the edge of the image (by side steps) added."""
     grid = mask.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    outside = pixel_components(grid.join(mask.withColumn("y", F.col("y").cast("int")).withColumn("x", F.col("x").cast("int")), AT, "left_anti"), width)
+    outside = pixel_components(grid.join(shuffled(mask.withColumn("y", F.col("y").cast("int")).withColumn("x", F.col("x").cast("int"))), AT, "left_anti"), width)
     edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
     open_ = outside.filter(edge).select("image_id", "component").distinct()
-    return mask.select(*AT).unionByName(outside.join(open_, ["image_id", "component"], "left_anti").select(*AT))
+    return mask.select(*AT).unionByName(outside.join(shuffled(open_), ["image_id", "component"], "left_anti").select(*AT))
 
 
 def tissue_step(px: DataFrame, height: int, width: int, sigma: float, min_size: int, steps: int = 1) -> DataFrame:
@@ -54,7 +54,7 @@ def tissue_step(px: DataFrame, height: int, width: int, sigma: float, min_size:
     """
     v = px.select(*AT, gray_bgr_inverted().cast("double").alias("v"))
     varied = v.groupBy("image_id").agg((F.min("v") < F.max("v")).alias("varied")).filter("varied")
-    v, before = v.join(varied.select("image_id"), "image_id", "left_semi"), None
+    v, before = v.join(shuffled(varied.select("image_id")), "image_id", "left_semi"), None
     for _ in range(steps):
         v = cut(gaussian_blur(v, sigma, height, width).select(*AT, "v") if sigma > 0 else v, "blur")
         drop(before)
@@ -62,7 +62,7 @@ def tissue_step(px: DataFrame, height: int, width: int, sigma: float, min_size:
         v = v.join(threshold, "image_id", "left").select(*AT, F.when(F.col("v") >= F.coalesce("threshold", F.lit(0)), F.col("v")).otherwise(0.0).alias("v"))
     named = cut(pixel_components(v.filter("v > 0").select(*AT), width), "named")
     best = largest_component(named.select("image_id", "component"), "image_id").filter(F.col("size") >= min_size)
-    return named.join(best.select("image_id", "component"), ["image_id", "component"]).select(*AT)
+    return named.join(shuffled(best.select("image_id", "component")), ["image_id", "component"]).select(*AT)
 
 
 def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float = 20.0, min_size: int = 10, kernel: int = 20, background: float = 228.0, steps: int = 1) -> DataFrame:
@@ -75,13 +75,13 @@ def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float =
     found = px.select(*AT).filter("false")
     while True:
         grown = dilate(tissue_step(open_, height, width, sigma, min_size, steps), kernel, height, width).select("image_id", F.col("y").cast("int"), F.col("x").cast("int"))
-        under = cut(open_.join(grown, AT).select(*AT, "own", "hit"), "under")
+        under = cut(open_.join(shuffled(grown), AT).select(*AT, "own", "hit"), "under")
         dark = under.groupBy("image_id").agg(F.avg(F.when(F.col("own") > 0, F.col("own"))).alias("light")).filter(F.col("light") < background)
-        new = cut(under.filter(~F.col("hit")).join(dark.select("image_id"), "image_id", "left_semi").select(*AT), "new")
+        new = cut(under.filter(~F.col("hit")).join(shuffled(dark.select("image_id")), "image_id", "left_semi").select(*AT), "new")
         if new.isEmpty():
             return found
         found = found.unionByName(new)
-        still = open_.join(new.select("image_id").distinct(), "image_id", "left_semi").join(new.withColumn("now", F.lit(True)), AT, "left")
+        still = open_.join(shuffled(new.select("image_id").distinct()), "image_id", "left_semi").join(shuffled(new.withColumn("now", F.lit(True))), AT, "left")
         white = lambda c: F.when(F.col("now"), 255).otherwise(F.col(c)).alias(c)
         open_ = cut(still.select(*AT, white("r"), white("g"), white("b"), "own", (F.col("hit") | F.col("now").isNotNull()).alias("hit")), "open")
 
@@ -118,8 +118,8 @@ def watershed(px: DataFrame, markers: DataFrame, height: int, width: int, mask:
     The order runs through the whole image, so an image is one group; a pixel marked twice has its smallest label.
     """
     if mask is not None:
-        px = px.join(mask.select(*AT).distinct(), AT, "left_semi")
+        px = px.join(shuffled(mask.select(*AT).distinct()), AT, "left_semi")
     marks = markers.groupBy(*AT).agg(F.min("label").alias("label"))
-    rows = px.filter(F.col("v").isNotNull()).select(*AT, "v").join(marks, AT, "left")
+    rows = px.filter(F.col("v").isNotNull()).select(*AT, "v").join(shuffled(marks), AT, "left")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.groupBy("image_id").applyInArrow(_flood(height, width), ", ".join(f"{c} {kinds[c]}" for c in (*AT, "label")))
