@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 from tessera.plans.scratch import cut, drop, shuffled
 
 from .graph import components, largest_component
-from .raster import AT, dilate, gaussian_blur, gray, gray_bgr_inverted, otsu, otsu_binned
+from .raster import AT, dilate, gaussian_blur, gray, gray_bgr_inverted, kernel as gaussian, otsu, otsu_binned
+
+#: Images of up to so many pixels are worked on in a task each, larger ones by jobs over their pixels.
+TASK_PIXELS = 1 << 20
 
 
 def pixel_components(mask: DataFrame, width: int) -> DataFrame:
@@ -69,8 +73,103 @@ def gaussian_tissue_mask(px: DataFrame, height: int, width: int, sigma: float =
     """Tissue found in rounds, each taking a component and whitening it, until what is found is as light as the background or adds no pixel.
 
     How light a component is, is the mean of its own gray before any whitening, black pixels aside.
-    Images that are done leave the loop; every round is a few jobs over the images still open.
+    Rounds follow one another, and each needs the whole image: images of up to TASK_PIXELS are a group each, spread over tasks, with all their rounds in one job. Larger ones go through `tissue_by_pixels`, some jobs a round.
     """
+    if height * width > TASK_PIXELS:
+        return tissue_by_pixels(px, height, width, sigma, min_size, kernel, background, steps)
+    rows = px.select(*AT, gray_bgr_inverted().alias("v"), gray().alias("own"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy("image_id").applyInArrow(_tissue(height, width, gaussian(sigma) if sigma > 0 else None, min_size, kernel, background, steps), ", ".join(f"{c} {kinds[c]}" for c in AT))
+
+
+def _blurred(v: np.ndarray, inside: np.ndarray, weights: list[float]) -> np.ndarray:
+    """As `gaussian_blur`: edges repeated; missing pixels are 0 before and after each pass."""
+    r, (h, w) = len(weights) // 2, v.shape
+    wide = np.pad(v, ((r, r), (0, 0)), "edge")
+    v = np.where(inside, sum(k * wide[i : i + h] for i, k in enumerate(weights)), 0.0)
+    wide = np.pad(v, ((0, 0), (r, r)), "edge")
+    return np.where(inside, sum(k * wide[:, i : i + w] for i, k in enumerate(weights)), 0.0)
+
+
+def _otsu(v: np.ndarray, binned: bool, bins: int = 256) -> float:
+    """As `otsu_binned` or `otsu`."""
+    some = v[v > 0]
+    if not some.size or some.min() == some.max():
+        return 0.0
+    lo, hi = some.min(), some.max()
+    t = (np.minimum(np.floor((some - lo) / (hi - lo) * bins), bins - 1) + 1 if binned else some).astype(int)
+    n = np.bincount(t)
+    n1, s1 = np.cumsum(n), np.cumsum(n * np.arange(len(n)))
+    at = np.flatnonzero((n > 0) & (n1 < n1[-1]))
+    if not at.size:
+        return 0.0
+    n1, s1, n, total = n1[at], s1[at], n1[-1], s1[-1]
+    gap = s1 / n1 - (total - s1) / (n - n1)
+    best = at[np.argmax(np.round(n1 * (n - n1) * gap * gap, 6))]
+    return lo + (best - 0.5) * (hi - lo) / bins if binned else float(best)
+
+
+def _largest(mask: np.ndarray) -> np.ndarray:
+    """The largest 4-connected component, ties to the one with the first pixel, by labels of runs as in `pixel_components`."""
+    first = mask.copy()
+    first[:, 1:] &= ~mask[:, :-1]
+    run = np.cumsum(first.ravel()).reshape(mask.shape) - 1
+    meet = mask[1:] & mask[:-1]
+    one, other = run[:-1][meet], run[1:][meet]
+    label = np.arange(first.sum())
+    while True:
+        low, least = label.copy(), np.minimum(label[one], label[other])
+        for side in (one, other):
+            # Also the label's own root sinks, so that long chains take few rounds.
+            np.minimum.at(low, label[side], least)
+            np.minimum.at(low, side, least)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    of = label[run[mask]]
+    out = np.zeros_like(mask)
+    if of.size:
+        out[mask] = of == np.bincount(of).argmax()
+    return out
+
+
+def _grown(mask: np.ndarray, size: int) -> np.ndarray:
+    """As `dilate`."""
+    (h, w), lo, hi = mask.shape, size // 2, size - 1 - size // 2
+    wide = np.pad(mask, ((lo, hi), (0, 0)))
+    mask = np.logical_or.reduce([wide[i : i + h] for i in range(size)])
+    wide = np.pad(mask, ((0, 0), (lo, hi)))
+    return np.logical_or.reduce([wide[:, i : i + w] for i in range(size)])
+
+
+def _tissue(height: int, width: int, weights: list[float] | None, min_size: int, kernel: int, background: float, steps: int):
+    def run(table: pa.Table) -> pa.Table:
+        at = tuple(table.column(c).to_numpy() for c in ("y", "x"))
+        v, own, inside, hit = (np.zeros((height, width), kind) for kind in (float, int, bool, bool))
+        inside[at] = True
+        v[at], own[at] = (pc.fill_null(table.column(c), 0).to_numpy() for c in ("v", "own"))
+        while v[inside].min() < v[inside].max():
+            left = v
+            for _ in range(steps):
+                left = _blurred(left, inside, weights) if weights else left
+                left = np.where(left >= _otsu(left, weights is not None), left, 0.0)
+            piece = _largest(left > 0)
+            if not piece.any() or piece.sum() < min_size:
+                break
+            under = _grown(piece, kernel) & inside
+            new, gray_ = under & ~hit, own[under & (own > 0)]
+            if not gray_.size or gray_.mean() >= background or not new.any():
+                break
+            hit |= new
+            v[new] = 0
+        return table.select(AT).filter(pa.array(hit[at]))
+
+    return run
+
+
+def tissue_by_pixels(px: DataFrame, height: int, width: int, sigma: float, min_size: int, kernel: int, background: float, steps: int) -> DataFrame:
+    """`gaussian_tissue_mask` of images of any size: images that are done leave the loop; every round is a few jobs over the images still open."""
     open_ = cut(px.select(*AT, "r", "g", "b", gray().alias("own"), F.lit(False).alias("hit")), "open")
     found = px.select(*AT).filter("false")
     while True:

@@ -88,6 +88,25 @@ def test_registered_tissue_mask_finds_mosaic_gray(spark, monkeypatch):
     assert sorted((r.y, r.x) for r in got) == sorted(map(tuple, np.argwhere(wanted).tolist()))
 
 
+def test_tissue_rounds_of_an_image_are_one_job(spark):
+    """Images with gaps, the second of one value and the third black: as by jobs over pixels, in jobs that do not grow with the rounds."""
+    rng = np.random.default_rng(6)
+    h, w = 14, 30
+    images = [np.full((h, w, 3), 255), np.full((h, w, 3), 77), np.zeros((h, w, 3), int)]
+    for k in range(2):
+        images[0][2:8, 2 + k * 14 : 12 + k * 13] = rng.integers(60, 190, (6, 10 - k, 3))
+    at = [(k, y, x, *map(int, images[k][y, x])) for k in range(3) for y in range(h) for x in range(w) if y < 10 or x < 24]
+    px = spark.createDataFrame(at, "image_id long, y int, x int, r int, g int, b int").cache()
+    spark.sparkContext.setJobGroup("tissue", "")
+    got = T.gaussian_tissue_mask(px, h, w, sigma=0.6, min_size=6, kernel=3)
+    rows = sorted(map(tuple, got.collect()))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("tissue")) <= 3
+    spark.sparkContext.setJobGroup("others", "")
+    assert got.schema.simpleString() == "struct<image_id:bigint,y:int,x:int>" and 0 < len(rows) < len(at)
+    assert rows == sorted(map(tuple, T.tissue_by_pixels(px, h, w, 0.6, 6, 3, 228.0, 1).collect()))
+    px.unpersist()
+
+
 def _flooded(v, marks, mask):
     """A priority flood by search of the whole front: lowest value first, then the one touched first."""
     label, front, touched = dict(marks), [(v[at], 0, at) for at in marks], 0
