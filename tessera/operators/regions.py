@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from math import pi, sqrt
+from math import ceil, floor, pi, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -148,13 +150,18 @@ def _pieces(rows: list[tuple[int, int, int]]) -> list[int]:
             k = up[k]
         return k
 
+    at = 0
     for k, (y, x0, x1) in enumerate(rows):
         if here and rows[here[0]][0] != y:
-            before, here = (here if rows[here[0]][0] == y - 1 else []), []
-        for b in before:
-            if rows[b][1] <= x1 + 1 and x0 <= rows[b][2] + 1:
-                one, other = sorted((top(k), top(b)))
-                up[other] = one
+            before, here, at = (here if rows[here[0]][0] == y - 1 else []), [], 0
+        # Both rows go from left to right: what ends before this run also ends before the next ones.
+        while at < len(before) and rows[before[at]][2] + 1 < x0:
+            at += 1
+        j = at
+        while j < len(before) and rows[before[j]][1] <= x1 + 1:
+            one, other = sorted((top(k), top(before[j])))
+            up[other] = one
+            j += 1
         here.append(k)
     return [top(k) for k in range(len(rows))]
 
@@ -163,17 +170,20 @@ def _outline(rows: list[tuple[int, int, int]]) -> tuple[float, int, int]:
     """Hull perimeter, pixels of the convex hull, pixels with holes filled, of sorted runs."""
     of = _pieces(rows)
     # The contour that is listed first: that of the piece which a scan from the top finds last.
-    first = [r for r, p in zip(rows, of) if p == max(of)]
+    last = max(of)
+    first = [r for r, p in zip(rows, of) if p == last]
     h = _hull([(x, y) for y, x0, x1 in first for x in (x0, x1)])
     perimeter = float(np.hypot(*(np.roll(h, -1, 0) - h).T).sum()) if len(h) else 0.0
     # The hull of the middles of the pixels' sides; a pixel counts if its centre is in it or on it.
     c = _hull([p for y, x0, x1 in rows for p in ((x0, y - 0.5), (x0, y + 0.5), (x1, y - 0.5), (x1, y + 0.5), (x0 - 0.5, y), (x1 + 0.5, y))])
-    n, convex = np.roll(c, -1, 0), 0
-    for y in range(rows[0][0], rows[-1][0] + 1):
-        (xa, ya), (xb, yb) = c.T, n.T
-        hit = (np.minimum(ya, yb) <= y) & (np.maximum(ya, yb) >= y) & (ya != yb)
-        x = xa[hit] + (y - ya[hit]) * (xb[hit] - xa[hit]) / (yb[hit] - ya[hit])
-        convex += int(np.floor(x.max() + 1e-9) - np.ceil(x.min() - 1e-9)) + 1
+    # Each side of the hull names the x of its rows; a row of pixels lies between the least and the largest.
+    low, high = [float("inf")] * (rows[-1][0] - rows[0][0] + 1), [float("-inf")] * (rows[-1][0] - rows[0][0] + 1)
+    corners = c.tolist()
+    for (xa, ya), (xb, yb) in zip(corners, corners[1:] + corners[:1]):
+        for y in range(ceil(min(ya, yb)), floor(max(ya, yb)) + 1) if ya != yb else ():
+            x, k = xa + (y - ya) * (xb - xa) / (yb - ya), y - rows[0][0]
+            low[k], high[k] = min(low[k], x), max(high[k], x)
+    convex = sum(floor(x1 + 1e-9) - ceil(x0 - 1e-9) + 1 for x0, x1 in zip(low, high))
     left, right = min(r[1] for r in rows) - 1, max(r[2] for r in rows) + 1
     outside, at = [(rows[0][0] - 1, left, right)], 0
     for y in range(rows[0][0], rows[-1][0] + 1):
@@ -195,22 +205,26 @@ def convex_hulls(label_map: DataFrame) -> DataFrame:
     background that no 8-connected way leads out of. Only a region's runs are gathered, not its pixels.
     """
 
-    def outline(key, pdf):
-        import pandas as pd
+    def outlines(column: pa.Array) -> pa.Array:
+        flat, ends = column.flatten(), np.cumsum(pc.list_value_length(column).to_numpy()).tolist()
+        rows = list(zip(*(flat.field(k).to_pylist() for k in range(3))))
+        got = [_outline(sorted(rows[a:z])) for a, z in zip([0, *ends], ends)]
+        return pa.StructArray.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*got) if got else ((), (), ()), (pa.float64(), pa.int64(), pa.int64()))], ["hull_perimeter", "convex_area", "filled_area"])
+
+    held = runs(label_map).groupBy(*KEY).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
+    return held.select(*KEY, F.arrow_udf(outlines, "struct<hull_perimeter:double,convex_area:bigint,filled_area:bigint>")("runs").alias("o")).select(*KEY, "o.*")
 
-        rows = sorted(zip(pdf.y.tolist(), pdf.x0.tolist(), pdf.x1.tolist()))
-        return pd.DataFrame([[*key, *_outline(rows)]], columns=[*KEY, "hull_perimeter", "convex_area", "filled_area"])
 
-    return runs(label_map).groupBy(*KEY).applyInPandas(outline, "image_id long, label int, hull_perimeter double, convex_area long, filled_area long")
+def _ratios() -> list[Column]:
+    return [
+        F.try_divide("hull_perimeter", "perimeter").alias("roughness"), F.try_divide(4 * pi * F.col("area"), F.col("hull_perimeter") * F.col("hull_perimeter")).alias("shape_factor"),
+        F.try_divide("minor_axis", "major_axis").alias("ellipticity"), F.try_divide(4 * pi * F.col("area"), F.col("perimeter") * F.col("perimeter")).alias("roundness"), F.try_divide("area", "convex_area").alias("solidity"),
+    ]
 
 
 def derived_shape(moments: DataFrame, outline: DataFrame, hulls: DataFrame) -> DataFrame:
     """Ratios; null where the divisor is 0."""
-    j = moments.join(outline, KEY).join(hulls, KEY)
-    return j.select(
-        *KEY, F.try_divide("hull_perimeter", "perimeter").alias("roughness"), F.try_divide(4 * pi * F.col("area"), F.col("hull_perimeter") * F.col("hull_perimeter")).alias("shape_factor"),
-        F.try_divide("minor_axis", "major_axis").alias("ellipticity"), F.try_divide(4 * pi * F.col("area"), F.col("perimeter") * F.col("perimeter")).alias("roundness"), F.try_divide("area", "convex_area").alias("solidity"),
-    )
+    return moments.join(outline, KEY).join(hulls, KEY).select(*KEY, *_ratios())
 
 
 #: The features of a region by name, in the order of the feature vector.
@@ -222,13 +236,13 @@ FEATURES = (
 
 def handcrafted(label_map: DataFrame) -> DataFrame:
     """label_map(image_id, y, x, label, v: gray value) -> the FEATURES of every region, one row each."""
-    moments, outline, hulls = shape_moments(label_map), perimeter_euler(label_map), convex_hulls(label_map)
+    # Figures that others are made of are joined once: each of them is a pass over the pixels.
+    shape = shape_moments(label_map).join(perimeter_euler(label_map), KEY).join(convex_hulls(label_map), KEY).select("*", *_ratios())
     centers = label_map.filter("label > 0").groupBy(F.col("image_id").alias("graph_id"), F.col("label").cast("long").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     crowd = crowdedness(centers).select(F.col("graph_id").alias("image_id"), F.col("node_id").cast("int").alias("label"), F.col("mean_crowd").alias("mean_crowdedness"), F.col("std_crowd").alias("std_crowdedness"))
     texture = glcm_props(glcm(label_map), label_map).select(*KEY, *[F.col(c.lower()).alias(f"glcm_{c}") for c in ("contrast", "dissimilarity", "homogeneity", "energy", "ASM", "dispersion")])
-    axes = moments.withColumnRenamed("major_axis", "major_axis_length").withColumnRenamed("minor_axis", "minor_axis_length")
-    out = axes.join(outline, KEY).join(hulls, KEY).join(derived_shape(moments, outline, hulls), KEY).join(texture, KEY).join(crowd, KEY)
-    return out.select(*KEY, *FEATURES)
+    out = shape.withColumnsRenamed({"major_axis": "major_axis_length", "minor_axis": "minor_axis_length"})
+    return out.join(texture, KEY).join(crowd, KEY).select(*KEY, *FEATURES)
 
 
 def concepts(features: DataFrame, names: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,18 @@ def test_feature_vector(spark):
         assert got[k].mean_crowdedness == pytest.approx(np.mean(d)) and got[k].std_crowdedness == pytest.approx(np.std(d))
 
 
+def test_figures_of_a_region_are_made_once(spark):
+    px = spark.createDataFrame([(0, y, x, 1, 9) for y, x in pixels(RASTERS[4])], "image_id long, y int, x int, label int, v int")
+    text = R.handcrafted(px)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and "InPandas" not in text
+    # A comb of many pieces and a row of many runs: time grows with the runs.
+    began = time.perf_counter()
+    comb = [(2 * k, 0, 0) for k in range(8000)]
+    wide = [(y, 2 * k, 2 * k) for y in range(2) for k in range(8000)]
+    assert R._outline(comb) == (0.0, 15999, 8000) and R._outline(wide)[1:] == (31998, 16000)
+    assert time.perf_counter() - began < 2
+
+
 def test_nearest_equals_brute_force(spark):
     r = np.random.default_rng(2)
     at = {0: r.random((200, 2)) * 100, 1: np.vstack([r.random((60, 2)), [[900.0, 900.0], [5000.0, 1.0]]]), 2: np.zeros((7, 2)), 3: np.array([[1.0, 2.0]]), 4: np.array([[0.0, 0.0], [3.0, 4.0]]), 5: np.array([[k % 9, k // 9] for k in range(81)], float)}
