@@ -1,8 +1,11 @@
 """Nucleus instances on drawn maps, and the filters they are made of against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import nuclei as N
+from tests.conftest import SMALL
 
 
 def frame(spark, a, name="v"):
@@ -50,3 +53,15 @@ def test_touching_nuclei_are_told_apart(spark):
     assert {got.get(c) for c in centers} == {1, 2} and (1, 1) not in got
     assert set(got) <= set(map(tuple, np.argwhere(p > 0).tolist())) and len(got) >= 0.9 * (p.sum() - 1)
     assert np.mean([(label == got[14, 14]) == (bx < 24) for (_, bx), label in got.items()]) > 0.97
+
+
+def test_extraction_finds_every_disk(spark, tmp_path):
+    """The query over two images of sixteen drawn disks each, the second one with other keys."""
+    own = spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id < 100")
+    own.unionByName(own.withColumn("vec_id", F.col("vec_id") + 700)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["nuclei_extraction"](spark, str(tmp_path)).collect()
+    assert sorted((r.image_id, r.label) for r in got) == [(k, n) for k in (0, 7) for n in range(1, 17)]
+    for k in (0, 7):
+        places = sorted((round((r.cy - 10) / 20), round((r.cx - 10) / 20)) for r in got if r.image_id == k)
+        assert places == [(a, b) for a in range(2) for b in range(8)]
+    assert all(250 <= r.area <= 320 and abs(r.cy % 20 - 10) <= 2 and abs(r.cx % 20 - 10) <= 2 for r in got)
