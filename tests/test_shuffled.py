@@ -1,14 +1,17 @@
 """Joins of tables that are far larger than their files say: none of their sides is sent through the driver."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import explain, gnn
 from tessera.operators import graph as G
 from tessera.operators import nuclei as N
 from tessera.operators import raster as P
 from tessera.sources import images
+from tests.conftest import SMALL, rows, same
 
 
 def plan(df):
@@ -73,6 +76,15 @@ def test_taps_of_an_image_with_gaps(gap):
     assert {(r.y, r.x) for r in N.separable(px, w, w, 6, 7).collect()} == set(at) and set(at) < set(whole)
 
 
+def test_patch_means_of_an_image_with_gaps(spark, oracle, tmp_path):
+    """Pixels meet the patches in a shuffle, and the last image ends after 56 of its 100 tiles."""
+    spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id < 256").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["patch_mean_embedding"](spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in plan(got)
+    made = [f for f in tmp_path.glob("embeddings.parquet/*.parquet")]
+    same(rows(got), oracle(catalog.ORACLES["patch_mean_embedding"], str(tmp_path), embeddings=duckdb.read_parquet(list(map(str, made))).arrow()))
+
+
 def test_files_of_an_image_with_gaps(spark, gap, tmp_path):
     px, at = gap
     for k, names in enumerate((("v",), ("v", "v2", "v3"))):
