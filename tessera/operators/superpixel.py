@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.plans.scratch import cut, drop, shuffled
 
 from .graph import connectivity, region_adjacency
-from .raster import cie_lab, gaussian_blur, hed, resample
-from .tissue import pixel_components
+from .raster import AT, WHITE, XYZ, cie_lab, gaussian_blur, hed, kernel, resample
+from .tissue import TASK_PIXELS, _blurred, _rooted, pixel_components
 
 KEY = ["image_id", "label"]
 BINS = 4
@@ -47,46 +48,126 @@ def connected(lab: DataFrame, width: int, least: int) -> DataFrame:
     return own.join(shuffled(to.join(shuffled(named), ["image_id", "to"])), ["image_id", "component"]).select("image_id", "y", "x", "label")
 
 
+def _coloured(px: DataFrame, color_space: str) -> DataFrame:
+    """px with values r, g, b: its own, a missing one as 0, or the stains' separation made into an image again."""
+    if color_space not in ("rgb", "hed"):
+        raise ValueError("color_space must be rgb or hed")
+    px = px.select(*AT, *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"])
+    return px if color_space == "rgb" else px.select(*AT, *hed()).select(*AT, *[(F.col(c) * 255).alias(n) for c, n in zip("hed", "rgb")])
+
+
 def clustered(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0, color_space: str = "rgb") -> DataFrame:
     """px(image_id, y, x, r, g, b) -> image_id, y, x, seed: k-means over blurred colour and place, not yet connected.
 
     A pixel takes the seed at the least squared distance, colour over compactness and place over step, among the 3 x 3 seeds around its own grid cell, ties to the first. Colours are CIE Lab of the blurred values, of the stains'
     separation made into an image again where color_space is hed. The first of the rounds gives every pixel its own grid cell, as seeds begin without a colour.
 
-    Pixels keep their grid cell, so a round is one equi-join with the few seeds of a neighbourhood and one partial aggregate.
+    Pixels keep their grid cell, and the seeds around a cell are one row, so a round is one equi-join of a row a pixel and one partial aggregate.
     """
-    if color_space not in ("rgb", "hed"):
-        raise ValueError("color_space must be rgb or hed")
+    px = _coloured(px, color_space)
     rows, cols = -(-height // step), -(-width // step)
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    cell = lambda c: F.floor(F.col(c) / step)
-    if color_space == "hed":
-        px = px.select("image_id", "y", "x", *hed()).select("image_id", "y", "x", *[(F.col(c) * 255).alias(n) for c, n in zip("hed", "rgb")])
     if sigma > 0:
         # A channel is an image to the blur.
-        each = px.select("image_id", "y", "x", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in "rgb"])).alias("o"))
+        each = px.select(*AT, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in "rgb"])).alias("o"))
         soft = gaussian_blur(each.select(F.struct("image_id", "o.c").alias("image_id"), "y", "x", "o.v"), sigma, height, width)
         px = soft.groupBy(F.col("image_id.image_id").alias("image_id"), "y", "x").agg(*[F.max(F.when(F.col("image_id.c") == c, F.col("v"))).alias(c) for c in "rgb"])
-        px = cut(px, "blur")
-    own = px.select("image_id", "y", "x", *[c.alias(n) for c, n in zip(cie_lab(), ("l", "a", "b"))], cell("y").alias("cy"), cell("x").alias("cx"))
-    around = own.select("*", near.alias("o")).withColumn("seed", (F.col("cy") + F.col("o.dy")) * cols + F.col("cx") + F.col("o.dx")).filter((F.col("cy") + F.col("o.dy")).between(0, rows - 1) & (F.col("cx") + F.col("o.dx")).between(0, cols - 1)).drop("o", "cy", "cx")
+    cell = F.floor(F.col("y") / step) * cols + F.floor(F.col("x") / step)
+    own = cut(px.select(*[F.col(c).cast("int").alias(c) if c in "yx" else F.col(c) for c in AT], *[c.alias(n) for c, n in zip(cie_lab(), ("l", "a", "b"))], cell.alias("cell")), "colours")
+    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    to_y, to_x = F.floor(F.col("seed") / cols) + F.col("o.dy"), F.col("seed") % cols + F.col("o.dx")
     means = [F.avg(c).alias(f"m{c}") for c in ("y", "x", "l", "a", "b")]
-    given = own.withColumn("seed", F.col("cy") * cols + F.col("cx")).drop("cy", "cx")
-    seeds = None
+    given, seeds = own.withColumn("seed", F.col("cell")), None
+
+    def far(s: Column) -> Column:
+        square = lambda c: (F.col(c) - s[f"m{c}"]) * (F.col(c) - s[f"m{c}"])
+        d = (square("l") + square("a") + square("b")) / (compactness * compactness) + (square("y") + square("x")) / float(step * step)
+        return F.struct(d.alias("d"), s["seed"].alias("seed"))
+
     for _ in range(rounds - 1):
         after = cut(given.groupBy("image_id", "seed").agg(*means), "seeds")
         drop(seeds)
         seeds = after
-        square = lambda c: (F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}"))
-        d = (square("l") + square("a") + square("b")) / (compactness * compactness) + (square("y") + square("x")) / float(step * step)
-        given = around.join(seeds, ["image_id", "seed"]).groupBy("image_id", "y", "x").agg(F.min_by(F.struct("seed", "l", "a", "b"), F.struct(d, "seed")).alias("s")).select("image_id", "y", "x", "s.*")
-    return given.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "seed")
+        reach = seeds.select("*", around.alias("o")).filter(to_y.between(0, rows - 1) & to_x.between(0, cols - 1)).withColumn("cell", to_y * cols + to_x)
+        near = reach.groupBy("image_id", "cell").agg(F.collect_list(F.struct("seed", *[f"m{c}" for c in ("y", "x", "l", "a", "b")])).alias("near"))
+        given = own.join(shuffled(near), ["image_id", "cell"]).withColumn("seed", F.array_min(F.transform("near", far))["seed"]).drop("near")
+    return given.select(*AT, "seed")
+
+
+def _seeds(values: np.ndarray, y: np.ndarray, x: np.ndarray, cols: int, step: int, compactness: float, rounds: int) -> np.ndarray:
+    """As `clustered`: of pixels at (y, x) with colours values[0..2] the seeds, numbered in a grid that has a frame without seeds."""
+    values, wide = np.stack([*values, y, x]), cols + 2
+    cell = (y // step + 1) * wide + x // step + 1
+    given, size = cell, int(cell.max()) + wide + 2
+    for _ in range(rounds - 1):
+        n = np.bincount(given, minlength=size)
+        # A seed without pixels is nowhere, and so is the frame.
+        means = [np.where(n > 0, np.bincount(given, v, size) / np.maximum(n, 1), np.inf) for v in values]
+        least, given = np.full(len(cell), np.inf), np.zeros_like(cell)
+        for move in (a * wide + b for a in (-1, 0, 1) for b in (-1, 0, 1)):
+            seed = cell + move
+            l, a, b, down, along = ((v - m[seed]) ** 2 for v, m in zip(values, means))
+            d = (l + a + b) / (compactness * compactness) + (down + along) / float(step * step)
+            nearer = d < least
+            given, least = np.where(nearer, seed, given), np.where(nearer, d, least)
+    return given
+
+
+def _lab(rgb: list[np.ndarray]) -> list[np.ndarray]:
+    """As `cie_lab`."""
+    linear = [np.where(c / 255.0 > 0.04045, ((c / 255.0 + 0.055) / 1.055) ** 2.4, c / 255.0 / 12.92) for c in rgb]
+    x, y, z = (sum(w * c for w, c in zip(row, linear)) / white for row, white in zip(XYZ, WHITE))
+    x, y, z = (np.where(v > 0.008856, v ** (1 / 3), 7.787 * v + 16 / 116) for v in (x, y, z))
+    return [116 * y - 16, 500 * (x - y), 200 * (y - z)]
+
+
+def _pieces(seed: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
+    """As `connected`: the labels of the pixels inside, in their order."""
+    width, same = seed.shape[1], inside[:, 1:] & inside[:, :-1] & (seed[:, 1:] == seed[:, :-1])
+    first = inside.copy()
+    first[:, 1:] &= ~same
+    run, start = np.cumsum(first.ravel()).reshape(seed.shape) - 1, np.flatnonzero(first)
+    # Runs that touch do so first where one of them begins.
+    meet = inside[1:] & inside[:-1] & (seed[1:] == seed[:-1]) & (first[1:] | first[:-1])
+    root, own = _rooted(len(start), run[:-1][meet], run[1:][meet]), np.arange(len(start))
+    small = np.bincount(root[run[inside]], minlength=len(start)) < least
+    # A root is its piece's first run, and begins at its first pixel.
+    there, of = inside.ravel(), root[run.ravel()]
+    left, above = (start % width > 0) & there[start - 1], (start >= width) & there[start - width]
+    to = np.where(small & left, of[start - 1], np.where(small & above, of[start - width], own))
+    while (to[to] != to).any():
+        to = to[to]
+    return np.unique(to[root[run[inside]]], return_inverse=True)[1] + 1
+
+
+def _slic(height: int, width: int, step: int, compactness: float, rounds: int, weights: list[float] | None):
+    cols = -(-width // step)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = tuple(table.column(c).to_numpy() for c in ("y", "x"))
+        image, inside, seed = np.zeros((3, height, width)), np.zeros((height, width), bool), np.zeros((height, width), int)
+        inside[at] = True
+        for c, channel in zip("rgb", image):
+            channel[at] = table.column(c).to_numpy()
+        y, x = np.nonzero(inside)
+        colours = _lab([(_blurred(c, inside, weights) if weights else c)[inside] for c in image])
+        seed[inside] = _seeds(colours, y, x, cols, step, compactness, rounds)
+        label = _pieces(seed, inside, step * step // 2)
+        return pa.table({"image_id": pa.repeat(table.column("image_id")[0], len(y))} | {n: pa.array(v, pa.int32()) for n, v in (("y", y), ("x", x), ("label", label))})
+
+    return run
 
 
 def slic(px: DataFrame, height: int, width: int, step: int, compactness: float = 20.0, rounds: int = 10, sigma: float = 1.0, color_space: str = "rgb") -> DataFrame:
-    """Labels from 1 by k-means over blurred colour and place, each connected and none under half a grid cell's pixels."""
-    given = clustered(px, height, width, step, compactness, rounds, sigma, color_space)
-    return connected(given.withColumnRenamed("seed", "label"), width, step * step // 2)
+    """Labels from 1 by k-means over blurred colour and place, each connected and none under half a grid cell's pixels.
+
+    Rounds follow one another: images of up to TASK_PIXELS are a group each, spread over tasks, with all their rounds in one job. Larger ones go through `clustered` and `connected`, some jobs a round.
+    """
+    if height * width > TASK_PIXELS:
+        given = clustered(px, height, width, step, compactness, rounds, sigma, color_space)
+        return connected(given.withColumnRenamed("seed", "label"), width, step * step // 2)
+    rows = _coloured(px, color_space).filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select("image_id", F.col("y").cast("int"), F.col("x").cast("int"), *"rgb")
+    kind = px.schema["image_id"].dataType.simpleString()
+    return rows.groupBy("image_id").applyInArrow(_slic(height, width, step, compactness, rounds, kernel(sigma) if sigma > 0 else None), f"image_id {kind}, y int, x int, label int")
 
 
 def grid_step(height: int, width: int, number: int | None = None, size: int | None = None, most: int | None = None) -> int:

@@ -109,14 +109,9 @@ def _otsu(v: np.ndarray, binned: bool, bins: int = 256) -> float:
     return lo + (best - 0.5) * (hi - lo) / bins if binned else float(best)
 
 
-def _largest(mask: np.ndarray) -> np.ndarray:
-    """The largest 4-connected component, ties to the one with the first pixel, by labels of runs as in `pixel_components`."""
-    first = mask.copy()
-    first[:, 1:] &= ~mask[:, :-1]
-    run = np.cumsum(first.ravel()).reshape(mask.shape) - 1
-    meet = mask[1:] & mask[:-1]
-    one, other = run[:-1][meet], run[1:][meet]
-    label = np.arange(first.sum())
+def _rooted(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of n nodes and their edges: the smallest node that each can reach."""
+    label = np.arange(n)
     while True:
         low, least = label.copy(), np.minimum(label[one], label[other])
         for side in (one, other):
@@ -125,8 +120,17 @@ def _largest(mask: np.ndarray) -> np.ndarray:
             np.minimum.at(low, side, least)
         low = low[low]
         if (low == label).all():
-            break
+            return label
         label = low
+
+
+def _largest(mask: np.ndarray) -> np.ndarray:
+    """The largest 4-connected component, ties to the one with the first pixel, by labels of runs as in `pixel_components`."""
+    first = mask.copy()
+    first[:, 1:] &= ~mask[:, :-1]
+    run = np.cumsum(first.ravel()).reshape(mask.shape) - 1
+    meet = mask[1:] & mask[:-1]
+    label = _rooted(int(first.sum()), run[:-1][meet], run[1:][meet])
     of = label[run[mask]]
     out = np.zeros_like(mask)
     if of.size:

@@ -74,3 +74,64 @@ def test_chain_gives_both_maps(spark):
         assert all(len(quarter(y, x)) == 1 for y in (0, 8) for x in (0, 8))
         ((i1, m1),), ((i2, m2),), ((i3, m3),), ((i4, m4),) = quarter(0, 0), quarter(0, 8), quarter(8, 0), quarter(8, 8)
         assert len({i1, i2, i3, i4}) == 4 and m1 == m2 > 0 and m3 > 0 and m3 != m1 and m4 == 0
+
+
+def pieces(seed, least):
+    """Labels of connected pieces by plain floods, small ones joined to the left or above; seed is -1 where there is no pixel."""
+    (h, w), first = seed.shape, {}
+    own = np.full(seed.shape, -1)
+    for i in range(h):
+        for j in range(w):
+            if seed[i, j] >= 0 and own[i, j] < 0:
+                own[i, j], todo = i * w + j, [(i, j)]
+                while todo:
+                    a, b = todo.pop()
+                    for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
+                        if 0 <= c < h and 0 <= d < w and own[c, d] < 0 and seed[c, d] == seed[i, j]:
+                            own[c, d] = i * w + j
+                            todo.append((c, d))
+                beside = [own[c, d] for c, d in ((i, j - 1), (i - 1, j)) if c >= 0 and d >= 0 and own[c, d] >= 0]
+                small = (own == i * w + j).sum() < least
+                first[i * w + j] = first[beside[0]] if small and beside else i * w + j
+    names = {r: k + 1 for k, r in enumerate(sorted(set(first.values())))}
+    return np.array([[names[first[c]] if c >= 0 else 0 for c in row] for row in own])
+
+
+def labelled(df, shape):
+    out = np.zeros(shape, int)
+    for p in df.collect():
+        out[p.image_id, p.y, p.x] += p.label
+    return out
+
+
+def test_slic_equals_plain_steps_in_one_job(spark, monkeypatch):
+    """No table is written between rounds, and a group is an image."""
+    r = np.random.default_rng(5)
+    smooth = (np.add.outer(np.arange(17) * 9, np.arange(22) * 4)[..., None] + r.integers(0, 30, (17, 22, 3))) % 256
+    images = [r.integers(0, 256, (17, 22, 3)), smooth]
+    monkeypatch.setattr(U, "cut", None)
+    df = U.slic(table(spark, images), 17, 22, 5, compactness=10.0, rounds=4, sigma=0)
+    assert df.dtypes == [("image_id", "bigint"), ("y", "int"), ("x", "int"), ("label", "int")]
+    got = labelled(df, (2, 17, 22))
+    for k, image in enumerate(images):
+        assert (got[k] == pieces(kmeans(image, 5, 10.0, 4), 12)).all()
+
+
+@pytest.mark.parametrize("how", [{"rounds": 3}, {"rounds": 2, "sigma": 0, "color_space": "hed"}])
+def test_slic_of_larger_images_is_the_same(spark, monkeypatch, how):
+    """Images of over TASK_PIXELS go by joins. One of these has a gap, one a pixel without its red; a pixel beyond an image is no part of it."""
+    r = np.random.default_rng(6)
+    px = table(spark, [r.integers(0, 256, (13, 18, 3)), r.integers(0, 256, (13, 18, 3))]).filter("image_id = 0 OR y < 6 OR x < 11").selectExpr("image_id", "y", "x", "IF(y = 2 AND x = 3, NULL, r) AS r", "g", "b")
+    beyond = spark.createDataFrame([(0, 2, 40, 1, 2, 3)], px.schema)
+    by_tasks = labelled(U.slic(px.unionByName(beyond), 13, 18, 4, **how), (2, 13, 18))
+    monkeypatch.setattr(U, "TASK_PIXELS", 0)
+    by_joins = labelled(U.slic(px, 13, 18, 4, **how), (2, 13, 18))
+    assert (by_tasks == by_joins).all() and (by_tasks > 0).sum() == px.count()
+
+
+def test_slic_of_one_seed_and_one_pixel(spark):
+    assert labelled(U.slic(table(spark, [np.full((3, 4, 3), 7)]), 3, 4, 10), (1, 3, 4)).tolist() == [[[1] * 4] * 3]
+    assert [tuple(r) for r in U.slic(table(spark, [np.full((1, 1, 3), 255)]), 1, 1, 1, rounds=1).collect()] == [(0, 0, 0, 1)]
+    assert U.slic(table(spark, [np.full((3, 4, 3), 7)]).limit(0), 3, 4, 2).count() == 0
+    with pytest.raises(ValueError):
+        U.slic(table(spark, [np.full((1, 1, 3), 255)]), 1, 1, 1, color_space="xyz")
